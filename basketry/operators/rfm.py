@@ -102,7 +102,7 @@ def score(metrics: DataFrame, key: str, tiles: int, specs: dict, per_bucket: int
     n = metrics.count()
     out = metrics
     for name, (k, invert) in specs.items():
-        out = O.with_ntile(out, [k, O.asc(key)], tiles, name, n, per_bucket)
+        out = O.with_ntile(out, [k, O.asc(key)], tiles, name, n, per_bucket, base=metrics)
         if invert:
             out = out.withColumn(name, (tiles + 1 - F.col(name)).cast("bigint"))
     return out

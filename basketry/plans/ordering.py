@@ -115,57 +115,77 @@ def _plain(v):
     return Decimal(v) if isinstance(v, Decimal) else v
 
 
-def assign_buckets(df: DataFrame, keys: list[Key], n_rows: int,
-                   per_bucket: int | None = None, seed: int = 17):
-    """Add ``_b`` (range bucket of the total order) and the normalized key columns.
+def boundaries(base: DataFrame, keys: list[Key], n_rows: int, per_bucket: int | None = None,
+               seed: int = 17) -> list[tuple]:
+    """P-1 boundary keys cutting the total order into ranges of ~per_bucket rows.
 
-    Returns (frame, normalized column names, number of buckets).
+    Taken from a sample of about SAMPLE_PER_BUCKET rows per bucket, so the
+    part brought to the driver is bounded by P, not by the data.
     """
-    per_bucket = per_bucket or rows_per_bucket(df.sparkSession)
-    norm = _normalized(df, keys, "_k")
-    names = [n for i in range(len(keys)) for n in (f"_kf{i}", f"_kv{i}")]
-    keyed = df.select("*", *norm)
+    per_bucket = per_bucket or rows_per_bucket(base.sparkSession)
     n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n_rows / max(1, per_bucket))))
     if n_buckets == 1:
-        return keyed.withColumn("_b", F.lit(0)), names, 1
+        return []
+    names = _key_names(keys)
     fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(1, n_rows))
-    # The sample is bounded (about SAMPLE_PER_BUCKET rows per bucket), so it
-    # may be brought to the driver to pick the boundaries.
-    sample = sorted(tuple(_plain(v) for v in row)
-                    for row in keyed.select(*names).sample(False, fraction, seed).collect())
-    if not sample:
-        return keyed.withColumn("_b", F.lit(0)), names, 1
-    bounds = []
+    sample = sorted(tuple(_plain(v) for v in row) for row in
+                    base.select(*_normalized(base, keys, "_k")).select(*names)
+                    .sample(False, fraction, seed).collect())
+    bounds: list[tuple] = []
     for i in range(1, n_buckets):
+        if not sample:
+            break
         b = sample[min(len(sample) - 1, (i * len(sample)) // n_buckets)]
         if not bounds or b > bounds[-1]:
             bounds.append(b)
-    tree = _bucket_tree(names, bounds, 0, len(bounds))
-    return keyed.withColumn("_b", tree), names, len(bounds) + 1
+    return bounds
 
 
-def _offsets(keyed: DataFrame, extra_aggs=()) -> DataFrame:
-    """Per-bucket row counts and the number of rows in earlier buckets."""
-    stats = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # bounded: one row per bucket (at most MAX_BUCKETS)
-    return stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+def _key_names(keys: list[Key]) -> list[str]:
+    return [n for i in range(len(keys)) for n in (f"_kf{i}", f"_kv{i}")]
+
+
+def with_bucket(df: DataFrame, keys: list[Key], bounds: list[tuple]) -> DataFrame:
+    """Add ``_b``: the range of the total order each row falls in (0 when no bounds)."""
+    keyed = df.select("*", *_normalized(df, keys, "_k"))
+    if not bounds:
+        return keyed.withColumn("_b", F.lit(0))
+    return keyed.withColumn("_b", _bucket_tree(_key_names(keys), bounds, 0, len(bounds)))
+
+
+def bucket_offsets(base: DataFrame, keys: list[Key], bounds: list[tuple]) -> Column:
+    """Rows in all earlier buckets, as a literal array indexed by ``_b``.
+
+    One small aggregate (a row per bucket) is collected; as literals the
+    offsets stay identical if any stage is recomputed after a failure.
+    """
+    counts = dict(with_bucket(base.select([k.name for k in keys]), keys, bounds)
+                  .groupBy("_b").count().collect())
+    offsets, running = [], 0
+    for b in range(len(bounds) + 1):
+        offsets.append(running)
+        running += counts.get(b, 0)
+    return F.array(*[F.lit(o).cast("bigint") for o in offsets])[F.col("_b")]
 
 
 def with_position(df: DataFrame, keys: list[Key], n_rows: int, out: str = "_pos",
-                  per_bucket: int | None = None) -> DataFrame:
+                  per_bucket: int | None = None, base: DataFrame | None = None) -> DataFrame:
     """Add the 1-based position of every row in the total order ``keys``.
 
     ``keys`` must end with a unique tie-breaker so that the order is total.
+    ``base`` (default ``df``) is a materialized frame with the same rows,
+    used for sampling and counting so chained calls do not recompute.
     """
-    keyed, names, n_buckets = assign_buckets(df, keys, n_rows, per_bucket)
+    base = df if base is None else base
+    bounds = boundaries(base, keys, n_rows, per_bucket)
     order = [k.spark_order() for k in keys]
-    if n_buckets == 1:
-        res = keyed.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-    else:
-        local = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-        off = _offsets(keyed).select("_b", "_off")
-        res = local.join(F.broadcast(off), "_b").withColumn(out, F.col("_off") + F.col("_rn"))
+    if not bounds:
+        # at most rows_per_bucket rows: one ordered partition is fine
+        res = df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+        return res.withColumn(out, F.col(out).cast("bigint"))
+    keyed = with_bucket(df, keys, bounds)
+    rn = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    res = keyed.withColumn(out, bucket_offsets(base, keys, bounds) + rn)
     return res.select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
@@ -181,28 +201,34 @@ def ntile_of(position: Column, n_rows: int, tiles: int) -> Column:
 
 
 def with_ntile(df: DataFrame, keys: list[Key], tiles: int, out: str, n_rows: int,
-               per_bucket: int | None = None) -> DataFrame:
-    pos = with_position(df, keys, n_rows, "_pos", per_bucket)
+               per_bucket: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    pos = with_position(df, keys, n_rows, "_pos", per_bucket, base)
     return pos.withColumn(out, ntile_of(F.col("_pos"), n_rows, tiles)).drop("_pos")
 
 
 def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str,
               n_rows: int, per_bucket: int | None = None) -> DataFrame:
-    """SQL RANK() over ``rank_keys`` (ties share the lowest position)."""
+    """SQL RANK() over ``rank_keys`` (ties share the lowest position).
+
+    Buckets cut the total order (rank keys + tie-breaker), so a tie run can
+    span buckets; a bucket whose first value continues the run that ended
+    an earlier bucket takes that run's start position.
+    """
     keys = list(rank_keys) + list(tiebreak)
-    keyed, names, n_buckets = assign_buckets(df, keys, n_rows, per_bucket)
+    bounds = boundaries(df, keys, n_rows, per_bucket)
     order = [k.spark_order() for k in rank_keys]
-    if n_buckets == 1:
-        res = keyed.withColumn(out, F.rank().over(Window.orderBy(*order)))
-        return res.select(*df.columns, F.col(out).cast("bigint").alias(out))
-    rank_cols = names[: 2 * len(rank_keys)]
-    value = F.struct(*[F.col(c) for c in rank_cols])
+    if not bounds:
+        res = df.withColumn(out, F.rank().over(Window.orderBy(*order)))
+        return res.withColumn(out, F.col(out).cast("bigint"))
+    keyed = with_bucket(df, keys, bounds)
+    value = F.struct(*[F.col(c) for c in _key_names(keys)[: 2 * len(rank_keys)]])
     local = (keyed.withColumn("_lr", F.rank().over(Window.partitionBy("_b").orderBy(*order)))
              .withColumn("_val", value))
-    stats = _offsets(local, (F.min("_val").alias("_first"), F.max("_val").alias("_last"),
-                             F.max("_lr").alias("_last_run")))
-    # Start position of the run that ends each bucket, keyed by its value;
-    # a bucket whose first value continues such a run inherits its start.
+    stats = local.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_val").alias("_first"),
+                                    F.max("_val").alias("_last"), F.max("_lr").alias("_last_run"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per bucket (at most MAX_BUCKETS rows)
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     ends = stats.groupBy(F.col("_last").alias("_v")).agg(
         F.min(F.col("_off") + F.col("_last_run")).alias("_carry"))
     stats = stats.join(ends, stats["_first"] == ends["_v"], "left").select(

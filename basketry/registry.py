@@ -15,10 +15,21 @@ from basketry.session import ensure_checkpoint_dir
 from basketry.sources.testdata import star_from_testdata
 
 
+_STARS: dict[tuple[int, str], object] = {}
+
+
+def star_for(spark: SparkSession, sf_dir: str):
+    """Mapped star for (session, directory); the plans are built once."""
+    key = (id(spark), sf_dir)
+    if key not in _STARS:
+        _STARS[key] = star_from_testdata(spark, sf_dir)
+    return _STARS[key]
+
+
 def _q(op, **params) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
-        return op(star_from_testdata(spark, sf_dir), **params)
+        return op(star_for(spark, sf_dir), **params)
     run.__name__ = getattr(op, "__name__", "query")
     return run
 

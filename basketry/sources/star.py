@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -10,23 +10,34 @@ STAR_TABLES = ("orders", "order_items", "customers", "sellers", "products",
                "order_payments", "order_reviews", "geolocation")
 
 
-@dataclass(frozen=True)
 class Star:
-    orders: DataFrame
-    order_items: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
-    products: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    geolocation: DataFrame
+    """Eight DataFrames by name.  A table may be given as a zero-argument
+    callable; it is then built on first use (plans only, no data)."""
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        missing = set(STAR_TABLES) - set(tables)
+        if missing:
+            raise ValueError(f"missing star tables: {sorted(missing)}")
+        self._tables = dict(tables)
 
     def table(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        value = self._tables[name]
+        if not isinstance(value, DataFrame):
+            value = value()
+            self._tables[name] = value
+        return value
 
     def items(self):
-        return ((f.name, getattr(self, f.name)) for f in fields(self))
-
-    @property
-    def spark(self):
-        return self.orders.sparkSession
+        return ((name, self.table(name)) for name in STAR_TABLES)
+
+    def replace(self, **tables) -> "Star":
+        return Star(**{**self._tables, **tables})
+
+    orders = property(lambda self: self.table("orders"))
+    order_items = property(lambda self: self.table("order_items"))
+    customers = property(lambda self: self.table("customers"))
+    sellers = property(lambda self: self.table("sellers"))
+    products = property(lambda self: self.table("products"))
+    order_payments = property(lambda self: self.table("order_payments"))
+    order_reviews = property(lambda self: self.table("order_reviews"))
+    geolocation = property(lambda self: self.table("geolocation"))

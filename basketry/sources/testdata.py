@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from basketry.sources.star import Star
 
-RAW_TABLES = ("orders", "lineitem", "customer", "supplier", "part", "nation")
 
 
-def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-            for name in RAW_TABLES}
+def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _cents(c: Column) -> Column:
@@ -164,15 +162,23 @@ def map_geolocation(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def star_from_testdata(spark: SparkSession, sf_dir: str) -> Star:
-    raw = read_raw(spark, sf_dir)
-    nation = raw["nation"].select("n_nationkey", "n_name")
+    """The mapped star; each table's plan is built on first use."""
+    raw: dict[str, DataFrame] = {}
+
+    def r(name: str) -> DataFrame:
+        if name not in raw:
+            raw[name] = read_raw(spark, sf_dir, name)
+            if name == "nation":
+                raw[name] = raw[name].select("n_nationkey", "n_name")
+        return raw[name]
+
     return Star(
-        orders=map_orders(raw["orders"]),
-        order_items=map_order_items(raw["lineitem"]),
-        customers=map_customers(raw["customer"], nation),
-        sellers=map_sellers(raw["supplier"], nation),
-        products=map_products(raw["part"]),
-        order_payments=map_order_payments(raw["orders"]),
-        order_reviews=map_order_reviews(raw["orders"]),
-        geolocation=map_geolocation(raw["customer"], nation),
+        orders=lambda: map_orders(r("orders")),
+        order_items=lambda: map_order_items(r("lineitem")),
+        customers=lambda: map_customers(r("customer"), r("nation")),
+        sellers=lambda: map_sellers(r("supplier"), r("nation")),
+        products=lambda: map_products(r("part")),
+        order_payments=lambda: map_order_payments(r("orders")),
+        order_reviews=lambda: map_order_reviews(r("orders")),
+        geolocation=lambda: map_geolocation(r("customer"), r("nation")),
     )
