@@ -22,10 +22,12 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
                blank_category: str = "keep") -> DataFrame:
     """Read one star table with its declared schema.
 
-    CSV exports (header, comma separated) are read with an explicit schema;
-    ``blank_category='null'`` turns empty category strings into NULL,
-    ``'keep'`` leaves them as ''.  Spark's CSV reader already maps an empty
-    unquoted field to NULL, so '' survives only through ``emptyValue``.
+    CSV exports (header, comma separated) are read with an explicit schema.
+    An unquoted empty field is NULL and a quoted one (``""``) is the empty
+    string: Spark's default ``nullValue`` is '' and would fold both into
+    NULL, so a sentinel that never occurs in data is used instead.
+    ``blank_category='null'`` then turns empty category strings into NULL,
+    ``'keep'`` leaves them as ''.
     """
     schema = SCHEMAS[name]
     path = _path(root, name, fmt)
@@ -33,7 +35,7 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
         df = spark.read.schema(schema).parquet(path)
     elif fmt == "csv":
         df = (spark.read.schema(schema).option("header", True)
-              .option("sep", ",").option("emptyValue", "")
+              .option("sep", ",").option("nullValue", "\u0001").option("emptyValue", "")
               .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
               .csv(path))
     else:
