@@ -100,9 +100,9 @@ def score(metrics: DataFrame, key: str, tiles: int, specs: dict, per_bucket: int
     """Add NTILE scores; ``specs`` maps output column -> (sort Key, invert?)."""
     metrics = materialize(metrics)
     n = metrics.count()
-    out = metrics
-    for name, (k, invert) in specs.items():
-        out = O.with_ntile(out, [k, O.asc(key)], tiles, name, n, per_bucket, base=metrics)
+    out = O.with_ntiles(metrics, {name: ([k, O.asc(key)], tiles) for name, (k, _) in specs.items()},
+                        n, per_bucket, base=metrics)
+    for name, (_, invert) in specs.items():
         if invert:
             out = out.withColumn(name, (tiles + 1 - F.col(name)).cast("bigint"))
     return out

@@ -189,6 +189,64 @@ def with_position(df: DataFrame, keys: list[Key], n_rows: int, out: str = "_pos"
     return res.select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
+def with_ntiles(df: DataFrame, specs: dict[str, tuple[list[Key], int]], n_rows: int,
+                per_bucket: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Several NTILE columns over independent total orders of the same rows.
+
+    ``specs`` maps output column -> (keys ending with a unique tie-breaker,
+    tiles).  All orderings share one sample pass (boundaries) and one
+    aggregate pass (bucket counts) over ``base``, then each adds one
+    bucket-partitioned window.
+    """
+    base = df if base is None else base
+    per_bucket = per_bucket or rows_per_bucket(base.sparkSession)
+    n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n_rows / max(1, per_bucket))))
+    out = df
+    if n_buckets == 1:
+        for name, (keys, tiles) in specs.items():
+            pos = F.row_number().over(Window.orderBy(*[k.spark_order() for k in keys]))
+            out = out.withColumn(name, ntile_of(pos, n_rows, tiles))
+        return out
+    # one sample of every ordering's normalized key (bounded: ~64 rows per bucket)
+    norm = {name: [c.alias(f"_s{i}_{j}") for j, c in enumerate(_normalized(base, keys, "_k"))]
+            for i, (name, (keys, _)) in enumerate(specs.items())}
+    fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(1, n_rows))
+    rows = base.select(*[c for cols in norm.values() for c in cols]).sample(False, fraction, 17).collect()
+    bounds = {}
+    width = {name: len(cols) for name, cols in norm.items()}
+    start = 0
+    for name in specs:
+        sample = sorted(tuple(_plain(v) for v in r[start:start + width[name]]) for r in rows)
+        start += width[name]
+        picked: list[tuple] = []
+        for i in range(1, n_buckets):
+            if not sample:
+                break
+            b = sample[min(len(sample) - 1, (i * len(sample)) // n_buckets)]
+            if not picked or b > picked[-1]:
+                picked.append(b)
+        bounds[name] = picked
+    # one aggregate pass: rows per (ordering, bucket), at most specs x MAX_BUCKETS rows
+    tagged = base
+    for i, (name, (keys, _)) in enumerate(specs.items()):
+        tagged = with_bucket(tagged, keys, bounds[name]).withColumnRenamed("_b", f"_b{i}") \
+            .drop(*_key_names(keys))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"_b{i}").alias("b"))
+                                for i in range(len(specs))]))
+    counts = {(r.o, r.b): r["count"] for r in
+              tagged.select(pairs.alias("p")).select("p.o", "p.b").groupBy("o", "b").count().collect()}
+    for i, (name, (keys, tiles)) in enumerate(specs.items()):
+        offsets, running = [], 0
+        for b in range(len(bounds[name]) + 1):
+            offsets.append(running)
+            running += counts.get((i, b), 0)
+        offset = F.array(*[F.lit(o).cast("bigint") for o in offsets])[F.col("_b")]
+        keyed = with_bucket(out, keys, bounds[name])
+        rn = F.row_number().over(Window.partitionBy("_b").orderBy(*[k.spark_order() for k in keys]))
+        out = keyed.withColumn(name, ntile_of(offset + rn, n_rows, tiles)).select(*out.columns, name)
+    return out
+
+
 def ntile_of(position: Column, n_rows: int, tiles: int) -> Column:
     """NTILE(tiles) from a 1-based position among ``n_rows`` rows."""
     q, r = divmod(n_rows, tiles)

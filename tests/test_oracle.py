@@ -44,3 +44,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[:2] == ["order_month", "gmv"]
+
+
+@pytest.mark.parametrize("name", ["rf01_rfm_table", "rf02_rfm_segments_corrected", "rf03_high_value_customers",
+                                  "ch01_rfm4_segments", "sl02_seller_ranking", "sl03_underperformers"])
+def test_bucketed_ordering_matches_oracle(spark, con_small, name):
+    """Force the range-bucket plan (a few rows per bucket) and compare again."""
+    from basketry.plans.ordering import CONF_ROWS_PER_BUCKET
+    spark.conf.set(CONF_ROWS_PER_BUCKET, "9")
+    try:
+        _compare(spark, con_small, SF_SMALL, name)
+    finally:
+        spark.conf.unset(CONF_ROWS_PER_BUCKET)
