@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
+from basketry.operators.cohort import active_months
 from basketry.sources.star import Star
 
 TS = "order_purchase_timestamp"
@@ -24,21 +25,22 @@ def cohort_retention_epoch(star: Star, start: str | None = "2017-01-01", max_ind
     keeps every cohort.
     """
     key = "customer_unique_id"
-    orders = star.orders.filter(X.is_delivered()).select("customer_id", TS).join(
-        star.customers.select("customer_id", key), "customer_id")
-    per_month = orders.groupBy(key, X.month_start(TS).alias("order_month")).agg(
-        X.month_start(F.min(TS)).alias("cohort_month"))
     if variant == "faithful":
+        orders = star.orders.filter(X.is_delivered()).select("customer_id", TS).join(
+            star.customers.select("customer_id", key), "customer_id")
+        per_month = orders.groupBy(key, X.month_start(TS).alias("order_month")).agg(
+            X.month_start(F.min(TS)).alias("cohort_month"))
         seconds = F.unix_seconds(F.col("order_month").cast("timestamp")) - \
             F.unix_seconds(F.col("cohort_month").cast("timestamp"))
-        index = F.round(seconds / SECONDS_PER_30_DAYS).cast("bigint")
+        indexed = per_month.withColumn("month_index", F.round(seconds / SECONDS_PER_30_DAYS).cast("bigint"))
     else:
-        per_month = per_month.withColumn("cohort_month", F.min("order_month").over(Window.partitionBy(key)))
-        index = X.month_diff("cohort_month", "order_month").cast("bigint")
-    indexed = per_month.withColumn("month_index", index)
-    sizes = indexed.filter(F.col("month_index") == 0).groupBy("cohort_month").agg(
-        F.countDistinct(key).alias("cohort_size"))
-    retained = indexed.groupBy("cohort_month", "month_index").agg(F.countDistinct(key).alias("retained"))
+        indexed = active_months(star, key, X.is_delivered()).withColumnRenamed(
+            "period_number", "month_index")
+    # rows are unique per (person, month), so counting persons per cell is
+    # COUNT(DISTINCT person); the cohort size is the index-0 cell
+    retained = indexed.groupBy("cohort_month", "month_index").agg(F.count(key).alias("retained"))
+    sizes = retained.filter(F.col("month_index") == 0).select(
+        "cohort_month", F.col("retained").alias("cohort_size"))
     out = retained.join(sizes, "cohort_month").filter(F.col("month_index") <= max_index)
     if start is not None:
         out = out.filter(F.col("cohort_month") >= F.lit(start).cast("timestamp_ntz"))

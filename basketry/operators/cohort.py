@@ -18,32 +18,55 @@ TS = "order_purchase_timestamp"
 
 
 def customer_months(star: Star, key: str = "customer_id", cond=None) -> DataFrame:
-    """(key, month, n_orders, cohort_month, period_number) for the orders matching ``cond``."""
+    """(key, month, n_orders, cohort_month, period_number) for the orders matching ``cond``.
+
+    Two shuffles: (key, month) order counts, then a per-key window over at
+    most one row per calendar month.
+    """
+    per_month = _orders_of(star, key, cond).groupBy(key, X.month_start(TS).alias("month")).agg(
+        F.count(F.lit(1)).alias("n_orders"))
+    first = F.min("month").over(Window.partitionBy(key))
+    return per_month.withColumn("cohort_month", first).withColumn(
+        "period_number", X.month_diff("cohort_month", "month").cast("bigint"))
+
+
+def _orders_of(star: Star, key: str, cond) -> DataFrame:
     cond = X.is_valid() if cond is None else cond
     orders = star.orders.filter(cond).select("order_id", "customer_id", TS)
     if key != "customer_id":
         orders = orders.join(star.customers.select("customer_id", key), "customer_id")
-    per_month = orders.filter(F.col(key).isNotNull()).groupBy(
-        key, X.month_start(TS).alias("month")).agg(F.count(F.lit(1)).alias("n_orders"))
-    first = F.min("month").over(Window.partitionBy(key))
-    return per_month.withColumn("cohort_month", first).withColumn(
-        "period_number", X.month_diff("cohort_month", "month").cast("bigint"))
+    return orders.filter(F.col(key).isNotNull())
 
 
-def _sizes(cm: DataFrame) -> DataFrame:
-    return cm.filter(F.col("month") == F.col("cohort_month")).groupBy("cohort_month").agg(
-        F.count(F.lit(1)).alias("cohort_size"))
+def active_months(star: Star, key: str = "customer_id", cond=None) -> DataFrame:
+    """(key, cohort_month, month, period_number): one row per active month of each key.
 
+    One shuffle on the key: the set of active months is deduplicated
+    map-side, so even a key holding a third of all orders contributes at
+    most one entry per calendar month.
+    """
+    months = _orders_of(star, key, cond).groupBy(key).agg(
+        F.collect_set(X.month_start(TS)).alias("_months"))
+    return months.select(key, F.array_min("_months").alias("cohort_month"),
+                         F.explode("_months").alias("month")) \
+        .withColumn("period_number", X.month_diff("cohort_month", "month").cast("bigint"))
 
-def _activity(cm: DataFrame) -> DataFrame:
-    """Distinct active customers per (cohort, month) joined with cohort sizes."""
-    act = cm.groupBy("cohort_month", "month", "period_number").agg(
+
+def _activity(star: Star) -> DataFrame:
+    """Distinct active customers per (cohort, month), with the cohort size.
+
+    Every customer is active exactly once in its own cohort month, so the
+    size is the period-0 cell of the same (small) aggregate.
+    """
+    act = active_months(star).groupBy("cohort_month", "month", "period_number").agg(
         F.count(F.lit(1)).alias("active_customers"))
-    return act.join(_sizes(cm), "cohort_month")
+    sizes = act.filter(F.col("period_number") == 0).select(
+        "cohort_month", F.col("active_customers").alias("cohort_size"))
+    return act.join(sizes, "cohort_month")
 
 
 def cohort_retention(star: Star, max_period: int = 12) -> DataFrame:
-    act = _activity(customer_months(star)).filter(F.col("period_number").between(0, max_period))
+    act = _activity(star).filter(F.col("period_number").between(0, max_period))
     return act.select(
         "cohort_month", X.as_long("cohort_size").alias("cohort_size"), "period_number",
         X.as_long("active_customers").alias("active_customers"),
@@ -72,7 +95,7 @@ def cohort_matrix(star: Star, periods: int = 6, variant: str = "faithful") -> Da
 
 def retention_summary(star: Star, max_period: int = 12) -> DataFrame:
     """Average / min / max cohort retention per period (cohorts active in it)."""
-    act = _activity(customer_months(star)).filter(F.col("period_number").between(0, max_period))
+    act = _activity(star).filter(F.col("period_number").between(0, max_period))
     rate = X.ratio(F.col("active_customers") * 100.0, F.col("cohort_size"))
     return act.withColumn("_rate", rate).groupBy("period_number").agg(
         F.round(F.avg("_rate"), 2).alias("avg_retention_pct"),
