@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans import ordering as O
-from basketry.plans.facts import items_of_orders
+from basketry.plans.facts import aggregate, items_of_orders
 from basketry.session import materialize
 from basketry.sources.star import Star
 
@@ -70,13 +70,11 @@ def distinct_count(rows: DataFrame, key: str, value: str, out: str) -> DataFrame
 def seller_revenue(star: Star) -> DataFrame:
     rows = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "product_id", "price",
                                                 "freight_value"), ("customer_id",))
-    per_seller = rows.groupBy("seller_id").agg(
+    per_seller = aggregate(rows, ["seller_id"], [
         F.round(F.sum("price"), 2).alias("_rev"),
         F.round(F.sum("freight_value"), 2).alias("_freight"),
-        X.as_long(F.countDistinct("order_id")).alias("total_orders"),
-        X.as_long(F.countDistinct("product_id")).alias("unique_products"),
-        F.round(X.avg_of("price"), 2).alias("avg_item_price"),
-        X.as_long(F.countDistinct("customer_id")).alias("unique_customers"))
+        F.round(X.avg_of("price"), 2).alias("avg_item_price")],
+        {"total_orders": "order_id", "unique_products": "product_id", "unique_customers": "customer_id"})
     return per_seller.join(star.sellers.select("seller_id", "seller_state"), "seller_id")
 
 
