@@ -25,19 +25,27 @@ def period_trend(star: Star) -> DataFrame:
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("customer_id").alias("unique_customers"),
         F.round(X.ratio(F.sum("gmv_sum"), F.sum("gmv_cnt")), 2).alias("aov"))
-    by_month = Window.orderBy(F.col("order_month").asc_nulls_last())
-    prev = F.lag("_gmv").over(by_month)
-    running = F.sum("_gmv").over(by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return trend_columns(monthly).orderBy(F.col("order_month").asc_nulls_last())
+
+
+def trend_columns(monthly: DataFrame, month: str = "order_month", value: str = "_gmv") -> DataFrame:
+    """Previous-period value, growth % and running total over period rows.
+
+    ``value`` is the rounded exact amount; LAG, growth and the running sum
+    all use it (one row per period, so the unpartitioned window is small).
+    """
+    by_month = Window.orderBy(F.col(month).asc_nulls_last())
+    prev = F.lag(value).over(by_month)
+    running = F.sum(value).over(by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest = [c for c in monthly.columns if c not in (month, value)]
     return monthly.select(
-        "order_month",
-        X.money("_gmv").alias("gmv"),
-        X.as_long("total_orders").alias("total_orders"),
-        X.as_long("unique_customers").alias("unique_customers"),
-        "aov",
+        month,
+        X.money(value).alias("gmv"),
+        *[X.as_long(c).alias(c) if c in ("total_orders", "unique_customers") else c for c in rest],
         prev.cast("double").alias("prev_month_gmv"),
-        F.round(X.ratio(F.col("_gmv") - prev, prev) * 100, 2).alias("mom_growth_pct"),
+        F.round(X.ratio(F.col(value) - prev, prev) * 100, 2).alias("mom_growth_pct"),
         running.cast("double").alias("cumulative_gmv"),
-    ).orderBy(F.col("order_month").asc_nulls_last())
+    )
 
 
 def _category(products: DataFrame) -> DataFrame:
