@@ -36,8 +36,12 @@ def gmv(price="price", freight="freight_value") -> Column:
 
 
 def month_start(ts) -> Column:
-    """First instant of the month, kept as timestamp without zone."""
-    return F.date_trunc("month", col(ts)).cast("timestamp_ntz")
+    """First instant of the month as timestamp without zone.
+
+    Truncates the calendar date, so no session time zone is involved
+    (``date_trunc`` would round-trip through a zoned timestamp).
+    """
+    return F.trunc(F.to_date(col(ts)), "month").cast("timestamp_ntz")
 
 
 def day_diff(start, end) -> Column:

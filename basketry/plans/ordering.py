@@ -84,9 +84,16 @@ def _normalized(df: DataFrame, keys: list[Key], prefix: str):
             if not k.ascending:
                 raise ValueError("descending string keys are not supported")
             value = F.coalesce(c, F.lit(""))
-        else:  # dates / timestamps: order by epoch number
-            num = F.unix_micros(c.cast("timestamp")) if "timestamp" in dtype.simpleString() \
-                else F.unix_date(c)
+        else:  # dates / timestamps: order by an epoch number (no session time zone)
+            kind = dtype.simpleString()
+            if kind == "timestamp_ntz":
+                num = (F.unix_date(F.to_date(c)).cast("bigint") * 86_400_000_000
+                       + (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000
+                       + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint"))
+            elif kind == "timestamp":
+                num = F.unix_micros(c)
+            else:
+                num = F.unix_date(c)
             value = F.coalesce(num, F.lit(0))
             if not k.ascending:
                 value = -value

@@ -55,3 +55,12 @@ def test_exact_percentile(spark, q):
 def test_ntile_formula_small():
     # n < tiles: every row its own tile
     assert O.ntile_of(F.lit(3), 3, 5) is not None
+
+
+def test_ntile_on_timestamp_ntz_keys(spark):
+    import datetime as dt
+    rows = [(i, dt.datetime(2020, 3, 8, 1, 30) + dt.timedelta(minutes=7 * (i % 40))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    got = O.with_ntile(df, [O.desc("ts"), O.asc("id")], 7, "t", 120, per_bucket=9)
+    want = df.withColumn("t", F.ntile(7).over(Window.orderBy(F.col("ts").desc(), F.col("id"))))
+    assert sorted(got.select("id", "t").collect()) == sorted(want.select("id", "t").collect())
