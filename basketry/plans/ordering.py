@@ -9,8 +9,10 @@ total order is cut into contiguous key ranges:
    a bounded sample of the sort key is taken to choose P-1 boundary keys
    (kept as literals, so recomputation after an executor loss assigns every
    row to the same bucket);
-2. each row gets its bucket id from a binary-search CASE tree over the
-   boundaries (O(log P) comparisons per row, all JVM-side);
+2. each row gets its bucket id by binary search over the boundaries
+   (O(log P) comparisons per row, JVM-side): a CASE tree for a few
+   boundaries, an ``aggregate()`` search over one array literal beyond
+   that (a large CASE tree makes Catalyst's rewrites very slow);
 3. one hash shuffle on the bucket id, ``row_number``/``rank`` inside each
    bucket (a bounded range of keys);
 4. per-bucket counts (P rows, a proven bound) give the bucket offsets,
@@ -24,16 +26,17 @@ first/last values (see :func:`with_rank`).
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import ArrayType, NumericType, StringType, StructField, StructType
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 4096  # < 2**16: the search packs (lo, hi) into one int
 SAMPLE_PER_BUCKET = 64
 CONF_ROWS_PER_BUCKET = "spark.basketry.rowsPerBucket"
 
@@ -152,12 +155,57 @@ def _key_names(keys: list[Key]) -> list[str]:
     return [n for i in range(len(keys)) for n in (f"_kf{i}", f"_kv{i}")]
 
 
+TREE_MAX_BOUNDS = 32
+
+
+def _json_value(v) -> str:
+    if isinstance(v, str):
+        return json.dumps(v)
+    if isinstance(v, float):
+        return repr(v)
+    return str(v)  # int / Decimal: exact decimal text
+
+
+def _bucket_search(keyed: DataFrame, names: list[str], bounds: list[tuple]) -> DataFrame:
+    """Add ``_b`` by binary search of the key among literal boundary structs.
+
+    ``aggregate`` over ``ceil(log2(P)) + 1`` steps keeps the expression size
+    constant in P (a nested CASE tree grows with P and Catalyst's
+    conditional rewrites become very slow).  The search state (lo, hi) is
+    packed into one int, so a step allocates nothing.
+    """
+    types = {f.name: f.dataType for f in keyed.schema.fields}
+    # One string literal parsed once by constant folding: the plan holds two
+    # expression nodes instead of one per boundary value.
+    schema = ArrayType(StructType([StructField(n, types[n], True) for n in names]))
+    text = "[" + ",".join("{" + ",".join(f'"{n}":{_json_value(v)}' for n, v in zip(names, b)) + "}"
+                          for b in bounds) + "]"
+    arr = F.from_json(F.lit(text), schema)
+    steps = max(1, math.ceil(math.log2(len(bounds) + 1)) + 1)
+    key = F.col("_key")
+
+    def step(acc, _):
+        lo, hi = F.shiftright(acc, 16), acc.bitwiseAND(0xFFFF)
+        mid = F.shiftright(lo + hi + 1, 1)
+        return (F.when(lo >= hi, acc)
+                .when(key < F.element_at(arr, mid), F.shiftleft(lo, 16) + mid - 1)
+                .otherwise(F.shiftleft(mid, 16) + hi))
+
+    search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(len(bounds)), step,
+                         lambda acc: F.shiftright(acc, 16))
+    return keyed.withColumn("_key", F.struct(*[F.col(n) for n in names])) \
+        .withColumn("_b", search).drop("_key")
+
+
 def with_bucket(df: DataFrame, keys: list[Key], bounds: list[tuple]) -> DataFrame:
     """Add ``_b``: the range of the total order each row falls in (0 when no bounds)."""
     keyed = df.select("*", *_normalized(df, keys, "_k"))
     if not bounds:
         return keyed.withColumn("_b", F.lit(0))
-    return keyed.withColumn("_b", _bucket_tree(_key_names(keys), bounds, 0, len(bounds)))
+    names = _key_names(keys)
+    if len(bounds) <= TREE_MAX_BOUNDS:
+        return keyed.withColumn("_b", _bucket_tree(names, bounds, 0, len(bounds)))
+    return _bucket_search(keyed, names, bounds)
 
 
 def bucket_offsets(base: DataFrame, keys: list[Key], bounds: list[tuple]) -> Column:

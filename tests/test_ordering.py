@@ -64,3 +64,17 @@ def test_ntile_on_timestamp_ntz_keys(spark):
     got = O.with_ntile(df, [O.desc("ts"), O.asc("id")], 7, "t", 120, per_bucket=9)
     want = df.withColumn("t", F.ntile(7).over(Window.orderBy(F.col("ts").desc(), F.col("id"))))
     assert sorted(got.select("id", "t").collect()) == sorted(want.select("id", "t").collect())
+
+
+@pytest.mark.parametrize("n,per_bucket", [(700, 3), (300, 11)])
+def test_search_path_matches_window(spark, monkeypatch, n, per_bucket):
+    """Force the binary-search bucket lookup (used above TREE_MAX_BOUNDS)."""
+    monkeypatch.setattr(O, "TREE_MAX_BOUNDS", 0)
+    df = _frame(spark, n, 5, 40)
+    keys = [O.desc("metric"), O.asc("id")]
+    got = O.with_ntile(df, keys, 10, "t", n, per_bucket)
+    want = df.withColumn("t", F.ntile(10).over(Window.orderBy(F.col("metric").desc_nulls_first(), "id")))
+    assert sorted(got.select("id", "t").collect()) == sorted(want.select("id", "t").collect())
+    ranked = O.with_rank(df, [O.desc("metric")], [O.asc("id")], "r", n, per_bucket)
+    want_r = df.withColumn("r", F.rank().over(Window.orderBy(F.col("metric").desc_nulls_first())))
+    assert sorted(ranked.select("id", "r").collect()) == sorted(want_r.select("id", "r").collect())
