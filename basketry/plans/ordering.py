@@ -33,7 +33,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, NumericType, StringType, StructField, StructType
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096  # < 2**16: the search packs (lo, hi) into one int
@@ -158,6 +158,11 @@ def _key_names(keys: list[Key]) -> list[str]:
 TREE_MAX_BOUNDS = 32
 
 
+def long_array(values) -> Column:
+    """An array<bigint> literal as one expression node (parsed once by constant folding)."""
+    return F.from_json(F.lit("[" + ",".join(str(int(v)) for v in values) + "]"), ArrayType(LongType()))
+
+
 def _json_value(v) -> str:
     if isinstance(v, str):
         return json.dumps(v)
@@ -220,7 +225,7 @@ def bucket_offsets(base: DataFrame, keys: list[Key], bounds: list[tuple]) -> Col
     for b in range(len(bounds) + 1):
         offsets.append(running)
         running += counts.get(b, 0)
-    return F.array(*[F.lit(o).cast("bigint") for o in offsets])[F.col("_b")]
+    return long_array(offsets)[F.col("_b")]
 
 
 def with_position(df: DataFrame, keys: list[Key], n_rows: int, out: str = "_pos",
@@ -295,7 +300,7 @@ def with_ntiles(df: DataFrame, specs: dict[str, tuple[list[Key], int]], n_rows:
         for b in range(len(bounds[name]) + 1):
             offsets.append(running)
             running += counts.get((i, b), 0)
-        offset = F.array(*[F.lit(o).cast("bigint") for o in offsets])[F.col("_b")]
+        offset = long_array(offsets)[F.col("_b")]
         keyed = with_bucket(out, keys, bounds[name])
         rn = F.row_number().over(Window.partitionBy("_b").orderBy(*[k.spark_order() for k in keys]))
         out = keyed.withColumn(name, ntile_of(offset + rn, n_rows, tiles)).select(*out.columns, name)
