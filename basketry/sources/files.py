@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from basketry.sources.schema import SCHEMAS
 from basketry.sources.star import STAR_TABLES, Star
 
+# Fixed value: timestamp text format of the CSV exports (no zone, no 'T').
+CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
 
 def _path(root: str, name: str, fmt: str) -> str:
     for candidate in (os.path.join(root, f"{name}.{fmt}"), os.path.join(root, name)):
@@ -36,7 +39,7 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
     elif fmt == "csv":
         df = (spark.read.schema(schema).option("header", True)
               .option("sep", ",").option("nullValue", "\u0001").option("emptyValue", "")
-              .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+              .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
               .csv(path))
     else:
         raise ValueError(f"unsupported format {fmt!r}")
@@ -64,7 +67,7 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet",
                  mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
