@@ -26,10 +26,11 @@ def cohort_retention_epoch(star: Star, start: str | None = "2017-01-01", max_ind
     """
     key = "customer_unique_id"
     if variant == "faithful":
-        orders = star.orders.filter(X.is_delivered()).select("customer_id", TS).join(
-            star.customers.select("customer_id", key), "customer_id")
-        per_month = orders.groupBy(key, X.month_start(TS).alias("order_month")).agg(
-            X.month_start(F.min(TS)).alias("cohort_month"))
+        # (customer, month) first, then the customers join and (person, month)
+        per_customer = star.orders.filter(X.is_delivered()).groupBy(
+            "customer_id", X.month_start(TS).alias("order_month")).agg(F.min(TS).alias("_first"))
+        per_month = per_customer.join(star.customers.select("customer_id", key), "customer_id") \
+            .groupBy(key, "order_month").agg(X.month_start(F.min("_first")).alias("cohort_month"))
         seconds = F.unix_seconds(F.col("order_month").cast("timestamp")) - \
             F.unix_seconds(F.col("cohort_month").cast("timestamp"))
         indexed = per_month.withColumn("month_index", F.round(seconds / SECONDS_PER_30_DAYS).cast("bigint"))

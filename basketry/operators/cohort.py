@@ -43,12 +43,17 @@ def active_months(star: Star, key: str = "customer_id", cond=None) -> DataFrame:
 
     One shuffle on the key: the set of active months is deduplicated
     map-side, so even a key holding a third of all orders contributes at
-    most one entry per calendar month.
+    most one entry per calendar month.  For a person-level key the months
+    are first reduced per customer_id, then joined to customers.
     """
-    months = _orders_of(star, key, cond).groupBy(key).agg(
-        F.collect_set(X.month_start(TS)).alias("_months"))
-    return months.select(key, F.array_min("_months").alias("cohort_month"),
-                         F.explode("_months").alias("month")) \
+    cond = X.is_valid() if cond is None else cond
+    months = star.orders.filter(cond).select("customer_id", X.month_start(TS).alias("m"))
+    if key != "customer_id":
+        months = months.filter(F.col("m").isNotNull()).distinct() \
+            .join(star.customers.select("customer_id", key), "customer_id")
+    sets = months.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("m").alias("_months"))
+    return sets.select(key, F.array_min("_months").alias("cohort_month"),
+                       F.explode("_months").alias("month")) \
         .withColumn("period_number", X.month_diff("cohort_month", "month").cast("bigint"))
 
 

@@ -177,11 +177,13 @@ def rfm4_segment_sizes(star: Star, variant: str = "faithful", per_bucket: int |
     quartile is not used by the rules and is therefore not computed.
     """
     key = "customer_unique_id"
-    facts = order_facts(star, X.is_delivered()).join(
-        star.customers.select("customer_id", key), "customer_id")
-    metrics = facts.groupBy(key).agg(
-        F.to_date(F.max(TS)).alias("last_order"),
-        X.as_long(F.countDistinct("order_id")).alias("frequency"))
+    # reduced per customer before the customers join (hot customers collapse
+    # map-side); order_id is a key, so per-customer distinct counts add up
+    per_customer = order_facts(star, X.is_delivered()).groupBy("customer_id").agg(
+        F.max(TS).alias("_last"), F.countDistinct("order_id").alias("_n"))
+    metrics = per_customer.join(star.customers.select("customer_id", key), "customer_id").groupBy(key).agg(
+        F.to_date(F.max("_last")).alias("last_order"),
+        X.as_long(F.sum("_n")).alias("frequency"))
     r_key = O.desc("last_order") if variant == "faithful" else O.asc("last_order")
     s = score(metrics, key, 4, {"r_score": (r_key, False), "f_score": (O.asc("frequency"), False)},
               per_bucket)

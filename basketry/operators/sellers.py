@@ -136,18 +136,27 @@ def underperformers(star: Star, min_items: int = 5, per_bucket: int | None = Non
 
 
 def state_delivery(star: Star) -> DataFrame:
-    """Order-grain delivery days and late share per customer state, slowest first."""
+    """Order-grain delivery days and late share per customer state, slowest first.
+
+    Orders are reduced to (customer, delivery days) counts before the
+    customers join, so a customer with a huge share of orders collapses
+    map-side; the median uses the counts as frequencies.  With order_id and
+    customer_id as keys this equals the order-grain join.
+    """
     rows = star.orders.filter(_delivered_with_date(False)).select(
-        "order_id", "customer_id", X.day_diff(TS, DELIV).alias("days"),
-        X.is_late(DELIV, EST).alias("late")).join(
-        star.customers.select("customer_id", "customer_state"), "customer_id")
-    per_state = rows.groupBy("customer_state").agg(
-        X.avg_of("days").alias("_avg"),
-        X.round_exact(F.percentile("days", 0.5), 1).alias("median_delivery_days"),
-        X.pct(F.sum("late"), F.count(F.lit(1)), 2).alias("late_delivery_pct"))
-    counts = distinct_count(rows, "customer_state", "order_id", "total_orders") \
-        .withColumnRenamed("customer_state", "_state")
-    per_state = per_state.join(counts, per_state["customer_state"].eqNullSafe(counts["_state"])).drop("_state")
+        "order_id", "customer_id", X.day_diff(TS, DELIV).alias("days"), X.is_late(DELIV, EST).alias("late"))
+    states = star.customers.select("customer_id", "customer_state")
+    per_days = rows.groupBy("customer_id", "days").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("late").alias("n_late")).join(states, "customer_id")
+    n, valid_n = F.col("n"), F.when(F.col("days").isNotNull(), F.col("n"))
+    per_state = per_days.groupBy("customer_state").agg(
+        X.ratio(F.sum(F.col("days") * n), F.sum(valid_n)).alias("_avg"),
+        X.round_exact(F.percentile("days", 0.5, n), 1).alias("median_delivery_days"),
+        X.pct(F.sum("n_late"), F.sum(n), 2).alias("late_delivery_pct"))
+    orders = rows.groupBy("customer_id").agg(F.countDistinct("order_id").alias("n_orders")) \
+        .join(states, "customer_id").groupBy(F.col("customer_state").alias("_state")) \
+        .agg(F.sum("n_orders").cast("bigint").alias("total_orders"))
+    per_state = per_state.join(orders, per_state["customer_state"].eqNullSafe(orders["_state"])).drop("_state")
     return per_state.select(
         "customer_state", "total_orders", F.round("_avg", 1).alias("avg_delivery_days"),
         "median_delivery_days", "late_delivery_pct",

@@ -56,3 +56,18 @@ def test_bucketed_ordering_matches_oracle(spark, con_small, name):
         _compare(spark, con_small, SF_SMALL, name)
     finally:
         spark.conf.unset(CONF_ROWS_PER_BUCKET)
+
+
+def test_faithful_chart_cohort_all_cohorts(spark, con_small):
+    """The faithful chart cohort with every cohort kept (its fixed start date
+    lies after the test data) against the oracle without the start filter."""
+    from basketry.operators import charts
+    from basketry.registry import star_for
+    sql = E.oracle_sql()["ch02_cohort_epoch"].replace(
+        "r.cohort_month >= TIMESTAMP '2017-01-01' AND ", "")
+    df = charts.cohort_retention_epoch(star_for(spark, SF_SMALL), start=None)
+    res = con_small.execute(sql)
+    rows = res.fetchall()
+    assert len(rows) > 0
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([c[0] for c in res.description], rows)
+    assert {r[2] for r in rows} == {100.0} and {r[1] for r in rows} == {0}
