@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans.facts import aggregate, items_of_orders, order_facts
+from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
 TS = "order_purchase_timestamp"
@@ -56,7 +57,8 @@ def _category(products: DataFrame) -> DataFrame:
 def category_ranking(star: Star, limit: int = 10) -> DataFrame:
     """Top categories by revenue with share of total and two ranks."""
     items = items_of_orders(star, X.is_valid(), ("order_id", "product_id", "price", "freight_value"))
-    per_cat = aggregate(items.join(_category(star.products), "product_id"), ["category"], [
+    per_cat = aggregate(join_splitting_hot_keys(items, _category(star.products), "product_id",
+                                                hot=star.hot_keys("order_items", "product_id")), ["category"], [
         F.round(F.sum("price"), 2).alias("_rev"),
         F.round(X.avg_of("price"), 2).alias("avg_item_price"),
         F.round(X.ratio(F.sum("freight_value"), F.sum("price")) * 100, 2).alias("freight_to_revenue_pct")],
@@ -84,7 +86,9 @@ def payment_mix(star: Star, variant: str = "faithful") -> DataFrame:
     equals summing over the joined rows.  ``variant='corrected'`` counts
     each payment once per (order, category) instead of once per item.
     """
-    cats = star.order_items.select("order_id", "product_id").join(_category(star.products), "product_id") \
+    cats = join_splitting_hot_keys(star.order_items.select("order_id", "product_id"),
+                                   _category(star.products), "product_id",
+                                   hot=star.hot_keys("order_items", "product_id")) \
         .groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
     if variant == "corrected":
         cats = cats.withColumn("n_items", F.lit(1).cast("bigint"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
+from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
 TS = "order_purchase_timestamp"
@@ -87,9 +88,10 @@ def low_score_share(star: Star) -> DataFrame:
 def _category_score_counts(star: Star) -> DataFrame:
     """(category, score, review_count): item x review rows of delivered orders."""
     reviews = star.order_reviews.groupBy("order_id", SCORE).agg(F.count(F.lit(1)).alias("n_rev"))
-    items = star.order_items.select("order_id", "product_id").join(
-        star.products.select("product_id", F.coalesce("product_category_name", F.lit("unknown"))
-                             .alias("category")), "product_id") \
+    categories = star.products.select(
+        "product_id", F.coalesce("product_category_name", F.lit("unknown")).alias("category"))
+    items = join_splitting_hot_keys(star.order_items.select("order_id", "product_id"), categories,
+                                    "product_id", hot=star.hot_keys("order_items", "product_id")) \
         .groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
     rows = star.orders.filter(X.is_delivered()).select("order_id").join(items, "order_id") \
         .join(reviews, "order_id")

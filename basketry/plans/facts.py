@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
+from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
 
@@ -42,9 +43,10 @@ def order_facts(star: Star, cond=None, cols=("customer_id", "order_purchase_time
 def items_of_orders(star: Star, cond, item_cols=("order_id", "product_id", "seller_id",
                                                  "price", "freight_value"),
                     order_cols=()) -> DataFrame:
-    """Item rows of the orders matching ``cond`` (item grain, inner join)."""
-    return star.order_items.select(*item_cols).join(
-        orders_where(star, cond, *order_cols), "order_id")
+    """Item rows of the orders matching ``cond`` (item grain, inner join; hot orders split out)."""
+    return join_splitting_hot_keys(star.order_items.select(*item_cols),
+                                   orders_where(star, cond, *order_cols), "order_id",
+                                   hot=star.hot_keys("order_items", "order_id"))
 
 
 def aggregate(rows: DataFrame, keys: list[str], aggs: list, distinct: dict[str, str]) -> DataFrame:

@@ -19,6 +19,7 @@ class Star:
         if missing:
             raise ValueError(f"missing star tables: {sorted(missing)}")
         self._tables = dict(tables)
+        self._hot: dict[tuple, list] = {}
 
     def table(self, name: str) -> DataFrame:
         value = self._tables[name]
@@ -30,6 +31,19 @@ class Star:
     def items(self):
         return ((name, self.table(name)) for name in STAR_TABLES)
 
+    def hot_keys(self, table: str, key: str) -> list:
+        """Keys of ``table.key`` holding very many rows (see plans.skew), computed once.
+
+        Taken over the whole table, so they include the hot keys of any
+        filtered or projected fact built from it.
+        """
+        from basketry.plans.skew import hot_key_rows, hot_keys
+        df = self.table(table)
+        memo = (table, key, hot_key_rows(df.sparkSession))
+        if memo not in self._hot:
+            self._hot[memo] = hot_keys(df.select(key), key)
+        return self._hot[memo]
+
     def replace(self, **tables) -> "Star":
         return Star(**{**self._tables, **tables})
 
