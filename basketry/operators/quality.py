@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
+from basketry.plans.skew import anti_join_splitting_hot_keys
 from basketry.sources.star import STAR_TABLES, Star
 
 
@@ -85,22 +86,31 @@ def duplicate_orders(star: Star) -> DataFrame:
     return duplicate_keys(star.orders, "order_id")
 
 
-def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
-    """Child rows whose key has no parent row (NULL keys count as orphans)."""
-    return child.select(key).join(parent.select(key), key, "left_anti").agg(
+def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str, hot: list | None = None) -> DataFrame:
+    """Child rows whose key has no parent row (NULL keys count as orphans).
+
+    ``hot``: child keys with very many rows, checked against a broadcast of
+    just their parent keys instead of going through the shuffle.
+    """
+    return anti_join_splitting_hot_keys(child.select(key), parent, key, hot or []).agg(
         F.count(F.lit(1)).alias(name))
 
 
+def _items_missing(star: Star, parent: str, key: str, name: str) -> DataFrame:
+    return orphan_count(star.order_items, star.table(parent), key, name,
+                        star.hot_keys("order_items", key))
+
+
 def items_missing_order(star: Star) -> DataFrame:
-    return orphan_count(star.order_items, star.orders, "order_id", "items_missing_order")
+    return _items_missing(star, "orders", "order_id", "items_missing_order")
 
 
 def items_missing_product(star: Star) -> DataFrame:
-    return orphan_count(star.order_items, star.products, "product_id", "items_missing_product")
+    return _items_missing(star, "products", "product_id", "items_missing_product")
 
 
 def items_missing_seller(star: Star) -> DataFrame:
-    return orphan_count(star.order_items, star.sellers, "seller_id", "items_missing_seller")
+    return _items_missing(star, "sellers", "seller_id", "items_missing_seller")
 
 
 def top_values(df: DataFrame, column: str, limit: int = 20, count_name: str = "cnt") -> DataFrame:

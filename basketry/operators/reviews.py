@@ -32,12 +32,21 @@ def _order_of(labels) -> F.Column:
     return F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i + 1))])
 
 
+def _reviews_per_order(star: Star, *cols: str) -> DataFrame:
+    """Review rows counted per (order_id, cols): the order join then carries
+    one row per distinct combination instead of one per review."""
+    return star.order_reviews.groupBy("order_id", *cols).agg(F.count(F.lit(1)).alias("n_rev"))
+
+
 def score_distribution(star: Star) -> DataFrame:
-    rows = star.order_reviews.select("order_id", SCORE, "review_creation_date").join(
-        star.orders.select("order_id", TS), "order_id")
+    rows = _reviews_per_order(star, SCORE, "review_creation_date").join(
+        star.orders.select("order_id", TS), "order_id") \
+        .withColumn("_days", X.day_diff(TS, "review_creation_date"))
+    n = F.col("n_rev")
     per_score = rows.groupBy(SCORE).agg(
-        F.count(F.lit(1)).alias("review_count"),
-        F.round(X.avg_of(X.day_diff(TS, "review_creation_date")), 1).alias("avg_days_to_review"))
+        F.sum(n).alias("review_count"),
+        F.round(X.ratio(F.sum(F.col("_days") * n), F.sum(F.when(F.col("_days").isNotNull(), n))), 1)
+        .alias("avg_days_to_review"))
     return per_score.select(
         SCORE, "review_count",
         X.pct(F.col("review_count"), F.sum("review_count").over(Window.partitionBy()), 2)
@@ -63,25 +72,33 @@ def delay_bucket(variant: str = "faithful") -> F.Column:
 def delay_vs_score(star: Star, variant: str = "faithful") -> DataFrame:
     delivered = X.is_delivered() & F.col(DELIV).isNotNull() & F.col(EST).isNotNull()
     rows = star.orders.filter(delivered).select("order_id", delay_bucket(variant).alias("delay_bucket")) \
-        .join(star.order_reviews.select("order_id", SCORE), "order_id")
-    low, five = X.flag_sum(F.col(SCORE) <= 2), X.flag_sum(F.col(SCORE) == 5)
-    n = F.count(F.lit(1))
+        .join(_reviews_per_order(star, SCORE), "order_id")
+    r = F.col("n_rev")
+    low = F.sum(F.when(F.col(SCORE) <= 2, r).otherwise(0))
+    five = F.sum(F.when(F.col(SCORE) == 5, r).otherwise(0))
+    n = F.sum(r)
     return rows.groupBy("delay_bucket").agg(
         n.alias("order_count"),
-        F.round(X.avg_of(SCORE), 3).alias("avg_review_score"),
+        F.round(X.ratio(F.sum(F.col(SCORE) * r), F.sum(F.when(F.col(SCORE).isNotNull(), r))), 3)
+        .alias("avg_review_score"),
         low.alias("low_score_count"), X.pct(low, n, 2).alias("low_score_pct"),
         five.alias("five_star_count"), X.pct(five, n, 2).alias("five_star_pct"),
     ).orderBy(_order_of(DELAY_BUCKETS)[F.col("delay_bucket")])
 
 
 def low_score_share(star: Star) -> DataFrame:
-    rows = star.order_reviews.select("order_id", SCORE).join(
+    rows = _reviews_per_order(star, SCORE).join(
         star.orders.filter(X.is_delivered()).select("order_id"), "order_id")
-    n = F.count(F.lit(1))
-    below3, one = X.flag_sum(F.col(SCORE) < 3), X.flag_sum(F.col(SCORE) == 1)
+    r = F.col("n_rev")
+
+    def count_where(cond):  # SUM(CASE WHEN cond THEN 1 ELSE 0 END) over review rows
+        return F.sum(F.when(cond, r).otherwise(0))
+
+    n = F.coalesce(F.sum(r), F.lit(0))
+    below3, one = count_where(F.col(SCORE) < 3), count_where(F.col(SCORE) == 1)
     return rows.agg(
         n.alias("total_reviewed_orders"), below3.alias("below_3_star"),
-        X.flag_sum(F.col(SCORE) <= 2).alias("one_or_two_star"), one.alias("one_star"),
+        count_where(F.col(SCORE) <= 2).alias("one_or_two_star"), one.alias("one_star"),
         X.pct(below3, n, 2).alias("pct_below_3_stars"), X.pct(one, n, 2).alias("pct_one_star"))
 
 

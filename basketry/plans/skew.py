@@ -46,3 +46,17 @@ def join_splitting_hot_keys(fact: DataFrame, dim: DataFrame, key: str, min_rows:
     hot_part = fact.filter(is_hot).join(F.broadcast(dim.filter(is_hot)), key)
     cold_part = fact.filter(~is_hot).join(dim.filter(~is_hot), key)
     return hot_part.unionByName(cold_part)
+
+
+def anti_join_splitting_hot_keys(fact: DataFrame, dim: DataFrame, key: str, hot: list) -> DataFrame:
+    """Rows of ``fact`` whose key has no ``dim`` row, hot keys checked map-side.
+
+    NULL keys never match, so they are always kept (as in a left anti join).
+    """
+    if not hot:
+        return fact.join(dim.select(key), key, "left_anti")
+    is_hot = F.col(key).isin(hot)
+    hot_part = fact.filter(is_hot).join(F.broadcast(dim.select(key).filter(is_hot)), key, "left_anti")
+    cold_part = fact.filter(~is_hot | F.col(key).isNull()).join(
+        dim.select(key).filter(~is_hot), key, "left_anti")
+    return hot_part.unionByName(cold_part)

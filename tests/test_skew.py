@@ -37,6 +37,7 @@ def test_operators_with_hot_keys_forced_match_oracle(spark):
     spark.conf.set(CONF_HOT_KEY_ROWS, "2")
     try:
         for name in ("rv02_top_categories", "rv03_payment_mix", "rs04_category_ratings_corrected",
+                     "dq09_items_missing_order", "dq10_items_missing_product", "dq11_items_missing_seller",
                      "sl01_seller_sla", "sl02_seller_ranking"):
             _compare(spark, con, SF_SMALL, name)
     finally:
