@@ -15,15 +15,20 @@ from basketry.session import ensure_checkpoint_dir
 from basketry.sources.testdata import star_from_testdata
 
 
-_STARS: dict[tuple[int, str], object] = {}
+_STARS: dict[tuple[int, str], tuple[SparkSession, object]] = {}
 
 
 def star_for(spark: SparkSession, sf_dir: str):
-    """Mapped star for (session, directory); the plans are built once."""
+    """Mapped star for (session, directory); the plans are built once per session.
+
+    The session object is kept with the entry, so a new session can never be
+    handed plans of a stopped one that happened to have the same id.
+    """
     key = (id(spark), sf_dir)
-    if key not in _STARS:
-        _STARS[key] = star_from_testdata(spark, sf_dir)
-    return _STARS[key]
+    cached = _STARS.get(key)
+    if cached is None or cached[0] is not spark:
+        _STARS[key] = (spark, star_from_testdata(spark, sf_dir))
+    return _STARS[key][1]
 
 
 def _pivot(variant: str, start):
