@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
+from basketry.plans import ordering as O
 from basketry.plans.skew import anti_join_splitting_hot_keys
 from basketry.sources.star import STAR_TABLES, Star
 
@@ -130,20 +131,24 @@ def null_rate(star: Star, column: str = "product_category_name") -> DataFrame:
         X.pct(nulls, F.count(F.lit(1)), 2).alias("null_pct"))
 
 
-def numeric_profile(star: Star, column: str = "price") -> DataFrame:
+def numeric_profile(star: Star, column: str = "price", per_bucket: int | None = None) -> DataFrame:
     """MIN, MAX, mean, exact interpolated median / p95 and the count of values <= 0.
 
-    ``percentile`` keeps a value -> count map per partial aggregate, so its
-    memory is bounded by the number of distinct amounts (cents), not rows.
+    The percentiles come from a distributed histogram of the values
+    (map-side partial counts, then range buckets of distinct values), so no
+    task holds all distinct values; two values per percentile return.
     """
     v = F.col(column)
-    qs = F.percentile(v.cast("double"), [0.5, 0.95])
-    return star.order_items.agg(
+    items = star.order_items.select(column)
+    hist = items.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    median, p95 = O.histogram_percentiles(hist.withColumn(column, v.cast("double")), column, "n",
+                                          [0.5, 0.95], per_bucket)
+    return items.agg(
         F.min(v).cast("double").alias("min_price"),
         F.max(v).cast("double").alias("max_price"),
         X.avg_of(column).alias("avg_price"),
-        qs.alias("_q"),
         X.flag_sum(v <= 0).alias("zero_or_neg_price"),
     ).select("min_price", "max_price", "avg_price",
-             F.col("_q")[0].alias("median_price"), F.col("_q")[1].alias("p95_price"),
+             F.lit(median).cast("double").alias("median_price"),
+             F.lit(p95).cast("double").alias("p95_price"),
              "zero_or_neg_price")

@@ -374,3 +374,52 @@ def exact_percentile(df: DataFrame, value: str, q: float, tiebreak: str,
            ranked.filter(F.col("_p").isin(lo + 1, hi + 1)).collect()}
     a, b = got[lo + 1], got[hi + 1]
     return a + (b - a) * (pos - lo)
+
+
+def histogram_percentiles(hist: DataFrame, value: str, weight: str, qs: list[float],
+                          per_bucket: int | None = None) -> list[float | None]:
+    """PERCENTILE_CONT(q) for each q over a histogram of (distinct value, row count).
+
+    The histogram is cut into value ranges like any other ordering; the
+    running row count is the per-bucket offset (literal) plus a running sum
+    inside the bucket, and only the rows holding the requested positions
+    (two per q) come back.  Interpolation: lo + (hi - lo) * fraction of
+    (N - 1) * q.
+    """
+    hist = hist.filter(F.col(value).isNotNull()).select(value, F.col(weight).cast("bigint").alias("_w"))
+    n_vals = hist.count()
+    total = hist.agg(F.sum("_w")).first()[0] if n_vals else 0
+    if not total:
+        return [None for _ in qs]
+    keys = [asc(value)]
+    bounds = boundaries(hist, keys, n_vals, per_bucket)
+    keyed = with_bucket(hist, keys, bounds)
+    sums = dict(keyed.groupBy("_b").agg(F.sum("_w")).collect())
+    offsets, running = [], 0
+    for b in range(len(bounds) + 1):
+        offsets.append(running)
+        running += sums.get(b, 0)
+    upto = Window.partitionBy("_b").orderBy(F.col(value).asc()).rowsBetween(Window.unboundedPreceding,
+                                                                           Window.currentRow)
+    ranked = keyed.withColumn("_cum", long_array(offsets)[F.col("_b")] + F.sum("_w").over(upto))
+    positions = {}
+    for q in qs:
+        rn = (total - 1) * q
+        positions[q] = (rn, math.floor(rn) + 1, math.ceil(rn) + 1)
+    wanted = sorted({p for _, lo, hi in positions.values() for p in (lo, hi)})
+    hit = None
+    for p in wanted:
+        cond = (F.col("_cum") - F.col("_w") < p) & (F.col("_cum") >= p)
+        hit = cond if hit is None else hit | cond
+    rows = [(r["_cum"] - r["_w"], r["_cum"], float(r[value])) for r in
+            ranked.filter(hit).select(value, "_w", "_cum").collect()]
+
+    def at(p):
+        return next(v for start, end, v in rows if start < p <= end)
+
+    out = []
+    for q in qs:
+        rn, lo, hi = positions[q]
+        a, b = at(lo), at(hi)
+        out.append(a + (b - a) * (rn - math.floor(rn)))
+    return out

@@ -78,3 +78,14 @@ def test_search_path_matches_window(spark, monkeypatch, n, per_bucket):
     ranked = O.with_rank(df, [O.desc("metric")], [O.asc("id")], "r", n, per_bucket)
     want_r = df.withColumn("r", F.rank().over(Window.orderBy(F.col("metric").desc_nulls_first())))
     assert sorted(ranked.select("id", "r").collect()) == sorted(want_r.select("id", "r").collect())
+
+
+@pytest.mark.parametrize("per_bucket", [1, 7, 10**6])
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.95, 1.0])
+def test_histogram_percentiles(spark, per_bucket, q):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 60, size=500).astype(float) / 4
+    hist = spark.createDataFrame([(float(v), int(c)) for v, c in zip(*np.unique(values, return_counts=True))],
+                                 "v double, n long")
+    got = O.histogram_percentiles(hist, "v", "n", [q], per_bucket)[0]
+    assert got == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-9)
