@@ -40,16 +40,17 @@ def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
         "seller_id", "order_id",
         X.day_diff(TS, DELIV).alias("actual"), X.day_diff(TS, EST).alias("estimated"),
         X.day_diff(EST, DELIV).alias("delay"), X.is_late(DELIV, EST).alias("late"))
-    per_seller = rows.groupBy("seller_id").agg(
+    # the distinct order count is its own aggregate: next to percentiles,
+    # Spark's single-distinct rewrite would keep a buffer per (seller, order)
+    per_seller = aggregate(rows, ["seller_id"], [
         F.round(X.avg_of("actual"), 1).alias("avg_actual_days"),
         F.round(X.avg_of("estimated"), 1).alias("avg_estimated_days"),
         F.round(X.avg_of("delay"), 1).alias("avg_delay_days"),
         F.sum("late").alias("late_orders"),
         X.pct(F.sum("late"), F.count(F.lit(1)), 2).alias("sla_breach_rate_pct"),
         X.round_exact(F.percentile("actual", 0.5), 1).alias("median_delivery_days"),
-        X.round_exact(F.percentile("actual", 0.95), 1).alias("p95_delivery_days"),
-    ).join(distinct_count(rows, "seller_id", "order_id", "total_orders"), "seller_id") \
-        .filter(F.col("total_orders") >= min_orders)
+        X.round_exact(F.percentile("actual", 0.95), 1).alias("p95_delivery_days")],
+        {"total_orders": "order_id"}).filter(F.col("total_orders") >= min_orders)
     return per_seller.join(star.sellers.select("seller_id", "seller_state", "seller_city"), "seller_id") \
         .select("seller_id", "seller_state", "seller_city", "total_orders", "avg_actual_days",
                 "avg_estimated_days", "avg_delay_days", "late_orders", "sla_breach_rate_pct",
@@ -57,16 +58,6 @@ def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
         .orderBy(F.col("sla_breach_rate_pct").desc_nulls_first(), "seller_id")
 
 
-def distinct_count(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """COUNT(DISTINCT value) per key as its own aggregate over distinct pairs.
-
-    Kept apart from percentile aggregates: Spark's single-distinct rewrite
-    would otherwise hold one percentile buffer per (key, value) pair.
-    """
-    return rows.select(key, value).distinct().groupBy(key).agg(
-        F.count(value).cast("bigint").alias(out))
-
-
 def seller_revenue(star: Star) -> DataFrame:
     rows = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "product_id", "price",
                                                 "freight_value"), ("customer_id",))
