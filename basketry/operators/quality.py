@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans import ordering as O
+from basketry.session import materialize
 from basketry.plans.skew import anti_join_splitting_hot_keys
 from basketry.sources.star import STAR_TABLES, Star
 
@@ -140,9 +141,9 @@ def numeric_profile(star: Star, column: str = "price", per_bucket: int | None =
     """
     v = F.col(column)
     items = star.order_items.select(column)
-    hist = items.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    median, p95 = O.histogram_percentiles(hist.withColumn(column, v.cast("double")), column, "n",
-                                          [0.5, 0.95], per_bucket)
+    # one row per distinct value, read by several small jobs: cut its lineage once
+    hist = materialize(items.groupBy(v.cast("double").alias(column)).agg(F.count(F.lit(1)).alias("n")))
+    median, p95 = O.histogram_percentiles(hist, column, "n", [0.5, 0.95], per_bucket)
     return items.agg(
         F.min(v).cast("double").alias("min_price"),
         F.max(v).cast("double").alias("max_price"),

@@ -387,8 +387,7 @@ def histogram_percentiles(hist: DataFrame, value: str, weight: str, qs: list[flo
     (N - 1) * q.
     """
     hist = hist.filter(F.col(value).isNotNull()).select(value, F.col(weight).cast("bigint").alias("_w"))
-    n_vals = hist.count()
-    total = hist.agg(F.sum("_w")).first()[0] if n_vals else 0
+    n_vals, total = hist.agg(F.count(F.lit(1)), F.sum("_w")).first()
     if not total:
         return [None for _ in qs]
     keys = [asc(value)]
