@@ -3,8 +3,8 @@
 A fact key holding a large share of the rows (one product in a third of
 all items, one order with millions of lines) would put all of those rows
 into a single join task.  Such keys are found first with one aggregate
-over the fact's key column (map-side partial counts; only keys above the
-threshold come back, at most ``max_hot`` of them).  Their rows are joined
+over a sample of the fact's key column (only keys above the threshold
+come back, at most ``max_hot`` of them).  Their rows are joined
 map-side against a broadcast of just those keys' dimension rows - a bound
 of ``max_hot`` keys - and every other key goes through the usual shuffle
 join.  The two parts are disjoint by key, so their union is the join.
@@ -24,11 +24,25 @@ def hot_key_rows(spark) -> int:
     return int(spark.conf.get(CONF_HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS)))
 
 
+SAMPLED_ROWS_PER_HOT_KEY = 1000
+
+
 def hot_keys(fact: DataFrame, key: str, min_rows: int | None = None, max_hot: int = MAX_HOT_KEYS) -> list:
-    """Keys of ``fact`` with more than ``min_rows`` rows (the largest ``max_hot``)."""
+    """Keys of ``fact`` with more than ``min_rows`` rows (the largest ``max_hot``).
+
+    Counted on a sample in which a key at the threshold appears about
+    SAMPLED_ROWS_PER_HOT_KEY times (candidates above half that are taken),
+    so only the sampled rows are shuffled.  Missing or extra candidates
+    never change a split join's result, only where its rows are joined.
+    """
     min_rows = min_rows or hot_key_rows(fact.sparkSession)
-    counts = fact.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return [r[key] for r in counts.filter(F.col("count") > min_rows)
+    rows = fact.filter(F.col(key).isNotNull()).select(key)
+    fraction = min(1.0, SAMPLED_ROWS_PER_HOT_KEY / min_rows)
+    threshold = min_rows
+    if fraction < 1.0:
+        rows, threshold = rows.sample(False, fraction, 29), min_rows * fraction / 2
+    counts = rows.groupBy(key).count()
+    return [r[key] for r in counts.filter(F.col("count") > threshold)
             .orderBy(F.col("count").desc(), key).limit(max_hot).collect()]
 
 

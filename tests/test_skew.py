@@ -42,3 +42,9 @@ def test_operators_with_hot_keys_forced_match_oracle(spark):
             _compare(spark, con, SF_SMALL, name)
     finally:
         spark.conf.unset(CONF_HOT_KEY_ROWS)
+
+
+def test_sampled_detection_finds_a_dominant_key(spark):
+    # one key with 60% of 200k rows must be found from the sample
+    df = spark.range(0, 200_000).select(F.when(F.col("id") % 5 < 3, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    assert hot_keys(df, "k", min_rows=50_000) == [7]
