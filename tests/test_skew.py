@@ -48,3 +48,22 @@ def test_sampled_detection_finds_a_dominant_key(spark):
     # one key with 60% of 200k rows must be found from the sample
     df = spark.range(0, 200_000).select(F.when(F.col("id") % 5 < 3, F.lit(7)).otherwise(F.col("id")).alias("k"))
     assert hot_keys(df, "k", min_rows=50_000) == [7]
+
+
+def test_star_memoizes_hot_keys(spark):
+    from basketry.plans.skew import CONF_HOT_KEY_ROWS
+    star = star_for(spark, SF_SMALL)
+    spark.conf.set(CONF_HOT_KEY_ROWS, "3")
+    try:
+        first = star.hot_keys("order_items", "product_id")
+        assert first and star.hot_keys("order_items", "product_id") is first
+    finally:
+        spark.conf.unset(CONF_HOT_KEY_ROWS)
+    assert star.hot_keys("order_items", "product_id") == []  # default threshold: nothing that large
+
+
+def test_cli_lists_every_query(capsys):
+    import __spark_entry__ as E
+    from basketry.__main__ import main
+    assert main(["--list"]) == 0
+    assert capsys.readouterr().out.split() == list(E.queries())
