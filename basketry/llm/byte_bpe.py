@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import ship
-from basketry.llm.pieces import PieceCodes
+from basketry.llm.pieces import PieceCodes, splitter
 
 _CODECS: dict = {}
 
@@ -145,12 +145,11 @@ class Codec:
     """Encoder and decoder of one worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.decimals = [b"%d," % i for i in range(len(self.pieces))]
-        self.encode = PieceCodes(regex.compile(pattern).findall, Merges(ranks))
+        self.encode = PieceCodes(splitter(pattern), Merges(ranks))
 
 
 def codec(ranks: dict[bytes, int], pattern: str) -> Codec:

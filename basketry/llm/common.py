@@ -148,8 +148,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def combine(parts: Iterator[np.ndarray]) -> np.ndarray:
-    """Order-dependent 64-bit hash of equally long arrays, element by element."""
+    """Order-dependent 64-bit hash of equally long arrays of hashes, element by element."""
     out = None
     for p in parts:
-        out = mix64(p + MIX) if out is None else mix64(out * MIX + p)
-    return out
+        out = p.copy() if out is None else out * MIX + p
+    return mix64(out)

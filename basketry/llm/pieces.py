@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+STOPS = tuple(".,;:!?")
 LONG = 64  # longer parts and words are not remembered
 
 
@@ -21,11 +22,26 @@ def _clean(part: str) -> bool:
     return bool(part) and not part[0].isspace() and not part[-1].isspace()
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Matches of the byte-level ``pattern``; letters with at most one stop after them need no matching."""
+    import regex
+    match = regex.compile(pattern).findall
+
+    def words(part: str) -> list[str]:
+        body = part[1:] if part[:1] == " " else part
+        if body.isalpha():
+            return [part]
+        if body[-1:] in STOPS and body[:-1].isalpha():
+            return [part[:-1], body[-1]]
+        return match(part)
+    return words
+
+
 class PieceCodes:
     """``words(text)`` splits a text; ``encode(words)`` gives the codes (bytes) of distinct words."""
 
     def __init__(self, words: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]],
-                 parts_limit: int = 200_000, words_limit: int = 300_000):
+                 parts_limit: int = 300_000, words_limit: int = 400_000):
         self.words, self.encode = words, encode
         self.parts_limit, self.words_limit = parts_limit, words_limit
         self.parts: dict[str, bytes] = {}

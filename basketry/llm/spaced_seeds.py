@@ -33,23 +33,30 @@ PROBES = 3
 MATCH, MISMATCH = 1, -2
 
 
-def seed_hashes(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of every mask at every place where it fits."""
-    at, out = [], []
+def all_seeds(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes and spans of every mask at every place where it fits."""
+    at, out, spans = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for number, mask in enumerate(masks):
         n = len(words) - len(mask) + 1
         if n > 0:
             ones = [i for i, c in enumerate(mask) if c == "1"]
             tag = np.full(n, number + 1, np.uint64)
             out.append(combine([tag, *(words[i:i + n] for i in ones)]))
-            at.append(np.arange(n, dtype=np.int32))
-    return (np.concatenate(at), np.concatenate(out)) if at else (np.empty(0, np.int32), np.empty(0, np.uint64))
+            at.append(np.arange(n))
+            spans.append(np.full(n, len(mask)))
+    return np.concatenate(at), np.concatenate(out), np.concatenate(spans)
+
+
+def seed_hashes(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of one text's seeds."""
+    at, found, _ = all_seeds(words, masks)
+    return at.astype(np.int32), found
 
 
-def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Places of hashes in a table of 2**bits bits."""
-    mask = np.uint64((1 << bits) - 1)
-    return [(hashes >> np.uint64(18 * k)) & mask for k in range(PROBES)]
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct sorted keys and the values of each."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+    return keys[first].tolist(), np.split(values, first[1:]) if len(first) else []
 
 
 def item_words(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -91,11 +98,12 @@ def bit_table(seeds: DataFrame) -> np.ndarray:
 
 
 def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = (len(table) * 64).bit_length() - 1
-    out = np.ones(len(hashes), bool)
-    for place in probes(hashes, bits):
-        out &= (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
-    return out
+    """Indices of the hashes that the table may hold."""
+    bits, live = (len(table) * 64).bit_length() - 1, np.arange(len(hashes))
+    for k in range(PROBES):
+        place = (hashes[live] >> np.uint64(18 * k)) & np.uint64((1 << bits) - 1)
+        live = live[(table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0]
+    return live
 
 
 def candidates(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -108,15 +116,20 @@ def candidates(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...] = MASK
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part, keep, raw, places, hashes = batch.slice(a, 512), [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    words = hasher(text)
-                    at, found = seed_hashes(words, masks)
-                    hit = may_hold(bits, found)
-                    if hit.any():
-                        keep.append(i)
-                        raw.append(words.tobytes())
-                        places.append(at[hit].tolist())
-                        hashes.append(found[hit].view(np.int64).tolist())
+                words = [hasher(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([len(w) for w in words])
+                # all texts in one go; seeds that reach over a text's end are none
+                at, found, spans = all_seeds(np.concatenate(words), masks)
+                hit = may_hold(bits, found)
+                owner = np.searchsorted(ends, at[hit], side="right")
+                inside = at[hit] + spans[hit] <= ends[owner]
+                hit, owner = hit[inside], owner[inside]
+                order = np.argsort(owner, kind="stable")
+                for i, mine in zip(*_grouped(owner[order], hit[order])):
+                    keep.append(i)
+                    raw.append(words[i].tobytes())
+                    places.append((at[mine] - (ends[i] - len(words[i]))).tolist())
+                    hashes.append(found[mine].view(np.int64).tolist())
                 if keep:
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(keep)), pa.array(raw, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],

@@ -18,6 +18,7 @@ an empty table gives no files and an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import AtomicFile, filesystem, partitions, shared_folder, ship, written
 from basketry.llm.crc import crc32c_many, masked
-from basketry.llm.pieces import PieceCodes
+from basketry.llm.pieces import PieceCodes, splitter
 
 NULL_ID, WIDE = 1, 2
 HEAD = np.dtype([("length", "<u8"), ("length_crc", "<u4")])
@@ -43,7 +44,6 @@ _ENCODERS: dict = {}
 
 def piece_encoder(vocabulary: str) -> PieceCodes:
     """Encoder of this worker for the tokenizer definition (JSON text)."""
-    import regex
     from tokenizers import Tokenizer
     key = hash(vocabulary)
     if key not in _ENCODERS:
@@ -52,9 +52,9 @@ def piece_encoder(vocabulary: str) -> PieceCodes:
         kind = "<u4" if tok.get_vocab_size() > 65_536 else "<u2"
 
         def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return [array("I" if kind == "<u4" else "H", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
         _ENCODERS.clear()
-        _ENCODERS[key] = (PieceCodes(regex.compile(BYTE_LEVEL).findall, encode), kind)
+        _ENCODERS[key] = (PieceCodes(splitter(BYTE_LEVEL), encode), kind)
     return _ENCODERS[key]
 
 
