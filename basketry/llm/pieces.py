@@ -48,7 +48,7 @@ class PieceCodes:
         self.seen: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        get, cut, new = self.parts.get, [], {}
+        get, cut, new, firsts = self.parts.get, [], set(), set()
         for text in texts:
             parts = text.split(" ")
             got = list(map(get, parts))
@@ -60,31 +60,41 @@ class PieceCodes:
                     parts = CUT.split(text)
                     lacking = parts[1:]
                     got = [b""] + [None] * len(lacking)
-                new.update([(" " + p, None) for p in lacking])
-            new[parts[0]] = None
+                new.update(lacking)
+            firsts.add(parts[0])
             cut.append((parts, got))
-        codes = self._codes(list(new))
+        first, rest = self._codes(firsts, new)
         out = []
         for parts, got in cut:
             if None in got:
-                got = [codes[" " + p] if g is None else g for p, g in zip(parts, got)]
-            got[0] = codes[parts[0]]
+                got = [rest[p] if g is None else g for p, g in zip(parts, got)]
+            got[0] = first[parts[0]]
             out.append(b"".join(got))
-        room = self.parts_limit - len(self.parts)
-        if room > 0:
-            fresh = [p for p in codes if p[:1] == " " and len(p) < LONG and _clean(p[1:])]
-            self.parts.update((p[1:], codes[p]) for p in fresh[:room])
         return out
 
-    def _codes(self, parts: list[str]) -> dict[str, bytes]:
-        """Codes of texts, by their words."""
-        split = list(map(self.words, parts))
-        seen = self.seen
-        lacking = list({w: None for words in split for w in words if w not in seen})
+    def _codes(self, firsts: set[str], rest: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Codes of parts that begin a text, and of parts with a space before them."""
+        parts, seen, words = self.parts, self.seen, self.words
+        split, known = {}, {}
+        for p in rest:
+            if p[-1:] in STOPS and (c := parts.get(p[:-1])) is not None and p[:-1].isalpha():
+                known[p] = c, p[-1]  # a remembered word and a stop
+            else:
+                split[p] = words(" " + p)
+        begins = {p: words(p) for p in firsts}
+        lacking = {w for group in (split, begins) for found in group.values() for w in found if w not in seen}
+        lacking.update(w for w in STOPS if w not in seen)
+        lacking = list(lacking)
         fresh = dict(zip(lacking, self.encode(lacking)))
-        out = {p: b"".join([c if (c := seen.get(w)) is not None else fresh[w] for w in words])
-               for p, words in zip(parts, split)}
+        code = lambda w: c if (c := seen.get(w)) is not None else fresh[w]
+        out = {p: b"".join(map(code, found)) for p, found in split.items()}
+        first = {p: b"".join(map(code, found)) for p, found in begins.items()}
         room = self.words_limit - len(seen)
         if room > 0:
             seen.update([(w, c) for w, c in fresh.items() if len(w) < LONG][:room])
-        return out
+        room = self.parts_limit - len(parts)
+        if room > 0:
+            parts.update([(p, c) for p, c in out.items() if len(p) < LONG and _clean(p)][:room])
+        stops = {w: seen[w] if w in seen else fresh[w] for w in STOPS}
+        out.update((p, c + stops[w]) for p, (c, w) in known.items())
+        return first, out
