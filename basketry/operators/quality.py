@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from basketry.functions import exprs as X
 from basketry.plans import ordering as O
 from basketry.session import materialize
-from basketry.plans.skew import anti_join_splitting_hot_keys
 from basketry.sources.star import STAR_TABLES, Star
 
 
@@ -66,7 +65,7 @@ def items_null_audit(star: Star) -> DataFrame:
 def orders_without_payment(star: Star) -> DataFrame:
     """Orders with no payment row (anti join; NULL keys never match)."""
     return star.orders.select("order_id", "order_status", "order_purchase_timestamp").join(
-        star.order_payments.select("order_id"), "order_id", "left_anti"
+        star.order_payments.select("order_id").distinct(), "order_id", "left_anti"  # combined map-side
     ).orderBy(F.col("order_purchase_timestamp").desc_nulls_first(), "order_id")
 
 
@@ -91,16 +90,19 @@ def duplicate_orders(star: Star) -> DataFrame:
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str, hot: list | None = None) -> DataFrame:
     """Child rows whose key has no parent row (NULL keys count as orphans).
 
-    ``hot``: child keys with very many rows, checked against a broadcast of
-    just their parent keys instead of going through the shuffle.
+    ``hot`` is accepted for compatibility; counting per key first needs no
+    separate treatment of keys with very many rows.
     """
-    return anti_join_splitting_hot_keys(child.select(key), parent, key, hot or []).agg(
-        F.count(F.lit(1)).alias(name))
+    # rows without a key are orphans for certain: counted where they are read;
+    # the others are counted per key first, so a hot key is one row per task
+    keyed = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    orphans = keyed.join(parent.select(key).distinct(), key, "left_anti").select("_n")
+    unkeyed = child.filter(F.col(key).isNull()).agg(F.count(F.lit(1)).alias("_n"))
+    return orphans.unionAll(unkeyed).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias(name))
 
 
 def _items_missing(star: Star, parent: str, key: str, name: str) -> DataFrame:
-    return orphan_count(star.order_items, star.table(parent), key, name,
-                        star.hot_keys("order_items", key))
+    return orphan_count(star.order_items, star.table(parent), key, name)
 
 
 def items_missing_order(star: Star) -> DataFrame:

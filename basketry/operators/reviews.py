@@ -181,8 +181,9 @@ def price_bucket_vs_score(star: Star) -> DataFrame:
     """Order value (sum of item prices per order and score) bucketed against score."""
     prices = star.order_items.groupBy("order_id").agg(F.sum("price").alias("p_sum"))
     reviews = star.order_reviews.groupBy("order_id", SCORE).agg(F.count(F.lit(1)).alias("n_rev"))
-    per_order = star.orders.filter(X.is_delivered()).select("order_id").join(prices, "order_id") \
-        .join(reviews, "order_id").withColumn("order_value", F.col("p_sum") * F.col("n_rev"))
+    orders = star.orders.filter(X.is_delivered()).groupBy("order_id").agg(F.count(F.lit(1)).alias("n_ord"))
+    per_order = orders.join(prices, "order_id").join(reviews, "order_id").withColumn(
+        "order_value", F.col("p_sum") * F.col("n_rev") * F.col("n_ord"))
     v = F.col("order_value")
     bucket = None
     for label, bound in PRICE_BUCKETS:

@@ -63,33 +63,33 @@ ec_order_items AS (
   SELECT CASE WHEN l_orderkey % 1009 = 4 THEN -1 ELSE l_orderkey END AS order_id,
          CAST(l_linenumber AS INTEGER) AS order_item_id,
          CASE WHEN l_orderkey % 997 = 2 THEN -1 ELSE l_partkey END AS product_id,
-         CASE WHEN l_orderkey % 1013 = 6 THEN -1 ELSE l_suppkey END AS seller_id,
+         CASE WHEN l_orderkey % 1013 = 6 THEN -1
+              WHEN l_suppkey % 10 IN (3, 4) AND l_orderkey % 100 < 78 AND l_partkey % 4 <> 0 THEN l_suppkey + 2
+              WHEN l_suppkey = 7 AND l_orderkey % 25 <> 0 OR l_suppkey = 8 AND l_orderkey % 100 <> 0 THEN 9
+              ELSE l_suppkey END AS seller_id,
          {_cents('''CASE WHEN l_orderkey % 500 = 1 THEN 0
               WHEN l_suppkey % 10 = 4 THEN 5 * CAST(FLOOR(l_extendedprice / 10) AS BIGINT)
               WHEN l_suppkey % 10 = 5 THEN CAST(FLOOR(l_extendedprice / 50) AS BIGINT)
               ELSE CAST(FLOOR(l_extendedprice / 10) AS BIGINT) END''')} AS price,
          {_cents('CAST(FLOOR(l_extendedprice / 100) AS BIGINT) + l_linenumber')} AS freight_value
   FROM lineitem
-  WHERE NOT (l_suppkey % 10 IN (3, 4) AND l_orderkey % 100 < 78 AND l_partkey % 4 <> 0)
-    AND NOT (l_suppkey = 7 AND l_orderkey % 25 <> 0)
-    AND NOT (l_suppkey = 8 AND l_orderkey % 100 <> 0)
 ),
 ec_order_payments AS (
-  SELECT o_orderkey AS order_id, 1 AS payment_sequential,
+  SELECT CASE WHEN o_orderkey % 150 = 0 THEN -1 ELSE o_orderkey END AS order_id, 1 AS payment_sequential,
          CASE WHEN o_orderkey % 10 < 7 THEN 'credit_card' WHEN o_orderkey % 10 < 9 THEN 'boleto'
               ELSE 'debit_card' END AS payment_type,
          CAST(CASE WHEN o_orderkey % 10 < 7 THEN 1 + o_orderkey % 12 ELSE 1 END AS INTEGER)
            AS payment_installments,
          {_cents('CAST(FLOOR(o_totalprice / 10) AS BIGINT)')} AS payment_value
-  FROM orders WHERE o_orderkey % 150 <> 0
+  FROM orders
   UNION ALL
   SELECT o_orderkey, 2, 'voucher', CAST(1 AS INTEGER), {_cents('100 + o_orderkey % 900')}
   FROM orders WHERE o_orderkey % 20 = 3
 ),
 ec_order_reviews AS (
-  SELECT o_orderkey AS order_id, CAST({_SCORE} AS INTEGER) AS review_score,
+  SELECT CASE WHEN o_orderkey % 50 = 11 THEN -1 ELSE o_orderkey END AS order_id, CAST({_SCORE} AS INTEGER) AS review_score,
          o_orderdate + INTERVAL '1' DAY * (14 + o_orderkey % 25) AS review_creation_date
-  FROM orders WHERE o_orderkey % 50 <> 11
+  FROM orders
   UNION ALL
   SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN {_SCORE} ELSE 1 END AS INTEGER),
          o_orderdate + INTERVAL '1' DAY * (14 + o_orderkey % 25)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import logging
 import tempfile
 
 from pyspark.sql import SparkSession
 
-log = logging.getLogger(__name__)
-
 # Settings every job relies on: UTC so timestamp_ntz arithmetic and
 # date truncation agree with the SQL oracle, AQE for runtime re-planning
 # (partition coalescing, skew-join splitting, size-checked broadcast).
@@ -63,7 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if is_local(spark):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-ckpt-"))
         return sc.getCheckpointDir()
-    log.warning("spark.checkpoint.dir is unset; lineage will not be cut")
     return None
 
 
@@ -71,9 +67,9 @@ def materialize(df):
     """Cut lineage of an intermediate that is read several times.
 
     Uses a reliable checkpoint (survives executor loss) in the shared
-    checkpoint directory; if none is configured the DataFrame is returned
-    as is and simply recomputed (all operators are deterministic).
+    checkpoint directory.  On a cluster without one this fails: counts taken
+    from the frame and the rows read later have to agree.
     """
-    if ensure_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+    if not ensure_checkpoint_dir(df.sparkSession):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    return df.checkpoint(eager=True)

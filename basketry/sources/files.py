@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType, TimestampNTZType
 
 from basketry.sources.schema import SCHEMAS
 from basketry.sources.star import STAR_TABLES, Star
@@ -14,18 +13,39 @@ from basketry.sources.star import STAR_TABLES, Star
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _path(root: str, name: str, fmt: str) -> str:
-    for candidate in (os.path.join(root, f"{name}.{fmt}"), os.path.join(root, name)):
-        if os.path.exists(candidate) or "://" in root:
-            return candidate
-    return os.path.join(root, name)
+def _path(spark: SparkSession, root: str, name: str, fmt: str) -> str:
+    """``<root>/<name>.<fmt>`` if the root's file system has it, else ``<root>/<name>``."""
+    single = f"{root.rstrip('/')}/{name}.{fmt}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(single)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return single if found else f"{root.rstrip('/')}/{name}"
+
+
+def _from_header(raw: DataFrame, schema: StructType, name: str, ids: str) -> DataFrame:
+    """The declared columns of a CSV frame of strings, taken by header name."""
+    lacking = [f.name for f in schema if f.name not in raw.columns]
+    if lacking:
+        raise ValueError(f"{name}: the header lacks {lacking}")
+    out = []
+    for f in schema:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType) or ids == "string" and f.name.endswith("_id") and isinstance(f.dataType, LongType):
+            out.append(value)
+        elif isinstance(f.dataType, TimestampNTZType):
+            out.append(F.to_timestamp_ntz(F.nullif(value, F.lit("")), F.lit(CSV_TIMESTAMP_FORMAT)).alias(f.name))
+        else:
+            out.append(F.nullif(value, F.lit("")).cast(f.dataType).alias(f.name))
+    return raw.select(*out)
 
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
-               blank_category: str = "keep") -> DataFrame:
+               blank_category: str = "keep", ids: str = "long") -> DataFrame:
     """Read one star table with its declared schema.
 
-    CSV exports (header, comma separated) are read with an explicit schema.
+    CSV exports (header, comma separated) are read by header name, so column
+    order and further columns do not matter; a missing column or a value that
+    is not of its type is an error.  ``ids='string'`` keeps text ids (such as
+    32-character hashes) as they are, ``'long'`` casts them.
     An unquoted empty field is NULL and a quoted one (``""``) is the empty
     string: Spark's default ``nullValue`` is '' and would fold both into
     NULL, so a sentinel that never occurs in data is used instead.
@@ -33,14 +53,13 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
     ``'keep'`` leaves them as ''.
     """
     schema = SCHEMAS[name]
-    path = _path(root, name, fmt)
+    path = _path(spark, root, name, fmt)
     if fmt == "parquet":
         df = spark.read.schema(schema).parquet(path)
     elif fmt == "csv":
-        df = (spark.read.schema(schema).option("header", True)
-              .option("sep", ",").option("nullValue", "\u0001").option("emptyValue", "")
-              .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
-              .csv(path))
+        raw = (spark.read.option("header", True).option("sep", ",").option("mode", "FAILFAST")
+               .option("nullValue", "\u0001").option("emptyValue", "").csv(path))
+        df = _from_header(raw, schema, name, ids)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     if name == "products" and blank_category == "null":
@@ -50,8 +69,8 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
 
 
 def read_star(spark: SparkSession, root: str, fmt: str = "parquet",
-              blank_category: str = "keep") -> Star:
-    return Star(**{name: read_table(spark, root, name, fmt, blank_category)
+              blank_category: str = "keep", ids: str = "long") -> Star:
+    return Star(**{name: read_table(spark, root, name, fmt, blank_category, ids)
                    for name in STAR_TABLES})
 
 
@@ -60,7 +79,7 @@ def write_star(star: Star, root: str, fmt: str = "parquet",
     """Persist the star; orders-keyed fact tables are partitioned by nothing
     and written as plain files so any engine can read them back."""
     for name, df in star.items():
-        write_result(df, os.path.join(root, name), fmt=fmt, mode=mode)
+        write_result(df, f"{root.rstrip('/')}/{name}", fmt=fmt, mode=mode)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet",

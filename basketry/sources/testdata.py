@@ -65,18 +65,20 @@ def map_orders(orders: DataFrame) -> DataFrame:
 
 def map_order_items(lineitem: DataFrame) -> DataFrame:
     k, supp, part = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_partkey")
-    keep = (~((supp % 10).isin(3, 4) & (k % 100 < 78) & (part % 4 != 0))
-            & ~((supp == 7) & (k % 25 != 0))
-            & ~((supp == 8) & (k % 100 != 0)))
+    # Re-assigned, not dropped: rows of would-be poor sellers go to seller l_suppkey + 2,
+    # those of low-volume sellers to seller 9, so every lineitem row stays.
+    poor = (supp % 10).isin(3, 4) & (k % 100 < 78) & (part % 4 != 0)
+    rare = ((supp == 7) & (k % 25 != 0)) | ((supp == 8) & (k % 100 != 0))
+    seller = F.when(k % 1013 == 6, F.lit(-1).cast("bigint")).when(poor, supp + 2).when(rare, F.lit(9).cast("bigint")).otherwise(supp)
     price_cents = (F.when(k % 500 == 1, F.lit(0).cast("bigint"))
                    .when(supp % 10 == 4, 5 * _floor_div("l_extendedprice", 10))
                    .when(supp % 10 == 5, _floor_div("l_extendedprice", 50))
                    .otherwise(_floor_div("l_extendedprice", 10)))
-    return lineitem.filter(keep).select(
+    return lineitem.select(
         F.when(k % 1009 == 4, F.lit(-1).cast("bigint")).otherwise(k).alias("order_id"),
         F.col("l_linenumber").cast("int").alias("order_item_id"),
         F.when(k % 997 == 2, F.lit(-1).cast("bigint")).otherwise(part).alias("product_id"),
-        F.when(k % 1013 == 6, F.lit(-1).cast("bigint")).otherwise(supp).alias("seller_id"),
+        seller.alias("seller_id"),
         _cents(price_cents).alias("price"),
         _cents(_floor_div("l_extendedprice", 100) + F.col("l_linenumber")).alias("freight_value"),
     )
@@ -113,8 +115,9 @@ def map_order_payments(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     ptype = (F.when(k % 10 < 7, "credit_card").when(k % 10 < 9, "boleto")
              .otherwise("debit_card"))
-    first = orders.filter(k % 150 != 0).select(
-        k.alias("order_id"),
+    # an orphan key instead of a dropped row: 1 order in 150 has no payment
+    first = orders.select(
+        F.when(k % 150 == 0, F.lit(-1).cast("bigint")).otherwise(k).alias("order_id"),
         F.lit(1).alias("payment_sequential"),
         ptype.alias("payment_type"),
         F.when(k % 10 < 7, 1 + k % 12).otherwise(1).cast("int").alias("payment_installments"),
@@ -140,8 +143,9 @@ def _score(k: Column) -> Column:
 def map_order_reviews(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     created = F.col("o_orderdate") + _days(14 + k % 25)
-    first = orders.filter(k % 50 != 11).select(
-        k.alias("order_id"), _score(k).alias("review_score"),
+    # likewise 1 order in 50 has no review
+    first = orders.select(
+        F.when(k % 50 == 11, F.lit(-1).cast("bigint")).otherwise(k).alias("order_id"), _score(k).alias("review_score"),
         created.alias("review_creation_date"))
     second = orders.filter(k % 100 == 12).select(
         k.alias("order_id"),
