@@ -35,13 +35,19 @@ def gmv(price="price", freight="freight_value") -> Column:
     return col(price) + col(freight)
 
 
-def month_start(ts) -> Column:
-    """First instant of the month as timestamp without zone.
+def period_start(ts, grain: str = "month") -> Column:
+    """First instant of the week, month, quarter or year as timestamp without zone.
 
     Truncates the calendar date, so no session time zone is involved
     (``date_trunc`` would round-trip through a zoned timestamp).
     """
-    return F.trunc(F.to_date(col(ts)), "month").cast("timestamp_ntz")
+    if grain not in ("week", "month", "quarter", "year"):
+        raise ValueError(f"unknown grain {grain!r}")
+    return F.trunc(F.to_date(col(ts)), grain).cast("timestamp_ntz")
+
+
+def month_start(ts) -> Column:
+    return period_start(ts, "month")
 
 
 def day_diff(start, end) -> Column:

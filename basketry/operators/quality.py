@@ -141,16 +141,16 @@ def numeric_profile(star: Star, column: str = "price", per_bucket: int | None =
     (map-side partial counts, then range buckets of distinct values), so no
     task holds all distinct values; two values per percentile return.
     """
-    v = F.col(column)
-    items = star.order_items.select(column)
+    v, n = F.col(column), F.col("n")
     # one row per distinct value, read by several small jobs: cut its lineage once
-    hist = materialize(items.groupBy(v.cast("double").alias(column)).agg(F.count(F.lit(1)).alias("n")))
-    median, p95 = O.histogram_percentiles(hist, column, "n", [0.5, 0.95], per_bucket)
-    return items.agg(
+    hist = materialize(star.order_items.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
+    median, p95 = O.histogram_percentiles(hist.withColumn(column, v.cast("double")), column, "n", [0.5, 0.95],
+                                          per_bucket)
+    return hist.agg(
         F.min(v).cast("double").alias("min_price"),
         F.max(v).cast("double").alias("max_price"),
-        X.avg_of(column).alias("avg_price"),
-        X.flag_sum(v <= 0).alias("zero_or_neg_price"),
+        X.ratio(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("avg_price"),
+        F.sum(F.when(v <= 0, n).otherwise(0)).alias("zero_or_neg_price"),
     ).select("min_price", "max_price", "avg_price",
              F.lit(median).cast("double").alias("median_price"),
              F.lit(p95).cast("double").alias("p95_price"),

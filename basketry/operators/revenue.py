@@ -11,22 +11,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
-from basketry.plans.facts import aggregate, items_of_orders, order_facts
+from basketry.plans.facts import by_member, items_of_orders, order_facts
 from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
 TS = "order_purchase_timestamp"
 
 
-def period_trend(star: Star) -> DataFrame:
-    """Monthly GMV, orders, customers, item-level AOV, LAG growth, running GMV."""
-    # order-grain input (already reduced): Spark's distinct rewrite is cheap here
-    monthly = order_facts(star).groupBy(X.month_start(TS).alias("order_month")).agg(
+def period_trend(star: Star, grain: str = "month", variant: str = "faithful") -> DataFrame:
+    """GMV, orders, customers, AOV, LAG growth and running GMV per period.
+
+    ``grain`` is month, quarter, year or week.  The faithful AOV divides by
+    items; ``variant='corrected'`` divides by distinct orders.  Orders are
+    folded to (order, period) where the join left them, then to
+    (period, customer), then to periods.
+    """
+    period = f"order_{grain}"
+    per_order = order_facts(star).groupBy("order_id", X.period_start(TS, grain).alias(period)).agg(
+        F.sum("gmv_sum").alias("gmv_sum"), F.sum("gmv_cnt").alias("gmv_cnt"),
+        F.collect_set("customer_id").alias("customers"))
+    per_customer = by_member(per_order, [period], "customers", "customer_id", ["gmv_sum", "gmv_cnt"])
+    per_period = per_customer.groupBy(period).agg(
         F.round(F.sum("gmv_sum"), 2).alias("_gmv"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.round(X.ratio(F.sum("gmv_sum"), F.sum("gmv_cnt")), 2).alias("aov"))
-    return trend_columns(monthly).orderBy(F.col("order_month").asc_nulls_last())
+        F.sum("n_orders").alias("total_orders"),
+        F.count("customer_id").alias("unique_customers"),
+        F.round(X.ratio(F.sum("gmv_sum"), F.sum("n_orders" if variant == "corrected" else "gmv_cnt")), 2)
+        .alias("aov"))
+    out = trend_columns(per_period, period)
+    if grain != "month":
+        out = out.withColumnsRenamed({"prev_month_gmv": f"prev_{grain}_gmv", "mom_growth_pct": "growth_pct"})
+    return out.orderBy(F.col(period).asc_nulls_last())
 
 
 def trend_columns(monthly: DataFrame, month: str = "order_month", value: str = "_gmv") -> DataFrame:
@@ -56,13 +70,25 @@ def _category(products: DataFrame) -> DataFrame:
 
 def category_ranking(star: Star, limit: int = 10) -> DataFrame:
     """Top categories by revenue with share of total and two ranks."""
-    items = items_of_orders(star, X.is_valid(), ("order_id", "product_id", "price", "freight_value"))
-    per_cat = aggregate(join_splitting_hot_keys(items, _category(star.products), "product_id",
-                                                hot=star.hot_keys("order_items", "product_id")), ["category"], [
+    # (order, product) rows where the order join left them
+    pairs = items_of_orders(star, X.is_valid(), ("order_id", "product_id", "price", "freight_value")).groupBy(
+        "order_id", "product_id").agg(F.sum("price").alias("price"), F.count("price").alias("n_price"),
+                                      F.sum("freight_value").alias("freight"))
+    rows = join_splitting_hot_keys(pairs, _category(star.products), "product_id",
+                                   hot=star.hot_keys("order_items", "product_id"))
+    # one row per (category, order) with its products; an order's products are
+    # deduplicated there, and which products a category has is a second, thin pass
+    per_order = rows.groupBy("category", "order_id").agg(
+        F.sum("price").alias("price"), F.sum("n_price").alias("n_price"), F.sum("freight").alias("freight"))
+    per_cat = per_order.groupBy("category").agg(
         F.round(F.sum("price"), 2).alias("_rev"),
-        F.round(X.avg_of("price"), 2).alias("avg_item_price"),
-        F.round(X.ratio(F.sum("freight_value"), F.sum("price")) * 100, 2).alias("freight_to_revenue_pct")],
-        {"total_orders": "order_id", "unique_products": "product_id"})
+        F.round(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
+        F.round(X.ratio(F.sum("freight"), F.sum("price")) * 100, 2).alias("freight_to_revenue_pct"),
+        F.count(F.lit(1)).alias("total_orders"))
+    sold = items_of_orders(star, X.is_valid(), ("order_id", "product_id")).select("product_id").distinct()
+    variety = sold.join(_category(star.products).distinct(), "product_id").groupBy(
+        F.col("category").alias("_category")).agg(F.count(F.lit(1)).alias("unique_products"))
+    per_cat = per_cat.join(variety, per_cat["category"].eqNullSafe(variety["_category"])).drop("_category")
     everything = Window.partitionBy()
     return per_cat.select(
         "category",
@@ -145,21 +171,32 @@ def state_revenue(star: Star, variant: str = "faithful") -> DataFrame:
     ).orderBy(F.col("total_gmv").desc_nulls_first(), "customer_state")
 
 
-def calendar_breakdown(star: Star) -> DataFrame:
-    """GMV (price + freight), distinct orders and item price per year and quarter."""
+CALENDAR_FIELDS = {"year": ("yr", F.year), "quarter": ("qtr", F.quarter), "month": ("mon", F.month),
+                   "week": ("wk", F.weekofyear), "weekday": ("dow", X.dow0)}
+
+
+def calendar_breakdown(star: Star, fields: tuple[str, ...] = ("year", "quarter"),
+                       gmv_name: str = "quarterly_gmv") -> DataFrame:
+    """GMV (price + freight), distinct orders and item price per combination of calendar ``fields``."""
+    parts = [CALENDAR_FIELDS[f] for f in fields]
     return order_facts(star, cols=(TS,)).groupBy(
-        F.year(TS).cast("bigint").alias("yr"), F.quarter(TS).cast("bigint").alias("qtr")).agg(
-        X.money(F.sum("gmv_sum")).alias("quarterly_gmv"),
+        *[part(TS).cast("bigint").alias(name) for name, part in parts]).agg(
+        X.money(F.sum("gmv_sum")).alias(gmv_name),
         X.as_long(F.countDistinct("order_id")).alias("orders"),
         F.round(X.ratio(F.sum("price_sum"), F.sum("price_cnt")), 2).alias("avg_item_price"),
-    ).orderBy(F.col("yr").asc_nulls_last(), F.col("qtr").asc_nulls_last())
+    ).orderBy(*[F.col(name).asc_nulls_last() for name, _ in parts])
+
 
+def weekday_pattern(star: Star, variant: str = "faithful") -> DataFrame:
+    """Orders and GMV per day of week (0 = Sunday, names padded to 9).
 
-def weekday_pattern(star: Star) -> DataFrame:
-    """Orders and GMV per day of week (0 = Sunday, names padded to 9)."""
+    The faithful mean divides by items; ``variant='corrected'`` by distinct orders.
+    """
+    orders = F.countDistinct("order_id")
     return order_facts(star, cols=(TS,)).groupBy(
         X.dow0(TS).cast("bigint").alias("day_of_week_num"), X.day_name(TS).alias("day_name")).agg(
-        X.as_long(F.countDistinct("order_id")).alias("total_orders"),
+        X.as_long(orders).alias("total_orders"),
         X.money(F.sum("gmv_sum")).alias("total_gmv"),
-        F.round(X.ratio(F.sum("gmv_sum"), F.sum("gmv_cnt")), 2).alias("avg_order_value"),
+        F.round(X.ratio(F.sum("gmv_sum"), orders if variant == "corrected" else F.sum("gmv_cnt")), 2)
+        .alias("avg_order_value"),
     ).orderBy(F.col("day_of_week_num").asc_nulls_last())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans import ordering as O
-from basketry.plans.facts import aggregate, items_of_orders
+from basketry.plans.facts import by_member, items_of_orders
 from basketry.session import materialize
 from basketry.sources.star import Star
 
@@ -40,17 +40,24 @@ def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
         "seller_id", "order_id",
         X.day_diff(TS, DELIV).alias("actual"), X.day_diff(TS, EST).alias("estimated"),
         X.day_diff(EST, DELIV).alias("delay"), X.is_late(DELIV, EST).alias("late"))
-    # the distinct order count is its own aggregate: next to percentiles,
-    # Spark's single-distinct rewrite would keep a buffer per (seller, order)
-    per_seller = aggregate(rows, ["seller_id"], [
-        F.round(X.avg_of("actual"), 1).alias("avg_actual_days"),
-        F.round(X.avg_of("estimated"), 1).alias("avg_estimated_days"),
-        F.round(X.avg_of("delay"), 1).alias("avg_delay_days"),
-        F.sum("late").alias("late_orders"),
-        X.pct(F.sum("late"), F.count(F.lit(1)), 2).alias("sla_breach_rate_pct"),
-        X.round_exact(F.percentile("actual", 0.5), 1).alias("median_delivery_days"),
-        X.round_exact(F.percentile("actual", 0.95), 1).alias("p95_delivery_days")],
-        {"total_orders": "order_id"}).filter(F.col("total_orders") >= min_orders)
+    # items of an order and seller fold where the join left them, with their
+    # number as frequency; a repeated order counts at the first of its rows
+    times = ["actual", "estimated", "delay", "late"]
+    folded = rows.groupBy("order_id", "seller_id", *times).agg(F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(Window.partitionBy("order_id", "seller_id").orderBy(*times)) == 1
+    n = F.col("n")
+
+    def mean(c):
+        return F.round(X.ratio(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))), 1)
+
+    per_seller = folded.withColumn("first", F.when(first, 1).otherwise(0)).groupBy("seller_id").agg(
+        F.sum("first").alias("total_orders"), mean("actual").alias("avg_actual_days"),
+        mean("estimated").alias("avg_estimated_days"), mean("delay").alias("avg_delay_days"),
+        F.sum(F.col("late") * n).alias("late_orders"),
+        X.pct(F.sum(F.col("late") * n), F.sum(n), 2).alias("sla_breach_rate_pct"),
+        X.round_exact(F.percentile("actual", 0.5, n), 1).alias("median_delivery_days"),
+        X.round_exact(F.percentile("actual", 0.95, n), 1).alias("p95_delivery_days")) \
+        .filter(F.col("total_orders") >= min_orders)
     return per_seller.join(star.sellers.select("seller_id", "seller_state", "seller_city"), "seller_id") \
         .select("seller_id", "seller_state", "seller_city", "total_orders", "avg_actual_days",
                 "avg_estimated_days", "avg_delay_days", "late_orders", "sla_breach_rate_pct",
@@ -59,14 +66,24 @@ def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
 
 
 def seller_revenue(star: Star) -> DataFrame:
-    rows = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "product_id", "price",
-                                                "freight_value"), ("customer_id",))
-    per_seller = aggregate(rows, ["seller_id"], [
-        F.round(F.sum("price"), 2).alias("_rev"),
-        F.round(F.sum("freight_value"), 2).alias("_freight"),
-        F.round(X.avg_of("price"), 2).alias("avg_item_price")],
-        {"total_orders": "order_id", "unique_products": "product_id", "unique_customers": "customer_id"})
-    return per_seller.join(star.sellers.select("seller_id", "seller_state"), "seller_id")
+    """Per seller: revenue, freight, mean price, distinct orders, customers and products.
+
+    Two passes: (order, seller) rows where the order join left them give all
+    but the products; a thin one gives the distinct (seller, product) pairs.
+    """
+    pairs = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "price", "freight_value"),
+                            ("customer_id",)).groupBy("order_id", "seller_id").agg(
+        F.sum("price").alias("price"), F.count("price").alias("n_price"),
+        F.sum("freight_value").alias("freight"), F.collect_set("customer_id").alias("customers"))
+    per_seller = by_member(pairs, ["seller_id"], "customers", "customer_id", ["price", "n_price", "freight"]) \
+        .groupBy("seller_id").agg(
+        F.round(F.sum("price"), 2).alias("_rev"), F.round(F.sum("freight"), 2).alias("_freight"),
+        F.round(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
+        F.sum("n_orders").alias("total_orders"), F.count("customer_id").alias("unique_customers"))
+    products = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "product_id")) \
+        .select("seller_id", "product_id").distinct().groupBy("seller_id").agg(
+        F.count("product_id").alias("unique_products"))
+    return per_seller.join(products, "seller_id").join(star.sellers.select("seller_id", "seller_state"), "seller_id")
 
 
 def seller_ranking(star: Star, limit: int = 100, per_bucket: int | None = None) -> DataFrame:
@@ -94,24 +111,26 @@ def seller_ranking(star: Star, limit: int = 100, per_bucket: int | None = None)
 
 def underperformers(star: Star, min_items: int = 5, per_bucket: int | None = None) -> DataFrame:
     """Sellers flagged by revenue quartile and SLA breach rate."""
-    revenue = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "price")).groupBy(
-        "seller_id").agg(F.round(F.sum("price"), 2).alias("_rev"),
-                         X.as_long(F.countDistinct("order_id")).alias("total_orders"))
-    sla = items_of_orders(star, _delivered_with_date(False), ("order_id", "seller_id"),
-                          (DELIV, EST)).groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("delivered_orders"),
-        X.pct(F.sum(X.is_late(DELIV, EST)), F.count(F.lit(1)), 2).alias("sla_breach_pct"))
+    # One pass over items and orders: (order, seller) rows where the join left
+    # them, with what revenue, service level and reviews each need.
+    valid, delivered = F.coalesce(X.is_valid(), F.lit(False)), F.coalesce(_delivered_with_date(False), F.lit(False))
+    pairs = items_of_orders(star, F.lit(True), ("order_id", "seller_id", "price"),
+                            ("order_status", DELIV, EST)).groupBy("order_id", "seller_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(valid, 1).otherwise(0)).alias("valid"),
+        F.sum(F.when(valid, F.col("price"))).alias("price"), F.sum(F.when(delivered, 1).otherwise(0)).alias("delivered"),
+        F.sum(F.when(delivered, X.is_late(DELIV, EST)).otherwise(0)).alias("late"))
     # Reviews joined at item x review grain, pre-aggregated per order.
     review_sums = star.order_reviews.groupBy("order_id").agg(
-        F.sum("review_score").alias("s_sum"), F.count("review_score").alias("s_cnt"))
-    item_counts = star.order_items.groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("n"))
-    reviews = item_counts.join(star.orders.select("order_id"), "order_id").join(review_sums, "order_id") \
-        .groupBy("seller_id").agg(F.round(X.ratio(F.sum(F.col("n") * F.col("s_sum")),
-                                                   F.sum(F.col("n") * F.col("s_cnt"))), 2)
-                                  .alias("avg_review_score"))
-    joined = revenue.join(sla, "seller_id").join(reviews, "seller_id") \
-        .join(star.sellers.select("seller_id", "seller_state"), "seller_id") \
-        .filter(F.col("delivered_orders") >= min_items)
+        F.sum("review_score").alias("s_sum"), F.count("review_score").alias("s_cnt"), F.lit(1).alias("reviewed"))
+    per_seller = pairs.join(review_sums, "order_id", "left").groupBy("seller_id").agg(
+        F.round(F.sum("price"), 2).alias("_rev"), F.sum("valid").alias("total_orders"),
+        F.sum("delivered").alias("delivered_orders"),
+        X.pct(F.sum("late"), F.sum("delivered"), 2).alias("sla_breach_pct"),
+        F.round(X.ratio(F.sum(F.col("n") * F.col("s_sum")), F.sum(F.col("n") * F.col("s_cnt"))), 2)
+        .alias("avg_review_score"), F.count("reviewed").alias("_reviewed"))
+    joined = per_seller.filter((F.col("total_orders") > 0) & (F.col("delivered_orders") >= F.greatest(F.lit(min_items), F.lit(1)))
+                               & (F.col("_reviewed") > 0)) \
+        .join(star.sellers.select("seller_id", "seller_state"), "seller_id")
     joined = materialize(joined)
     quartile = O.exact_percentile(joined, "_rev", 0.25, "seller_id", per_bucket=per_bucket)
     low = F.col("_rev") < F.lit(quartile).cast("double")

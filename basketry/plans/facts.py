@@ -49,6 +49,22 @@ def items_of_orders(star: Star, cond, item_cols=("order_id", "product_id", "sell
                                    hot=star.hot_keys("order_items", "order_id"))
 
 
+def by_member(per_order: DataFrame, keys: list[str], members: str, member: str, sums: list[str]) -> DataFrame:
+    """Rows per (keys, member) from one row per (order, keys): ``sums`` and ``n_orders``.
+
+    ``members`` holds the distinct members of each order (one, or more where
+    the orders table repeats the order).  The sums and the order itself go to
+    the first of them, so adding the result up per key gives exact sums,
+    distinct orders, and (counting rows with a member) distinct members, from
+    one pass and without Spark's multi-distinct Expand.
+    """
+    rows = per_order.select(*keys, *sums, F.posexplode_outer(members).alias("_pos", member))
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    return rows.groupBy(*keys, member).agg(
+        *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums],
+        F.sum(F.when(first, 1).otherwise(0)).alias("n_orders"))
+
+
 def aggregate(rows: DataFrame, keys: list[str], aggs: list, distinct: dict[str, str]) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` plus ``COUNT(DISTINCT col) AS name`` per entry of ``distinct``.
 
