@@ -9,7 +9,7 @@ __all__ = [
     "EXCLUDED_STATUSES", "DELIVERED", "col", "is_valid", "is_delivered",
     "gmv", "month_start", "day_diff", "month_diff", "dow0", "day_name",
     "pct", "ratio", "avg_of", "money", "is_late", "flag_sum", "as_long",
-    "lag_of", "round_exact",
+    "round_exact", "period_start",
 ]
 
 # Order statuses that make an order invalid for revenue,
@@ -107,10 +107,6 @@ def as_long(c) -> Column:
     return col(c).cast("bigint")
 
 
-def lag_of(c, window) -> Column:
-    return F.lag(col(c), 1).over(window)
-
-
 def round_exact(c, scale: int) -> Column:
     """Round a value whose exact result has few decimals (an interpolated
     percentile of integers has at most two): strip binary noise at 6

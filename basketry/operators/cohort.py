@@ -57,21 +57,21 @@ def active_months(star: Star, key: str = "customer_id", cond=None) -> DataFrame:
         .withColumn("period_number", X.month_diff("cohort_month", "month").cast("bigint"))
 
 
-def _activity(star: Star) -> DataFrame:
+def _activity(star: Star, key: str = "customer_id") -> DataFrame:
     """Distinct active customers per (cohort, month), with the cohort size.
 
     Every customer is active exactly once in its own cohort month, so the
     size is the period-0 cell of the same (small) aggregate.
     """
-    act = active_months(star).groupBy("cohort_month", "month", "period_number").agg(
+    act = active_months(star, key).groupBy("cohort_month", "month", "period_number").agg(
         F.count(F.lit(1)).alias("active_customers"))
     sizes = act.filter(F.col("period_number") == 0).select(
         "cohort_month", F.col("active_customers").alias("cohort_size"))
     return act.join(sizes, "cohort_month")
 
 
-def cohort_retention(star: Star, max_period: int = 12) -> DataFrame:
-    act = _activity(star).filter(F.col("period_number").between(0, max_period))
+def cohort_retention(star: Star, max_period: int = 12, customer_key: str = "customer_id") -> DataFrame:
+    act = _activity(star, customer_key).filter(F.col("period_number").between(0, max_period))
     return act.select(
         "cohort_month", X.as_long("cohort_size").alias("cohort_size"), "period_number",
         X.as_long("active_customers").alias("active_customers"),
@@ -79,13 +79,14 @@ def cohort_retention(star: Star, max_period: int = 12) -> DataFrame:
     ).orderBy("cohort_month", "period_number")
 
 
-def cohort_matrix(star: Star, periods: int = 6, variant: str = "faithful") -> DataFrame:
+def cohort_matrix(star: Star, periods: int = 6, variant: str = "faithful",
+                  customer_key: str = "customer_id") -> DataFrame:
     """One row per cohort, one column per period 0..periods.
 
     Faithful: the period cells count orders (not customers) over the cohort
     size, so M0 can exceed 100.  ``variant='corrected'`` counts customers.
     """
-    cm = customer_months(star)
+    cm = customer_months(star, customer_key)
     weight = F.col("n_orders") if variant == "faithful" else F.lit(1)
     cells = [F.sum(F.when(F.col("period_number") == k, weight).otherwise(0)).alias(f"_c{k}")
              for k in range(periods + 1)]
@@ -98,9 +99,9 @@ def cohort_matrix(star: Star, periods: int = 6, variant: str = "faithful") -> Da
     ).orderBy("cohort_month")
 
 
-def retention_summary(star: Star, max_period: int = 12) -> DataFrame:
+def retention_summary(star: Star, max_period: int = 12, customer_key: str = "customer_id") -> DataFrame:
     """Average / min / max cohort retention per period (cohorts active in it)."""
-    act = _activity(star).filter(F.col("period_number").between(0, max_period))
+    act = _activity(star, customer_key).filter(F.col("period_number").between(0, max_period))
     rate = X.ratio(F.col("active_customers") * 100.0, F.col("cohort_size"))
     return act.withColumn("_rate", rate).groupBy("period_number").agg(
         F.round(F.avg("_rate"), 2).alias("avg_retention_pct"),
@@ -110,9 +111,10 @@ def retention_summary(star: Star, max_period: int = 12) -> DataFrame:
     ).orderBy("period_number")
 
 
-def repeat_rate(star: Star) -> DataFrame:
+def repeat_rate(star: Star, customer_key: str = "customer_id") -> DataFrame:
     """Customers, repeat customers, repeat rate, mean and max orders per customer."""
-    per_customer = star.orders.filter(X.is_valid()).groupBy("customer_id").agg(
+    rows = star.orders.filter(X.is_valid()) if customer_key == "customer_id" else _orders_of(star, customer_key, None)
+    per_customer = rows.groupBy(customer_key).agg(
         F.countDistinct("order_id").alias("num_orders"))
     repeat = X.flag_sum(F.col("num_orders") > 1)
     return per_customer.agg(

@@ -38,6 +38,7 @@ RFM5_RULES = [
     ("Lost", ("==", 1), ("==", 1), None),
 ]
 RFM5_DEFAULT = "Others"
+HIGH_VALUE_RULES = RFM5_RULES[:2]
 
 # The four-score chart segment rules (recency and frequency only).
 RFM4_RULES = [
@@ -80,20 +81,38 @@ def reference_date(star: Star) -> dt.date | None:
     return None if latest is None else latest.date() + dt.timedelta(days=1)
 
 
-def rfm_metrics(star: Star, with_geo: bool = True) -> DataFrame:
-    """Per customer: recency days, distinct orders, rounded GMV, first/last order date."""
+GEO = ["customer_state", "customer_city"]
+
+
+def rfm_metrics(star: Star, with_geo: bool = True, customer_key: str = "customer_id") -> DataFrame:
+    """Per customer: recency days, distinct orders, rounded GMV, first/last order date.
+
+    Orders are folded per customer_id first.  A customers row that repeats
+    multiplies the amount, as the item-grain join does.  A person key
+    (``customer_unique_id``) adds up its customer_ids and shows the place of
+    the smallest of them.
+    """
     ref = reference_date(star)
-    per_customer = order_facts(star).groupBy("customer_id").agg(
+    out = order_facts(star).groupBy("customer_id").agg(
         F.to_date(F.max(TS)).alias("last_order_date"),
         F.to_date(F.min(TS)).alias("first_order_date"),
         X.as_long(F.countDistinct("order_id")).alias("frequency"),
         F.round(F.sum("gmv_sum"), 2).alias("monetary"))
-    per_customer = per_customer.withColumn(
-        "recency_days", X.as_long(F.datediff(F.lit(ref), F.col("last_order_date"))))
-    if with_geo:
-        per_customer = per_customer.join(
-            star.customers.select("customer_id", "customer_state", "customer_city"), "customer_id")
-    return per_customer
+    person = customer_key != "customer_id"
+    if with_geo or person:
+        names = ["customer_id", *([customer_key] if person else []), *(GEO if with_geo else [])]
+        # rows of one customer_id are together after the join: no further shuffle
+        out = out.join(star.customers.select(*names), "customer_id").groupBy(*names).agg(
+            F.max("last_order_date").alias("last_order_date"), F.min("first_order_date").alias("first_order_date"),
+            F.max("frequency").alias("frequency"), F.sum("monetary").alias("monetary"))
+    if person:
+        place = [F.min(F.struct("customer_id", *GEO)).alias("_place")] if with_geo else []
+        out = out.groupBy(customer_key).agg(
+            F.max("last_order_date").alias("last_order_date"), F.min("first_order_date").alias("first_order_date"),
+            F.sum("frequency").alias("frequency"), F.sum("monetary").alias("monetary"), *place)
+        if with_geo:
+            out = out.select("*", *[F.col(f"_place.{c}").alias(c) for c in GEO]).drop("_place")
+    return out.withColumn("recency_days", X.as_long(F.datediff(F.lit(ref), F.col("last_order_date"))))
 
 
 def score(metrics: DataFrame, key: str, tiles: int, specs: dict, per_bucket: int | None = None) -> DataFrame:
@@ -109,35 +128,39 @@ def score(metrics: DataFrame, key: str, tiles: int, specs: dict, per_bucket: int
 
 
 def rfm_scores(star: Star, with_geo: bool = True, variant: str = "faithful",
-               per_bucket: int | None = None) -> DataFrame:
+               per_bucket: int | None = None, customer_key: str = "customer_id", tiles: int = 5) -> DataFrame:
     specs = {
-        # faithful: 6 - NTILE over recency DESC gives the oldest customers 5
+        # faithful: tiles + 1 - NTILE over recency DESC gives the oldest customers the best score
         "r_score": (O.desc("recency_days"), variant == "faithful"),
         "f_score": (O.asc("frequency"), False),
         "m_score": (O.asc("monetary"), False),
     }
     if variant != "faithful":
         specs["r_score"] = (O.desc("recency_days"), False)
-    return score(rfm_metrics(star, with_geo), "customer_id", 5, specs, per_bucket)
+    return score(rfm_metrics(star, with_geo, customer_key), customer_key, tiles, specs, per_bucket)
 
 
-def rfm_table(star: Star, variant: str = "faithful", per_bucket: int | None = None) -> DataFrame:
-    s = rfm_scores(star, True, variant, per_bucket)
+def rfm_table(star: Star, variant: str = "faithful", per_bucket: int | None = None,
+              customer_key: str = "customer_id", tiles: int = 5, rules=RFM5_RULES, default=RFM5_DEFAULT) -> DataFrame:
+    """Scores 1..``tiles`` and the first matching rule's segment per customer."""
+    s = rfm_scores(star, True, variant, per_bucket, customer_key, tiles)
     return s.select(
-        "customer_id", "customer_state", "customer_city", "recency_days", "frequency",
+        customer_key, "customer_state", "customer_city", "recency_days", "frequency",
         X.money("monetary").alias("monetary_value"), "first_order_date", "last_order_date",
         "r_score", "f_score", "m_score",
         (F.col("r_score") + F.col("f_score") + F.col("m_score")).alias("rfm_total"),
         F.concat(F.col("r_score").cast("string"), F.col("f_score").cast("string"),
                  F.col("m_score").cast("string")).alias("rfm_cell"),
-        segment_of(RFM5_RULES, RFM5_DEFAULT).alias("rfm_segment"),
-    ).orderBy(F.col("rfm_total").desc(), "customer_id")
+        segment_of(rules, default).alias("rfm_segment"),
+    ).orderBy(F.col("rfm_total").desc(), customer_key)
 
 
-def rfm_segment_summary(star: Star, variant: str = "faithful", per_bucket: int | None = None) -> DataFrame:
-    """Segment sizes, averages and revenue shares (no customers join, as specified)."""
-    s = rfm_scores(star, False, variant, per_bucket).withColumn(
-        "rfm_segment", segment_of(RFM5_RULES, RFM5_DEFAULT))
+def rfm_segment_summary(star: Star, variant: str = "faithful", per_bucket: int | None = None,
+                        customer_key: str = "customer_id", tiles: int = 5, rules=RFM5_RULES,
+                        default=RFM5_DEFAULT) -> DataFrame:
+    """Segment sizes, averages and revenue shares (customers joined only for another key)."""
+    s = rfm_scores(star, False, variant, per_bucket, customer_key, tiles).withColumn(
+        "rfm_segment", segment_of(rules, default))
     seg = s.groupBy("rfm_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.round(X.avg_of("recency_days"), 1).alias("avg_recency_days"),
@@ -155,17 +178,15 @@ def rfm_segment_summary(star: Star, variant: str = "faithful", per_bucket: int |
     ).orderBy(F.col("_rev").desc_nulls_first(), "rfm_segment").drop("_rev")
 
 
-HIGH_VALUE_RULES = RFM5_RULES[:2]
-
-
 def high_value_customers(star: Star, limit: int = 500, variant: str = "faithful",
-                         per_bucket: int | None = None) -> DataFrame:
-    """Champions and Loyal Customers by monetary value (top ``limit``)."""
-    s = rfm_scores(star, True, variant, per_bucket).withColumn(
-        "rfm_segment", segment_of(HIGH_VALUE_RULES, None))
+                         per_bucket: int | None = None, customer_key: str = "customer_id",
+                         tiles: int = 5, rules=HIGH_VALUE_RULES) -> DataFrame:
+    """Customers of the ``rules``' segments by monetary value (top ``limit``)."""
+    s = rfm_scores(star, True, variant, per_bucket, customer_key, tiles).withColumn(
+        "rfm_segment", segment_of(rules, None))
     return s.filter(F.col("rfm_segment").isNotNull()).orderBy(
-        F.col("monetary").desc_nulls_first(), "customer_id").limit(limit).select(
-        "customer_id", "customer_state", "customer_city", "recency_days", "frequency",
+        F.col("monetary").desc_nulls_first(), customer_key).limit(limit).select(
+        customer_key, "customer_state", "customer_city", "recency_days", "frequency",
         X.money("monetary").alias("monetary_value"), "r_score", "f_score", "m_score", "rfm_segment")
 
 

@@ -63,26 +63,3 @@ def by_member(per_order: DataFrame, keys: list[str], members: str, member: str,
     return rows.groupBy(*keys, member).agg(
         *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums],
         F.sum(F.when(first, 1).otherwise(0)).alias("n_orders"))
-
-
-def aggregate(rows: DataFrame, keys: list[str], aggs: list, distinct: dict[str, str]) -> DataFrame:
-    """``groupBy(keys).agg(aggs)`` plus ``COUNT(DISTINCT col) AS name`` per entry of ``distinct``.
-
-    Each distinct count is its own aggregate over (keys, col) pairs that are
-    deduplicated map-side, joined back on the keys (NULL-safe).  Spark's
-    rewrite of several distinct aggregates would instead expand every input
-    row once per distinct column before the shuffle.  Use it when ``rows``
-    is cheap to recompute (scans and joins at item grain); over an
-    already-reduced aggregate the built-in rewrite is the better plan.
-    """
-    out = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
-    for name, c in distinct.items():
-        counts = rows.select(*keys, c).distinct().groupBy(*keys).agg(
-            F.count(c).cast("bigint").alias(name))
-        counts = counts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], name)
-        cond = None
-        for k in keys:
-            eq = out[k].eqNullSafe(counts[f"_r_{k}"])
-            cond = eq if cond is None else cond & eq
-        out = out.join(counts, cond).drop(*[f"_r_{k}" for k in keys])
-    return out

@@ -5,17 +5,17 @@ partition.  That is fine for a few hundred aggregated rows (months, states,
 categories) but not for customer- or seller-level NTILE / RANK.  Here the
 total order is cut into contiguous key ranges:
 
-1. the input size N is counted and, when N exceeds ``rows_per_bucket``,
-   a bounded sample of the sort key is taken to choose P-1 boundary keys
-   (kept as literals, so recomputation after an executor loss assigns every
-   row to the same bucket);
+1. the input size N is counted and a sample of the sort key is taken to
+   choose P-1 boundary keys (kept as literals, so recomputation after an
+   executor loss assigns every row to the same bucket).  P follows the data:
+   N / rows_per_bucket, and one bucket per shuffle partition at least, so
+   every size takes the same path;
 2. each row gets its bucket id by binary search over the boundaries
-   (O(log P) comparisons per row, JVM-side): a CASE tree for a few
-   boundaries, an ``aggregate()`` search over one array literal beyond
-   that (a large CASE tree makes Catalyst's rewrites very slow);
+   (O(log P) comparisons per row, JVM-side), an ``aggregate()`` over one
+   array literal (a large CASE tree makes Catalyst's rewrites very slow);
 3. one hash shuffle on the bucket id, ``row_number``/``rank`` inside each
    bucket (a bounded range of keys);
-4. per-bucket counts (P rows, a proven bound) give the bucket offsets,
+4. per-bucket counts (P rows: one for 2,000,000 rows of data) give the bucket offsets,
    which are broadcast back.
 
 A hot key value cannot overload a bucket: the sort key always ends with a
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, NumericType, StringType, StructField, StructType
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096  # < 2**16: the search packs (lo, hi) into one int
 SAMPLE_PER_BUCKET = 64
 CONF_ROWS_PER_BUCKET = "spark.basketry.rowsPerBucket"
 
@@ -71,6 +70,13 @@ def rows_per_bucket(spark) -> int:
     return int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(DEFAULT_ROWS_PER_BUCKET)))
 
 
+def bucket_count(spark, n_rows: int, per_bucket: int | None = None) -> int:
+    """Buckets for ``n_rows``: as many as shuffle partitions, more where the data need it."""
+    least = 1 if per_bucket else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    per_bucket = per_bucket or rows_per_bucket(spark)
+    return max(1, min(n_rows, max(least, math.ceil(n_rows / per_bucket))))
+
+
 def _normalized(df: DataFrame, keys: list[Key], prefix: str):
     """Non-null columns whose ascending lexicographic order equals ``keys``."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -105,22 +111,6 @@ def _normalized(df: DataFrame, keys: list[Key], prefix: str):
     return cols
 
 
-def _less_than(cols: list[str], values: tuple) -> Column:
-    expr = None
-    for name, v in reversed(list(zip(cols, values))):
-        c, lit = F.col(name), F.lit(v)
-        expr = (c < lit) if expr is None else ((c < lit) | ((c == lit) & expr))
-    return expr
-
-
-def _bucket_tree(cols: list[str], bounds: list[tuple], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(_less_than(cols, bounds[mid - 1]), _bucket_tree(cols, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_tree(cols, bounds, mid, hi))
-
-
 def _plain(v):
     return Decimal(v) if isinstance(v, Decimal) else v
 
@@ -132,8 +122,7 @@ def boundaries(base: DataFrame, keys: list[Key], n_rows: int, per_bucket: int |
     Taken from a sample of about SAMPLE_PER_BUCKET rows per bucket, so the
     part brought to the driver is bounded by P, not by the data.
     """
-    per_bucket = per_bucket or rows_per_bucket(base.sparkSession)
-    n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n_rows / max(1, per_bucket))))
+    n_buckets = bucket_count(base.sparkSession, n_rows, per_bucket)
     if n_buckets == 1:
         return []
     names = _key_names(keys)
@@ -155,9 +144,6 @@ def _key_names(keys: list[Key]) -> list[str]:
     return [n for i in range(len(keys)) for n in (f"_kf{i}", f"_kv{i}")]
 
 
-TREE_MAX_BOUNDS = 32
-
-
 def long_array(values) -> Column:
     """An array<bigint> literal as one expression node (parsed once by constant folding)."""
     return F.from_json(F.lit("[" + ",".join(str(int(v)) for v in values) + "]"), ArrayType(LongType()))
@@ -177,7 +163,7 @@ def _bucket_search(keyed: DataFrame, names: list[str], bounds: list[tuple]) -> D
     ``aggregate`` over ``ceil(log2(P)) + 1`` steps keeps the expression size
     constant in P (a nested CASE tree grows with P and Catalyst's
     conditional rewrites become very slow).  The search state (lo, hi) is
-    packed into one int, so a step allocates nothing.
+    packed into one bigint, so a step allocates nothing.
     """
     types = {f.name: f.dataType for f in keyed.schema.fields}
     # One string literal parsed once by constant folding: the plan holds two
@@ -190,14 +176,14 @@ def _bucket_search(keyed: DataFrame, names: list[str], bounds: list[tuple]) -> D
     key = F.col("_key")
 
     def step(acc, _):
-        lo, hi = F.shiftright(acc, 16), acc.bitwiseAND(0xFFFF)
+        lo, hi = F.shiftright(acc, 32), acc.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))
         mid = F.shiftright(lo + hi + 1, 1)
         return (F.when(lo >= hi, acc)
-                .when(key < F.element_at(arr, mid), F.shiftleft(lo, 16) + mid - 1)
-                .otherwise(F.shiftleft(mid, 16) + hi))
+                .when(key < F.element_at(arr, mid.cast("int")), F.shiftleft(lo, 32) + mid - 1)
+                .otherwise(F.shiftleft(mid, 32) + hi))
 
-    search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(len(bounds)), step,
-                         lambda acc: F.shiftright(acc, 16))
+    search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(len(bounds)).cast("bigint"), step,
+                         lambda acc: F.shiftright(acc, 32).cast("int"))
     return keyed.withColumn("_key", F.struct(*[F.col(n) for n in names])) \
         .withColumn("_b", search).drop("_key")
 
@@ -208,8 +194,6 @@ def with_bucket(df: DataFrame, keys: list[Key], bounds: list[tuple]) -> DataFram
     if not bounds:
         return keyed.withColumn("_b", F.lit(0))
     names = _key_names(keys)
-    if len(bounds) <= TREE_MAX_BOUNDS:
-        return keyed.withColumn("_b", _bucket_tree(names, bounds, 0, len(bounds)))
     return _bucket_search(keyed, names, bounds)
 
 
@@ -239,10 +223,6 @@ def with_position(df: DataFrame, keys: list[Key], n_rows: int, out: str = "_pos"
     base = df if base is None else base
     bounds = boundaries(base, keys, n_rows, per_bucket)
     order = [k.spark_order() for k in keys]
-    if not bounds:
-        # at most rows_per_bucket rows: one ordered partition is fine
-        res = df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-        return res.withColumn(out, F.col(out).cast("bigint"))
     keyed = with_bucket(df, keys, bounds)
     rn = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
     res = keyed.withColumn(out, bucket_offsets(base, keys, bounds) + rn)
@@ -259,14 +239,8 @@ def with_ntiles(df: DataFrame, specs: dict[str, tuple[list[Key], int]], n_rows:
     bucket-partitioned window.
     """
     base = df if base is None else base
-    per_bucket = per_bucket or rows_per_bucket(base.sparkSession)
-    n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n_rows / max(1, per_bucket))))
+    n_buckets = bucket_count(base.sparkSession, n_rows, per_bucket)
     out = df
-    if n_buckets == 1:
-        for name, (keys, tiles) in specs.items():
-            pos = F.row_number().over(Window.orderBy(*[k.spark_order() for k in keys]))
-            out = out.withColumn(name, ntile_of(pos, n_rows, tiles))
-        return out
     # one sample of every ordering's normalized key (bounded: ~64 rows per bucket)
     norm = {name: [c.alias(f"_s{i}_{j}") for j, c in enumerate(_normalized(base, keys, "_k"))]
             for i, (name, (keys, _)) in enumerate(specs.items())}
@@ -286,7 +260,7 @@ def with_ntiles(df: DataFrame, specs: dict[str, tuple[list[Key], int]], n_rows:
             if not picked or b > picked[-1]:
                 picked.append(b)
         bounds[name] = picked
-    # one aggregate pass: rows per (ordering, bucket), at most specs x MAX_BUCKETS rows
+    # one aggregate pass: rows per (ordering, bucket), one row each
     tagged = base
     for i, (name, (keys, _)) in enumerate(specs.items()):
         tagged = with_bucket(tagged, keys, bounds[name]).withColumnRenamed("_b", f"_b{i}") \
@@ -335,9 +309,6 @@ def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str
     keys = list(rank_keys) + list(tiebreak)
     bounds = boundaries(df, keys, n_rows, per_bucket)
     order = [k.spark_order() for k in rank_keys]
-    if not bounds:
-        res = df.withColumn(out, F.rank().over(Window.orderBy(*order)))
-        return res.withColumn(out, F.col(out).cast("bigint"))
     keyed = with_bucket(df, keys, bounds)
     value = F.struct(*[F.col(c) for c in _key_names(keys)[: 2 * len(rank_keys)]])
     local = (keyed.withColumn("_lr", F.rank().over(Window.partitionBy("_b").orderBy(*order)))
@@ -345,7 +316,7 @@ def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str
     stats = local.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_val").alias("_first"),
                                     F.max("_val").alias("_last"), F.max("_lr").alias("_last_run"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket (at most MAX_BUCKETS rows)
+    # one row per bucket
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     ends = stats.groupBy(F.col("_last").alias("_v")).agg(
         F.min(F.col("_off") + F.col("_last_run")).alias("_carry"))

@@ -15,20 +15,9 @@ from basketry.session import ensure_checkpoint_dir
 from basketry.sources.testdata import star_from_testdata
 
 
-_STARS: dict[tuple[int, str], tuple[SparkSession, object]] = {}
-
-
 def star_for(spark: SparkSession, sf_dir: str):
-    """Mapped star for (session, directory); the plans are built once per session.
-
-    The session object is kept with the entry, so a new session can never be
-    handed plans of a stopped one that happened to have the same id.
-    """
-    key = (id(spark), sf_dir)
-    cached = _STARS.get(key)
-    if cached is None or cached[0] is not spark:
-        _STARS[key] = (spark, star_from_testdata(spark, sf_dir))
-    return _STARS[key][1]
+    """Mapped star of a directory; read anew for every query, so its files are never stale."""
+    return star_from_testdata(spark, sf_dir)
 
 
 def _pivot(variant: str, start):
@@ -55,6 +44,7 @@ OPERATORS: dict[str, tuple[Callable, dict]] = {
     "dq13_category_null_rate": (quality.null_rate, {}),
     "dq14_price_profile": (quality.numeric_profile, {}),
     "rv01_monthly_trend": (revenue.period_trend, {}),
+    "rv01_monthly_trend_corrected": (revenue.period_trend, {"variant": "corrected"}),
     "rv02_top_categories": (revenue.category_ranking, {}),
     "rv03_payment_mix": (revenue.payment_mix, {}),
     "rv03_payment_mix_corrected": (revenue.payment_mix, {"variant": "corrected"}),
@@ -62,7 +52,9 @@ OPERATORS: dict[str, tuple[Callable, dict]] = {
     "rv04_state_revenue_corrected": (revenue.state_revenue, {"variant": "corrected"}),
     "rv05_quarterly": (revenue.calendar_breakdown, {}),
     "rv06_weekday": (revenue.weekday_pattern, {}),
+    "rv06_weekday_corrected": (revenue.weekday_pattern, {"variant": "corrected"}),
     "co01_cohort_retention": (cohort.cohort_retention, {}),
+    "co01_cohort_retention_person": (cohort.cohort_retention, {"customer_key": "customer_unique_id"}),
     "co02_cohort_matrix": (cohort.cohort_matrix, {}),
     "co02_cohort_matrix_corrected": (cohort.cohort_matrix, {"variant": "corrected"}),
     "co03_retention_summary": (cohort.retention_summary, {}),
@@ -71,7 +63,9 @@ OPERATORS: dict[str, tuple[Callable, dict]] = {
     "rf01_rfm_table_corrected": (rfm.rfm_table, {"variant": "corrected"}),
     "rf02_rfm_segments": (rfm.rfm_segment_summary, {}),
     "rf02_rfm_segments_corrected": (rfm.rfm_segment_summary, {"variant": "corrected"}),
+    "rf02_rfm_segments_person": (rfm.rfm_segment_summary, {"customer_key": "customer_unique_id"}),
     "rf03_high_value_customers": (rfm.high_value_customers, {}),
+    "rf03_high_value_customers_corrected": (rfm.high_value_customers, {"variant": "corrected"}),
     "ch01_rfm4_segments": (rfm.rfm4_segment_sizes, {}),
     "ch01_rfm4_segments_corrected": (rfm.rfm4_segment_sizes, {"variant": "corrected"}),
     "ch02_cohort_epoch": (charts.cohort_retention_epoch, {}),

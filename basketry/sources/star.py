@@ -37,9 +37,9 @@ class Star:
         Taken over the whole table, so they include the hot keys of any
         filtered or projected fact built from it.
         """
-        from basketry.plans.skew import hot_key_rows, hot_keys
+        from basketry.plans.skew import hot_key_share, hot_keys
         df = self.table(table)
-        memo = (table, key, hot_key_rows(df.sparkSession))
+        memo = (table, key, hot_key_share(df.sparkSession))
         if memo not in self._hot:
             self._hot[memo] = hot_keys(df.select(key), key)
         return self._hot[memo]

@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from basketry.oracle.queries import oracle_sql
+from basketry.registry import QUERIES
 from oracle_check import canon, duck
 from conftest import SF_MID, SF_SMALL
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +17,9 @@ def con_small():
 
 
 def _compare(spark, con, sf_dir, name):
-    df = E.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(oracle_sql()[name])
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
@@ -26,7 +28,8 @@ def _compare(spark, con, sf_dir, name):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

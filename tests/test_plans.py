@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as E
+from basketry.registry import QUERIES
 from conftest import SF_SMALL
 
 
@@ -10,15 +10,15 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_product(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
 
 def test_scan_is_pruned(spark):
-    plan = _plan(E.queries()["rv01_monthly_trend"](spark, SF_SMALL))
+    plan = _plan(QUERIES["rv01_monthly_trend"](spark, SF_SMALL))
     # lineitem is read with only the columns the mapping needs
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint," in plan
     assert "l_comment" not in plan and "l_shipdate" not in plan
