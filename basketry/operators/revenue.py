@@ -35,7 +35,7 @@ def period_trend(star: Star, grain: str = "month", variant: str = "faithful") ->
         F.round(F.sum("gmv_sum"), 2).alias("_gmv"),
         F.sum("n_orders").alias("total_orders"),
         F.count("customer_id").alias("unique_customers"),
-        F.round(X.ratio(F.sum("gmv_sum"), F.sum("n_orders" if variant == "corrected" else "gmv_cnt")), 2)
+        X.rounded(X.ratio(F.sum("gmv_sum"), F.sum("n_orders" if variant == "corrected" else "gmv_cnt")), 2)
         .alias("aov"))
     out = trend_columns(per_period, period)
     if grain != "month":
@@ -58,7 +58,7 @@ def trend_columns(monthly: DataFrame, month: str = "order_month", value: str = "
         X.money(value).alias("gmv"),
         *[X.as_long(c).alias(c) if c in ("total_orders", "unique_customers") else c for c in rest],
         prev.cast("double").alias("prev_month_gmv"),
-        F.round(X.ratio(F.col(value) - prev, prev) * 100, 2).alias("mom_growth_pct"),
+        X.rounded(X.ratio(F.col(value) - prev, prev) * 100, 2).alias("mom_growth_pct"),
         running.cast("double").alias("cumulative_gmv"),
     )
 
@@ -76,14 +76,13 @@ def category_ranking(star: Star, limit: int = 10) -> DataFrame:
                                       F.sum("freight_value").alias("freight"))
     rows = join_splitting_hot_keys(pairs, _category(star.products), "product_id",
                                    hot=star.hot_keys("order_items", "product_id"))
-    # one row per (category, order) with its products; an order's products are
-    # deduplicated there, and which products a category has is a second, thin pass
+    # one row per (category, order) gives all but the products, which a second, thin pass counts
     per_order = rows.groupBy("category", "order_id").agg(
         F.sum("price").alias("price"), F.sum("n_price").alias("n_price"), F.sum("freight").alias("freight"))
     per_cat = per_order.groupBy("category").agg(
         F.round(F.sum("price"), 2).alias("_rev"),
-        F.round(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
-        F.round(X.ratio(F.sum("freight"), F.sum("price")) * 100, 2).alias("freight_to_revenue_pct"),
+        X.rounded(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
+        X.rounded(X.ratio(F.sum("freight"), F.sum("price")) * 100, 2).alias("freight_to_revenue_pct"),
         F.count(F.lit(1)).alias("total_orders"))
     sold = items_of_orders(star, X.is_valid(), ("order_id", "product_id")).select("product_id").distinct()
     variety = sold.join(_category(star.products).distinct(), "product_id").groupBy(
@@ -96,7 +95,7 @@ def category_ranking(star: Star, limit: int = 10) -> DataFrame:
         X.as_long("total_orders").alias("total_orders"),
         X.as_long("unique_products").alias("unique_products"),
         "avg_item_price", "freight_to_revenue_pct",
-        F.round(X.ratio(F.col("_rev"), F.sum("_rev").over(everything)) * 100, 2).alias("revenue_share_pct"),
+        X.rounded(X.ratio(F.col("_rev"), F.sum("_rev").over(everything)) * 100, 2).alias("revenue_share_pct"),
         F.rank().over(Window.orderBy(F.col("_rev").desc_nulls_first())).cast("bigint").alias("revenue_rank"),
         F.rank().over(Window.orderBy(F.col("total_orders").desc_nulls_first())).cast("bigint").alias("orders_rank"),
         "_rev",
@@ -128,7 +127,7 @@ def payment_mix(star: Star, variant: str = "faithful") -> DataFrame:
     mix = facts.groupBy("category", "payment_type").agg(
         F.countDistinct("order_id").alias("order_count"),
         F.round(F.sum(F.col("pv_sum") * n), 2).alias("_value"),
-        F.round(X.ratio(F.sum(F.col("inst_sum") * n), F.sum(F.col("inst_cnt") * n)), 1)
+        X.rounded(X.ratio(F.sum(F.col("inst_sum") * n), F.sum(F.col("inst_cnt") * n)), 1)
         .alias("avg_installments"))
     per_category = Window.partitionBy("category")
     return mix.select(
@@ -153,11 +152,14 @@ def state_revenue(star: Star, variant: str = "faithful") -> DataFrame:
     per_customer = order_facts(star, cols=("customer_id",)).groupBy("customer_id").agg(
         F.countDistinct("order_id").alias("n_orders"),
         F.sum("gmv_sum").alias("gmv_sum"), F.sum("gmv_cnt").alias("gmv_cnt"))
-    facts = per_customer.join(star.customers.select("customer_id", "customer_state"), "customer_id")
+    # a repeated customers row repeats amounts, not orders; rows of a customer are together here
+    facts = per_customer.join(star.customers.select("customer_id", "customer_state"), "customer_id").groupBy(
+        "customer_id", "customer_state").agg(F.max("n_orders").alias("n_orders"), F.sum("gmv_sum").alias("gmv_sum"),
+                                             F.sum("gmv_cnt").alias("gmv_cnt"))
     per_state = facts.groupBy("customer_state").agg(
         F.sum("n_orders").alias("total_orders"),
         F.sum("gmv_sum").alias("_raw"),
-        F.round(X.ratio(F.sum("gmv_sum"),
+        X.rounded(X.ratio(F.sum("gmv_sum"),
                         F.sum("n_orders") if variant == "corrected" else F.sum("gmv_cnt")), 2)
         .alias("avg_order_value"),
         F.countDistinct("customer_id").alias("unique_customers"))
@@ -183,7 +185,7 @@ def calendar_breakdown(star: Star, fields: tuple[str, ...] = ("year", "quarter")
         *[part(TS).cast("bigint").alias(name) for name, part in parts]).agg(
         X.money(F.sum("gmv_sum")).alias(gmv_name),
         X.as_long(F.countDistinct("order_id")).alias("orders"),
-        F.round(X.ratio(F.sum("price_sum"), F.sum("price_cnt")), 2).alias("avg_item_price"),
+        X.rounded(X.ratio(F.sum("price_sum"), F.sum("price_cnt")), 2).alias("avg_item_price"),
     ).orderBy(*[F.col(name).asc_nulls_last() for name, _ in parts])
 
 
@@ -197,6 +199,6 @@ def weekday_pattern(star: Star, variant: str = "faithful") -> DataFrame:
         X.dow0(TS).cast("bigint").alias("day_of_week_num"), X.day_name(TS).alias("day_name")).agg(
         X.as_long(orders).alias("total_orders"),
         X.money(F.sum("gmv_sum")).alias("total_gmv"),
-        F.round(X.ratio(F.sum("gmv_sum"), orders if variant == "corrected" else F.sum("gmv_cnt")), 2)
+        X.rounded(X.ratio(F.sum("gmv_sum"), orders if variant == "corrected" else F.sum("gmv_cnt")), 2)
         .alias("avg_order_value"),
     ).orderBy(F.col("day_of_week_num").asc_nulls_last())

@@ -45,7 +45,7 @@ def score_distribution(star: Star) -> DataFrame:
     n = F.col("n_rev")
     per_score = rows.groupBy(SCORE).agg(
         F.sum(n).alias("review_count"),
-        F.round(X.ratio(F.sum(F.col("_days") * n), F.sum(F.when(F.col("_days").isNotNull(), n))), 1)
+        X.rounded(X.ratio(F.sum(F.col("_days") * n), F.sum(F.when(F.col("_days").isNotNull(), n))), 1)
         .alias("avg_days_to_review"))
     return per_score.select(
         SCORE, "review_count",
@@ -79,7 +79,7 @@ def delay_vs_score(star: Star, variant: str = "faithful") -> DataFrame:
     n = F.sum(r)
     return rows.groupBy("delay_bucket").agg(
         n.alias("order_count"),
-        F.round(X.ratio(F.sum(F.col(SCORE) * r), F.sum(F.when(F.col(SCORE).isNotNull(), r))), 3)
+        X.rounded(X.ratio(F.sum(F.col(SCORE) * r), F.sum(F.when(F.col(SCORE).isNotNull(), r))), 3)
         .alias("avg_review_score"),
         low.alias("low_score_count"), X.pct(low, n, 2).alias("low_score_pct"),
         five.alias("five_star_count"), X.pct(five, n, 2).alias("five_star_pct"),
@@ -195,7 +195,7 @@ def price_bucket_vs_score(star: Star) -> DataFrame:
     n = F.count(F.lit(1))
     labels = [lab for lab, _ in PRICE_BUCKETS]
     return per_order.groupBy(bucket.alias("price_bucket")).agg(
-        n.alias("order_count"), F.round(X.avg_of(SCORE), 3).alias("avg_review_score"),
+        n.alias("order_count"), X.rounded(X.avg_of(SCORE), 3).alias("avg_review_score"),
         X.pct(low, n, 2).alias("low_score_pct"),
     ).orderBy(_order_of(labels)[F.col("price_bucket")])
 

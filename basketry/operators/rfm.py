@@ -163,9 +163,9 @@ def rfm_segment_summary(star: Star, variant: str = "faithful", per_bucket: int |
         "rfm_segment", segment_of(rules, default))
     seg = s.groupBy("rfm_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
-        F.round(X.avg_of("recency_days"), 1).alias("avg_recency_days"),
-        F.round(X.avg_of("frequency"), 2).alias("avg_frequency"),
-        F.round(X.avg_of("monetary"), 2).alias("avg_monetary_value"),
+        X.rounded(X.avg_of("recency_days"), 1).alias("avg_recency_days"),
+        X.rounded(X.avg_of("frequency"), 2).alias("avg_frequency"),
+        X.rounded(X.avg_of("monetary"), 2).alias("avg_monetary_value"),
         F.round(F.sum("monetary"), 2).alias("_rev"))
     w = Window.partitionBy()  # one row per segment: at most 12 rows
     return seg.select(
@@ -202,7 +202,8 @@ def rfm4_segment_sizes(star: Star, variant: str = "faithful", per_bucket: int |
     # map-side); order_id is a key, so per-customer distinct counts add up
     per_customer = order_facts(star, X.is_delivered()).groupBy("customer_id").agg(
         F.max(TS).alias("_last"), F.countDistinct("order_id").alias("_n"))
-    metrics = per_customer.join(star.customers.select("customer_id", key), "customer_id").groupBy(key).agg(
+    metrics = per_customer.join(star.customers.select("customer_id", key), "customer_id").groupBy("customer_id", key).agg(
+        F.max("_last").alias("_last"), F.max("_n").alias("_n")).groupBy(key).agg(
         F.to_date(F.max("_last")).alias("last_order"),
         X.as_long(F.sum("_n")).alias("frequency"))
     r_key = O.desc("last_order") if variant == "faithful" else O.asc("last_order")

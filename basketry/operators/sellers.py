@@ -48,7 +48,7 @@ def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
     n = F.col("n")
 
     def mean(c):
-        return F.round(X.ratio(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))), 1)
+        return X.rounded(X.ratio(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))), 1)
 
     per_seller = folded.withColumn("first", F.when(first, 1).otherwise(0)).groupBy("seller_id").agg(
         F.sum("first").alias("total_orders"), mean("actual").alias("avg_actual_days"),
@@ -78,7 +78,7 @@ def seller_revenue(star: Star) -> DataFrame:
     per_seller = by_member(pairs, ["seller_id"], "customers", "customer_id", ["price", "n_price", "freight"]) \
         .groupBy("seller_id").agg(
         F.round(F.sum("price"), 2).alias("_rev"), F.round(F.sum("freight"), 2).alias("_freight"),
-        F.round(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
+        X.rounded(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
         F.sum("n_orders").alias("total_orders"), F.count("customer_id").alias("unique_customers"))
     products = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "product_id")) \
         .select("seller_id", "product_id").distinct().groupBy("seller_id").agg(
@@ -126,7 +126,7 @@ def underperformers(star: Star, min_items: int = 5, per_bucket: int | None = Non
         F.round(F.sum("price"), 2).alias("_rev"), F.sum("valid").alias("total_orders"),
         F.sum("delivered").alias("delivered_orders"),
         X.pct(F.sum("late"), F.sum("delivered"), 2).alias("sla_breach_pct"),
-        F.round(X.ratio(F.sum(F.col("n") * F.col("s_sum")), F.sum(F.col("n") * F.col("s_cnt"))), 2)
+        X.rounded(X.ratio(F.sum(F.col("n") * F.col("s_sum")), F.sum(F.col("n") * F.col("s_cnt"))), 2)
         .alias("avg_review_score"), F.count("reviewed").alias("_reviewed"))
     joined = per_seller.filter((F.col("total_orders") > 0) & (F.col("delivered_orders") >= F.greatest(F.lit(min_items), F.lit(1)))
                                & (F.col("_reviewed") > 0)) \
@@ -164,7 +164,8 @@ def state_delivery(star: Star) -> DataFrame:
         X.round_exact(F.percentile("days", 0.5, n), 1).alias("median_delivery_days"),
         X.pct(F.sum("n_late"), F.sum(n), 2).alias("late_delivery_pct"))
     orders = rows.groupBy("customer_id").agg(F.countDistinct("order_id").alias("n_orders")) \
-        .join(states, "customer_id").groupBy(F.col("customer_state").alias("_state")) \
+        .join(states, "customer_id").groupBy("customer_id", "customer_state").agg(F.max("n_orders").alias("n_orders")) \
+        .groupBy(F.col("customer_state").alias("_state")) \
         .agg(F.sum("n_orders").cast("bigint").alias("total_orders"))
     per_state = per_state.join(orders, per_state["customer_state"].eqNullSafe(orders["_state"])).drop("_state")
     return per_state.select(
@@ -181,7 +182,7 @@ def sla_trend(star: Star) -> DataFrame:
     monthly = rows.groupBy(X.month_start(TS).alias("order_month")).agg(
         F.count(F.lit(1)).alias("total_delivered"),
         F.sum(X.is_late(DELIV, EST)).alias("late_count"),
-        F.round(X.avg_of(X.day_diff(EST, DELIV)), 1).alias("avg_delay_days"))
+        X.rounded(X.avg_of(X.day_diff(EST, DELIV)), 1).alias("avg_delay_days"))
     late_pct = X.pct("late_count", "total_delivered", 2)
     by_month = Window.orderBy(F.col("order_month").asc_nulls_last())
     return monthly.select(

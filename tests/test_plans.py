@@ -19,8 +19,8 @@ def test_no_cartesian_product(spark, name):
 
 def test_scan_is_pruned(spark):
     plan = _plan(QUERIES["rv01_monthly_trend"](spark, SF_SMALL))
-    # lineitem is read with only the columns the mapping needs
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint," in plan
+    # lineitem is read with only the columns the mapping needs (it has no rule on parts)
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_linenumber:int,l_extendedprice:double>" in plan
     assert "l_comment" not in plan and "l_shipdate" not in plan
 
 
@@ -32,3 +32,18 @@ def test_rfm_scores_are_bucketed_when_large(spark):
     # every score window is partitioned by its bucket column
     assert plan.count("Window [") >= 3
     assert "hashpartitioning(_b" in plan
+
+
+@pytest.mark.parametrize("name,scans", [("rv01_monthly_trend", 1), ("rv02_top_categories", 2), ("sl01_seller_sla", 1)])
+def test_item_passes(spark, name, scans):
+    """No Expand over item or order rows, and few scans of the items."""
+    plan = _plan(QUERIES[name](spark, SF_SMALL)).split("== Initial Plan ==")[0]
+    assert "Expand [" not in plan
+    assert plan.count("lineitem.parquet") <= scans
+
+
+def test_seller_facts_take_two_item_passes(spark):
+    from basketry.operators import sellers
+    from basketry.registry import star_for
+    plan = _plan(sellers.seller_revenue(star_for(spark, SF_SMALL)))
+    assert "Expand [" not in plan and plan.count("lineitem.parquet") <= 2
