@@ -2,19 +2,24 @@
 
 ``fold_column`` is the fold as a Spark expression: higher-order functions join
 the adjacent pair with the lowest rank until no pair has one, looking ranks up
-in a literal table.  ``encode_documents`` runs the same fold inside Arrow
-batches over the words that the worker has not seen yet; README gives the
-figures that made it the way taken by the query.  Decoding concatenates the
-byte pieces of the ids.
-
-A null text is the empty text, which has no ids.  Unpaired surrogates cannot
-occur in Spark strings.
+in a literal table.  ``encode_documents`` counts the distinct words of the
+whole corpus, folds the ``WORDS`` most frequent by that expression and
+broadcasts their ids: a bounded dictionary that covers nearly all occurrences.
+The tail, and words of more than ``LONG`` bytes, for which the expression takes
+quadratic time, are folded by the same ranks inside the Arrow batches that
+encode the documents (``Merges``); README gives the figures behind the split.
+Decoding concatenates the byte pieces of the ids.
+
+A null text is the empty text, which has no ids; tables without words have an
+empty dictionary.  Unpaired surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import ship
+from basketry.llm.common import partitions, ship
 from basketry.llm.pieces import PieceCodes, splitter
 
+WORDS = 1 << 16  # words of the dictionary
+LONG = 64  # bytes of its longest word
+HELD = 300_000  # parts counted together in a task
 _CODECS: dict = {}
 
 
@@ -144,34 +152,79 @@ class Merges:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]):
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.decimals = [b"%d," % i for i in range(len(self.pieces))]
         self.encode = PieceCodes(splitter(pattern), Merges(ranks))
+        self.encode.seen.update(dictionary)
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    key = (len(ranks), hash(tuple(list(ranks.items())[-50:])), pattern)
+def codec(key: str, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]) -> Codec:
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
+        _CODECS[key] = Codec(ranks, pattern, dictionary)
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, decode: bool = True) -> DataFrame:
+def frequent_words(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
+    """``word``: the ``limit`` most frequent matches of the pattern of at most ``LONG`` bytes, of all documents.
+
+    Counts are summed per task before the shuffle, so a word of any frequency
+    is one row of each task.  Parts of a text between single spaces are counted
+    first and matched once.
+    """
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = splitter(pattern), Counter()
+
+        def found() -> pa.RecordBatch:
+            total: Counter = Counter()
+            for part, n in parts.items():
+                for word in words(" " + part):
+                    total[word] += n
+            parts.clear()
+            short = [(w, n) for w, n in total.items() if len(w) <= LONG and len(w.encode()) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                for text in batch.slice(a, 256).column(0).to_pylist():
+                    if text:
+                        parts.update(text.split(" "))
+                if len(parts) >= HELD:
+                    yield found()
+        yield found()
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).select("word")
+
+
+def dictionary_of(words: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
+    """Codes of a bounded number of words, folded by ``fold_column``."""
+    spread = words.repartition(partitions(words.sparkSession), "word")
+    rows = spread.select("word", fold_column(F.col("word").cast("binary"), ranks).alias("ids")).collect()
+    return {r["word"]: np.array(r["ids"], "<u4").tobytes() for r in rows}
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, decode: bool = True,
+                     words: int = WORDS) -> DataFrame:
     """Encode the text of every document and decode its ids.
 
     Returns doc_id, n_tokens and either ``ids`` (array<int>) and, unless
     ``decode`` is off, ``decoded`` (binary), or with ``digests`` their SHA-256 in lowercase hex: ids_sha256 of
     the decimal ids joined by commas, decoded_sha256 of the decoded bytes.
+    Counting and folding the ``words`` dictionary entries runs when the query is built.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # bounded: a vocabulary file
+    dictionary = dictionary_of(frequent_words(docs, pattern, words), ranks) if words else {}
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, dictionary))  # bounded: a vocabulary file, ``words`` entries
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
+        own = codec(key, shared.value[0], pattern, shared.value[1])
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
@@ -214,20 +267,31 @@ def fold_column(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 14) -
     def rank(piece: Column) -> Column:
         return F.try_element_at(F.element_at(table, (F.crc32(piece) % buckets + 1).cast("int")), F.hex(piece))
 
-    def join_lowest(pieces: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1),
-                            lambda i: F.struct(rank(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))).alias("r"), i.alias("i")))
-        best = F.array_min(F.filter(pairs, lambda p: p["r"].isNotNull()))
-        merged = F.concat(F.slice(pieces, F.lit(1), best["i"] - 1),
-                          F.array(F.concat(F.element_at(pieces, best["i"]), F.element_at(pieces, best["i"] + 1))),
-                          F.slice(pieces, best["i"] + 2, F.size(pieces)))
-        return F.when(F.size(pieces) < 2, pieces).otherwise(F.when(best.isNull(), pieces).otherwise(merged))
+    def join_lowest(state: Column, _: Column) -> Column:
+        pairs = F.transform(state, lambda x, i: F.struct(x["pair"].alias("pair"), i.alias("i")))
+        best = F.array_min(F.filter(pairs, lambda p: p["pair"].isNotNull()))
+        # an array of one value binds it, so that it is computed once
+        return F.get(F.transform(F.array(best), lambda b: F.when(b.isNull(), state).otherwise(joined(state, b))), 0)
+
+    def joined(state: Column, best: Column) -> Column:
+        i = best["i"]
+        piece = F.concat(F.get(state, i)["piece"], F.get(state, i + 1)["piece"])
+        after = F.get(state, i + 2)["piece"]
+        moved = F.transform(state, lambda x, j: (
+            F.when(j == i, entry(piece, best["pair"], rank(F.concat(piece, after))))
+            .when(j == i - 1, entry(x["piece"], x["id"], rank(F.concat(x["piece"], piece))))
+            .when(j != i + 1, x)))
+        return F.filter(moved, lambda x: x.isNotNull())
+
+    def entry(piece: Column, own: Column, pair: Column) -> Column:
+        return F.struct(piece.alias("piece"), own.alias("id"), pair.alias("pair"))
 
     n = F.octet_length(word)
-    single = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-                         lambda i: F.substring(word, i, F.lit(1)))
-    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.aggregate(steps, single, join_lowest), rank)
+    none = F.array().cast("array<int>")
+    single = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(none), lambda i: entry(
+        F.substring(word, i, F.lit(1)), rank(F.substring(word, i, F.lit(1))), F.when(i < n, rank(F.substring(word, i, F.lit(2))))))
+    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(none)
+    return F.transform(F.aggregate(steps, single, join_lowest), lambda x: x["id"])
 
 
 def _json(table: list[dict[bytes, int]]) -> str:

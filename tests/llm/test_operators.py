@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from basketry.llm import (byte_bpe, jaccard_join, jump_shards, mil_toxicity, ordinal_quality, queries, rotated_codes, spaced_seeds,
@@ -188,10 +189,23 @@ def test_byte_bpe_like_the_library(spark, odd_docs):
     digests = byte_bpe.encode_documents(odd_docs, RANKS, public_tokenizers.PATTERN, digests=True).collect()
     assert Counter((r.doc_id, r.ids_sha256) for r in digests) == Counter(
         (d, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for d, ids in want.elements())
+    for words in (0, 5):  # most words outside the dictionary
+        got = byte_bpe.encode_documents(odd_docs, RANKS, public_tokenizers.PATTERN, decode=False, words=words).collect()
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    assert byte_bpe.encode_documents(odd_docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_frequent_words(spark, odd_docs):
+    match = regex.compile(public_tokenizers.PATTERN).findall
+    counts = Counter(w for r in odd_docs.collect() for w in match(r.text or ""))
+    got = [r.word for r in byte_bpe.frequent_words(odd_docs, public_tokenizers.PATTERN, 10).collect()]
+    assert set(got) <= set(counts) and len(got) == 10 and " the" in got
+    everything = {r.word for r in byte_bpe.frequent_words(odd_docs, public_tokenizers.PATTERN, 10_000).collect()}
+    assert "x" * 3000 not in everything and " fox" in everything
 
 
 def test_fold_column_is_the_same_fold(spark):
-    words = ["hello", " the", " world", "日本", "é", "", " unbelievably"]
+    words = ["hello", " the", " world", "日本", "é", "", " unbelievably", "aaaaaaa", "x", " 日本語テスト", "\t\t\t ", "qzxjv-!!"]
     frame = spark.createDataFrame([(w,) for w in words], "w string").select("w", byte_bpe.fold_column(F.col("w").cast("binary"), RANKS).alias("ids"))
     codes = byte_bpe.Merges(RANKS)([w for w in words if w])
     want = {w: np.frombuffer(c, "<u4").tolist() for w, c in zip([w for w in words if w], codes)} | {"": []}
