@@ -152,16 +152,16 @@ class Merges:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: bytes):
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.decimals = [b"%d," % i for i in range(len(self.pieces))]
         self.encode = PieceCodes(splitter(pattern), Merges(ranks))
-        self.encode.seen.update(dictionary)
+        self.encode.seen.update(codes_of(dictionary) if dictionary else {})
 
 
-def codec(key: str, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]) -> Codec:
+def codec(key: str, ranks: dict[bytes, int], pattern: str, dictionary: bytes) -> Codec:
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(ranks, pattern, dictionary)
@@ -202,11 +202,20 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).select("word")
 
 
-def dictionary_of(words: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
-    """Codes of a bounded number of words, folded by ``fold_column``."""
+def dictionary_of(words: DataFrame, ranks: dict[bytes, int]) -> bytes:
+    """``word, ids`` of a bounded number of words, folded by ``fold_column``, as an Arrow stream."""
     spread = words.repartition(partitions(words.sparkSession), "word")
-    rows = spread.select("word", fold_column(F.col("word").cast("binary"), ranks).alias("ids")).collect()
-    return {r["word"]: np.array(r["ids"], "<u4").tobytes() for r in rows}
+    table = spread.select("word", fold_column(F.col("word").cast("binary"), ranks).alias("ids")).toArrow()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def codes_of(dictionary: bytes) -> dict[str, bytes]:
+    """Word -> code of such a stream."""
+    with pa.ipc.open_stream(dictionary) as reader:
+        return {w: np.array(ids, "<u4").tobytes() for batch in reader for w, ids in zip(*(c.to_pylist() for c in batch.columns))}
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, decode: bool = True,
@@ -219,7 +228,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dig
     Counting and folding the ``words`` dictionary entries runs when the query is built.
     """
     ship(docs.sparkSession)
-    dictionary = dictionary_of(frequent_words(docs, pattern, words), ranks) if words else {}
+    dictionary = dictionary_of(frequent_words(docs, pattern, words), ranks) if words else b""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, dictionary))  # bounded: a vocabulary file, ``words`` entries
     key = uuid.uuid4().hex
 
@@ -262,8 +271,12 @@ def rank_table(ranks: dict[bytes, int], buckets: int = 1 << 14) -> list[dict[byt
 
 def fold_column(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 14) -> Column:
     """Ids of a binary column's value, by higher-order functions over a literal rank table."""
-    table = F.from_json(F.lit(_json(rank_table(ranks, buckets))), "array<map<string,int>>")
+    literal = F.from_json(F.lit(_json(rank_table(ranks, buckets))), "array<map<string,int>>")
+    # an array of one value binds the table: a plan that repeats the literal takes the driver's memory
+    return F.get(F.transform(F.array(literal), lambda table: _fold(word, table, buckets)), 0)
+
 
+def _fold(word: Column, table: Column, buckets: int) -> Column:
     def rank(piece: Column) -> Column:
         return F.try_element_at(F.element_at(table, (F.crc32(piece) % buckets + 1).cast("int")), F.hex(piece))
 
