@@ -19,6 +19,13 @@ that starts anywhere else, in the same text included.
 4. An anchor with more classes than ``CLASSES`` is dealt over several shards,
    and every two of them are merged by binary search.
 
+``without_repeats`` also takes out passages of ``words`` words or more that
+start anywhere else: the same windows over the texts' word hashes (words as in
+``WordHasher``: lower case, no punctuation at the ends), with 8-word anchors.
+Shards find equal passages by 64-bit hashes of their words.  A passage goes
+from the first byte of its first word to the last byte of its last, punctuation
+at the words included; the white space around it stays.
+
 Null texts count as empty; equal rows are copies of each other; rows without a
 doc_id are treated like the others.
 """
@@ -27,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +42,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import MIX, mix64, partitions, ship, written
+from basketry.llm.common import MIX, WordHasher, combine, mix64, partitions, ship, written
 from basketry.llm.suffix_arrays import found_in, repeated_starts, suffix_array
 
 GRAM = 64  # bytes of an anchor
+WORD_GRAM = 8  # words of an anchor
+WORD_BYTES = 8  # of a word's hash
 CLASSES = 2048  # window classes of one anchor in a shard
 SHARD_BYTES = 2 << 20
 WINDOW_SCHEMA = "row_key binary, anchor long, digest binary, first int, starts int"
 RANGE_SCHEMA = "row_key binary, first int, last int"
+TOKEN = re.compile(r"\S+")
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position that has so many."""
-    h, width = _BYTES[data], 1
-    while width < GRAM:
+    """Hash of the GRAM bytes (or WORD_GRAM word hashes) from each position that has so many."""
+    h, width, gram = (_BYTES[data], 1, GRAM) if data.dtype == np.uint8 else (mix64(data), 1, WORD_GRAM)
+    while width < gram:
         h = h[:-width] * (MIX + np.uint64(2 * width)) + h[width:]
         width *= 2
     return mix64(h)
@@ -63,7 +74,7 @@ def windows_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
     bits = np.uint64(max(1, len(hashes).bit_length()))
     # high bits of the hash, then the position: the least key is the leftmost gram of least hash
     key = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
-    span, width = length - GRAM + 1, 1
+    span, width = length - (GRAM if data.dtype == np.uint8 else WORD_GRAM) + 1, 1
     least = key
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -83,29 +94,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.unhex(F.md5(F.concat(name, F.lit("\n"), body))).alias("row_key"))
 
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
+def _windows(docs: DataFrame, length: int, by_word: bool) -> DataFrame:
+    unit = WORD_BYTES if by_word else 1
+    least = 2 * length - 1 if by_word else length  # bytes of so many words, or of so many bytes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        hasher = WordHasher()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 keys, anchors, digests, firsts, counts = [], [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = text.encode()
-                    first, count, anchor = windows_of(np.frombuffer(raw, np.uint8), length)
+                    data = hasher(text) if by_word else np.frombuffer(text.encode(), np.uint8)
+                    first, count, anchor = windows_of(data, length)
                     keys += [key] * len(first)
                     anchors.append(anchor)
                     firsts.append(first)
                     counts.append(count)
-                    view = memoryview(raw)
-                    digests += [xxhash.xxh3_128_digest(view[s:s + c + length - 1]) for s, c in zip(first.tolist(), count.tolist())]
+                    view = memoryview(data.tobytes())
+                    digests += [xxhash.xxh3_128_digest(view[s * unit:(s + c + length - 1) * unit]) for s, c in zip(first.tolist(), count.tolist())]
                 if keys:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys, pa.binary()), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(digests, pa.binary()),
                          pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
                         ["row_key", "anchor", "digest", "first", "starts"])
 
-    return docs.filter(F.octet_length("text") >= length).select("row_key", "text").mapInArrow(run, WINDOW_SCHEMA)
+    return docs.filter(F.octet_length("text") >= least).select("row_key", "text").mapInArrow(run, WINDOW_SCHEMA)
 
 
 def _unit_marks(rows: list[dict], left: int, right: int, length: int) -> list[np.ndarray]:
@@ -132,6 +147,43 @@ def _unit_marks(rows: list[dict], left: int, right: int, length: int) -> list[np
     return [marks[b:b + c] for b, c in zip(begin.tolist(), counts.tolist())]
 
 
+def _word_marks(rows: list[dict], left: int, right: int, length: int) -> list[np.ndarray]:
+    """As ``_unit_marks``, for windows of word hashes."""
+    data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint64)
+    sizes = np.array([len(r["bytes"]) // WORD_BYTES for r in rows])
+    begin = np.cumsum(sizes) - sizes
+    counts = np.array([r["starts"] for r in rows])
+    passages = combine(data[i:len(data) - length + 1 + i] for i in range(length))
+    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())  # starts inside their windows
+    mine = passages[at]
+    if left == right:
+        _, which, seen = np.unique(mine, return_inverse=True, return_counts=True)
+        marks = seen[which] > 1
+    else:
+        side = np.repeat(np.array([r["part"] for r in rows]) == left, counts)
+        marks = np.where(side, np.isin(mine, mine[~side]), np.isin(mine, mine[side]))
+    return np.split(marks, np.cumsum(counts)[:-1])
+
+
+def _cut_words(rows: DataFrame, length: int) -> DataFrame:
+    """row_key and the windows ``w`` of each row, with their word hashes."""
+    kind = dict(rows.dtypes)["windows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part, cuts = batch.slice(a, 512), []
+                for text, windows in zip(part.column("text").to_pylist(), part.column("windows").to_pylist()):
+                    raw = hasher(text).tobytes()
+                    cuts.append([raw[w["first"] * WORD_BYTES:(w["first"] + w["starts"] + length - 1) * WORD_BYTES] for w in windows])
+                yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("windows"), pa.array(cuts, pa.list_(pa.binary()))],
+                                                 ["row_key", "windows", "bytes"])
+
+    cut = rows.mapInArrow(run, f"row_key binary, windows {kind}, bytes array<binary>")
+    return cut.select("row_key", F.explode(F.arrays_zip("windows", "bytes")).alias("z")).select("row_key", "z.windows.*", "z.bytes")
+
+
 def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
@@ -152,11 +204,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """row_key and ranges ``[first, last)`` of starts whose strings repeat; ``docs`` as ``_keyed`` gives them."""
+def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES, shard_bytes: int = SHARD_BYTES, by_word: bool = False) -> DataFrame:
+    """row_key and ranges ``[first, last)`` of starts whose strings repeat; ``docs`` as ``_keyed`` gives them.
+
+    ``by_word``: length and ranges count words.
+    """
     spark = docs.sparkSession
     ship(spark)
-    windows = written(_windows(docs, length), "windows")
+    windows = written(_windows(docs, length, by_word), "windows")
     again = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("anchor")
     shared = written(windows.join(again, "anchor"), "shared-windows")
 
@@ -171,9 +226,13 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
            .agg(F.min(F.struct("row_key", "first", "starts")).alias("at"))
            .select("anchor", "digest", "copies", "classes", "at.*"))
     of_text = one.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "digest", "copies", "classes", "first", "starts")).alias("windows"))
-    fetched = docs.join(of_text, "row_key").select("row_key", F.col("text").cast("binary").alias("raw"), F.explode("windows").alias("w"))
-    cut = written(fetched.select("row_key", "w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.starts") + (length - 1)).alias("bytes"))
-                  .dropDuplicates(["anchor", "digest"]), "close-windows")
+    joined = docs.join(of_text, "row_key")
+    if by_word:
+        fetched = _cut_words(joined.select("row_key", "text", "windows"), length)
+    else:
+        fetched = joined.select("row_key", F.col("text").cast("binary").alias("raw"), F.explode("windows").alias("w")).select(
+            "row_key", "w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.starts") + (length - 1)).alias("bytes"))
+    cut = written(fetched.dropDuplicates(["anchor", "digest"]), "close-windows")
 
     total = cut.agg(F.sum(F.octet_length("bytes"))).collect()[0][0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
@@ -187,10 +246,12 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
              .select("group", "left", "right", "part", "row_key", "copies", "first", "starts", "bytes")
              .repartition(partitions(spark), "group", "left", "right").sortWithinPartitions("group", "left", "right"))
 
+    marks_of = _word_marks if by_word else _unit_marks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _units(batches):
             found = [(r["row_key"], r["first"] + a, r["first"] + b)
-                     for r, marks in zip(rows, _unit_marks(rows, rows[0]["left"], rows[0]["right"], length)) if r["copies"] == 1
+                     for r, marks in zip(rows, marks_of(rows, rows[0]["left"], rows[0]["right"], length)) if r["copies"] == 1
                      for a, b in _runs(marks)]
             if found:
                 keys, a, b = zip(*found)
@@ -201,9 +262,13 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
 
 
 def covered(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by the strings that start in the ranges."""
+    """Maximal runs covered by the strings that start in the ranges."""
+    return merged([(r["first"], r["last"] - 1 + length) for r in ranges or ()])
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted((r["first"], r["last"] - 1 + length) for r in ranges or ()):
+    for a, b in sorted(runs):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -211,11 +276,27 @@ def covered(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], describe) -> DataFrame:
+def word_bytes(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte runs of runs of words; words are counted as ``WordHasher`` does."""
+    places = [m.span() for m in TOKEN.finditer(text) if any(map(str.isalnum, m.group().lower()))]
+    out, at, chars = [], 0, 0
+    for a, b in runs:
+        edges = []
+        for edge in (places[a][0], places[b - 1][1]):
+            at, chars = at + len(text[chars:edge].encode()), edge
+            edges.append(at)
+        out.append(tuple(edges))
+    return out
+
+
+def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], describe, words: int | None = None) -> DataFrame:
     """``columns`` of every row of ``docs`` and what ``describe(raw, spans, kept)`` says of its bytes."""
     keyed = _keyed(docs)
-    ranges = written(repeated_ranges(keyed, length, classes), "ranges").groupBy("row_key").agg(
-        F.collect_set(F.struct("first", "last")).alias("ranges"))  # bounded: bytes of a document
+    repeated = repeated_ranges(keyed, length, classes).withColumn("by_word", F.lit(False))
+    if words:
+        repeated = repeated.unionByName(repeated_ranges(keyed, words, classes, by_word=True).withColumn("by_word", F.lit(True)))
+    ranges = written(repeated, "ranges").groupBy("row_key").agg(
+        F.collect_set(F.struct("first", "last", "by_word")).alias("ranges"))  # bounded: bytes of a document
     others = [c for c in columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", *others)
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -230,7 +311,10 @@ def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], descr
             for start in range(0, batch.num_rows, 512):
                 part, said = batch.slice(start, 512), []
                 for text, found in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist()):
-                    raw, spans = text.encode(), covered(found, length)
+                    raw, spans = text.encode(), covered([r for r in found or () if not r["by_word"]], length)
+                    passages = covered([r for r in found or () if r["by_word"]], words or 0)
+                    if passages:
+                        spans = merged(spans + word_bytes(text, passages))
                     edges = [0, *(x for span in spans for x in span), len(raw)]
                     said.append(describe(raw, spans, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in passed] + [pa.array(x) for x in zip(*said)], [*passed, *describe.names])
@@ -255,6 +339,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES) -
     return _apply(docs, length, classes, ["doc_id"], _figures)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES) -> DataFrame:
-    """``docs`` with their remaining texts; characters that lost a part of their bytes go too."""
-    return _apply(docs, length, classes, docs.columns, _remaining).select(*docs.columns)
+def without_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, words: int | None = None) -> DataFrame:
+    """``docs`` with their remaining texts; characters that lost a part of their bytes go too.
+
+    ``words``: passages of so many words or more that repeat go too, however few bytes they have.
+    """
+    return _apply(docs, length, classes, docs.columns, _remaining, words).select(*docs.columns)

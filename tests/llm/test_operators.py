@@ -178,6 +178,62 @@ def test_suffix_dedup(spark, odd_docs, classes):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
+def brute_passages(texts, words):
+    """Texts without the words (normalised, in runs of ``words``) that repeat; tokens go whole, white space stays."""
+    def norm(token):
+        kept = [i for i, c in enumerate(token) if c.isalnum()]
+        return token[kept[0]:kept[-1] + 1] if kept else ""
+    split = [[(m.span(), norm(m.group().lower())) for m in regex.finditer(r"\S+", t or "")] for t in texts]
+    split = [[(span, w) for span, w in found if w] for found in split]
+    grams = [[tuple(w for _, w in found[i:i + words]) for i in range(len(found) - words + 1)] for found in split]
+    seen = Counter(g for found in grams for g in found)
+    out = []
+    for text, found, mine in zip(texts, split, grams):
+        gone = np.zeros(len(text or ""), bool)
+        for i, g in enumerate(mine):
+            if seen[g] > 1:
+                gone[found[i][0][0]:found[i + words - 1][0][1]] = True
+        out.append("".join(c for c, g in zip(text or "", gone) if not g))
+    return out
+
+
+def passage_rows():
+    """Prose of different words: 0 to 2 share a passage of 55 words, 3 and 4 one of 50, 5 and 6 one of 51 with another case and punctuation."""
+    random = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(random.choice(list("abcdeéfgh"), 5)) for _ in range(n))
+    shared = {55: prose(55), 50: prose(50), 51: prose(51)}
+    rows = [(i, f"{prose(40)} {shared[55]}\n{prose(30 + i)}") for i in range(3)]
+    rows += [(i, f"{prose(40)} {shared[50]} {prose(20)}") for i in (3, 4)]
+    rows += [(5, f"{prose(9)} {shared[51]}, {prose(20)}"), (6, f"{prose(12)} \"{shared[51].upper()}.\" -- {prose(20)}")]
+    return rows + [(i, prose(70)) for i in (7, 8)], shared
+
+
+@pytest.mark.parametrize("classes", [2048, 2])
+def test_passages_of_words(spark, odd_docs, classes):
+    random = np.random.default_rng(4)
+    base = random.choice([f"w{i}" for i in range(300)], 160).tolist()
+    extra = [(100 + i, " ".join(base[:i * 11] + [f"x{i}"] + base[i * 11:])) for i in range(12)]
+    extra += passage_rows()[0] + [(None, extra[0][1]), (None, "another text " + extra[3][1])]
+    docs = odd_docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = suffix_dedup.without_repeats(docs, 1 << 20, classes, words=51)
+    assert Counter(rows_of(got)) == Counter(zip([d for d, _ in rows], brute_passages([t for _, t in rows], 51)))
+
+
+def test_pipeline_takes_out_passages_of_51_words(spark):
+    import corpus_pipeline
+    rows, shared = passage_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    got = {r.doc_id: r for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    assert 300 <= len(shared[55].encode()) < 400
+    for doc_id, text in rows[:3]:
+        assert got[doc_id].text == text.replace(shared[55], "")
+    assert " -- " in got[6].text and shared[51] not in got[5].text and shared[51].upper() not in got[6].text
+    for doc_id, text in rows[3:5] + rows[7:]:
+        assert got[doc_id].text == text
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_byte_bpe_like_the_library(spark, odd_docs):
     import tiktoken
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
