@@ -338,3 +338,13 @@ def test_pipeline_on_odd_rows(spark, odd_docs, tmp_path):
         assert stage(spark, docs.limit(0), root).count() == 0
     assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, root).collect()} == {3, 4, None, 6, 7, 8, 9}
     assert "ids" in corpus_pipeline.run(spark, root).columns
+
+
+def test_decontaminate_by_row(spark, tmp_path):
+    import corpus_pipeline
+    item = "seven wise owls watch quietly from an old oak tree and the river"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a clean text without an id"), (None, f"it says {item} again"), (None, None), (1, "a clean text of a repeated id"), (1, f"so {item} once more"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(r for r in rows if item not in (r[1] or ""))
