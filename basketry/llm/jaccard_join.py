@@ -15,8 +15,11 @@
 
 A word is lower-cased and without punctuation at its ends (``WordHasher``); a
 text of fewer words than a shingle has is one shingle.  Texts without words
-are linked to nothing, and rows without a doc_id have no class.  Rows that
-repeat a doc_id are one document.
+are linked to nothing, and rows without a doc_id have no class.  Rows of one
+doc_id with equal shingle sets are one document; with different ones they are
+documents of their own, which a class may name by the same doc_id.  The nodes
+of ties and links are text classes (64 bits of their keys), mapped to doc_ids
+at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import partitions, ship, written
@@ -36,7 +39,7 @@ from basketry.llm.shingles import Shingler
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 STEP = 16  # MinHash values compared at a time
 BLOCK = 512  # classes of a component in one block
-SIGNED_SCHEMA = "doc_id long, text_key binary, signature binary, bands array<long>"
+SIGNED_SCHEMA = "doc_id long, text_hash long, text_key binary, signature binary, bands array<long>"
 FOUND_SCHEMA = "a long, b long, links long, edge boolean"
 
 
@@ -86,7 +89,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def sign(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key (128-bit hash of the shingle set), signature and band hashes; null without words."""
+    """doc_id, text_hash (of the text itself), text_key (128-bit hash of the shingle set), signature and band hashes; null without words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +106,17 @@ def sign(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataF
                     keys[i], raw[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row.tobytes()
                     hashed[i] = [xxhash.xxh3_64_intdigest(raw[i][k * rows * 4:(k + 1) * rows * 4], seed=k) - (1 << 63) for k in range(bands)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "signature", "bands"])
+                    [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "text_key", "signature", "bands"])
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
     return rows_.mapInArrow(run, SIGNED_SCHEMA)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -176,19 +183,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs (doc_id, text)``: doc_id, class_id, n_links, text_class.
-
-    class_id is the smallest doc_id of the near-duplicate class, n_links the
-    number of other documents whose similarity reaches the threshold, and
-    text_class the smallest doc_id with an equal shingle set.
-    """
+def text_classes(docs: DataFrame, threshold: float, n: int, tolerance: float = 1e-6, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and of each text class: text_key, text_class, n_links, and doc_id and text_hash of the first row of its near-duplicate class (``first``)."""
     spark = docs.sparkSession
     signed = written(sign(docs, n), "signatures")
     classes = written(
         signed.filter("doc_id is not null and text_key is not null").groupBy("text_key")
-        .agg(F.min(F.struct("doc_id", "signature", "bands")).alias("first"), F.count_distinct("doc_id").alias("docs"))
-        .select("text_key", F.col("first.doc_id").alias("node"), "first.signature", "first.bands", "docs"), "text-classes")
+        .agg(F.min(F.struct("doc_id", "text_hash", "signature", "bands")).alias("first"), F.count_distinct("doc_id").alias("docs"))
+        .select("text_key", F.xxhash64("text_key").alias("node"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"),
+                "first.signature", "first.bands", "docs"), "text-classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("band", "head")
@@ -196,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance:
     clusters = components(ties).withColumnRenamed("component", "cluster")
     parts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     members = clusters.join(parts, "cluster").join(classes.drop("bands"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -210,7 +213,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance:
                 out = pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(raw, pa.binary())], [*names, "shingles"])
                 yield out.filter(pa.array(mine, pa.bool_()))
 
-    with_sets = (texts.join(members, "node").select("node", "cluster", "parts", "docs", "signature", "text_key", "text")
+    with_sets = (texts.join(members, ["first_id", "text_hash"]).select("node", "cluster", "parts", "docs", "signature", "text_key", "text")
                  .mapInArrow(sets_of, "node long, cluster long, parts int, docs long, signature binary, shingles binary"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     units = (with_sets.withColumn("part", own)
@@ -222,7 +225,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _units(batches):
-            unique = {r["node"]: r for r in rows}  # repeated rows of a document
+            unique = {r["node"]: r for r in rows}  # repeated rows of a text
             rows = list(unique.values())
             left, right = rows[0]["left"], rows[0]["right"]
             part = np.array([r["part"] for r in rows])
@@ -239,19 +242,37 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance:
                                                   pa.array([x is not None for x in b])], ["a", "b", "links", "edge"])
 
     found = written(units.mapInArrow(verify, FOUND_SCHEMA), "links")
+    own_row = F.struct(F.col("first_id").alias("doc_id"), "text_hash")
     near = components(found.filter("edge").select("a", "b"))
+    heads_ = near.join(classes.select("node", own_row.alias("row")), "node").groupBy("component").agg(F.min("row").alias("head"))
+    near = near.join(heads_, "component").select("node", "head")
     counts = found.filter("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    described = (classes.select("text_key", "node", "docs").join(counts, "node", "left").join(near, "node", "left")
-                 .select("text_key", F.coalesce("component", "node").alias("class_id"), F.col("node").alias("text_class"),
+    described = (classes.select("text_key", "node", "docs", "first_id", own_row.alias("row")).join(counts, "node", "left").join(near, "node", "left")
+                 .select("text_key", F.coalesce("head", "row").alias("first"), F.col("first_id").alias("text_class"),
                          (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return signed, described
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs (doc_id, text)``: doc_id, class_id, n_links, text_class.
+
+    class_id is the smallest doc_id of the near-duplicate class, n_links the
+    number of other documents whose similarity reaches the threshold, and
+    text_class the smallest doc_id with an equal shingle set.
+    """
+    signed, described = text_classes(docs, threshold, n, tolerance, block)
+    described = described.select("text_key", F.col("first.doc_id").alias("class_id"), "n_links", "text_class")
     joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("text_key")).alias("text_key")).join(described, "text_key", "left")
     return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                          F.coalesce("text_class", "doc_id").alias("text_class"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of every near-duplicate class, and rows without a doc_id."""
-    joined = jaccard_join(docs, threshold, n)
-    kept = joined.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = docs.filter(F.col("doc_id").isNotNull())
-    return ids.join(kept, ids["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """``docs`` with the document of smallest doc_id of every near-duplicate class, one without words of every doc_id, and rows without a doc_id."""
+    signed, described = text_classes(docs, threshold, n)
+    wordless = signed.filter("doc_id is not null and text_key is null").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = described.select("first.doc_id", "first.text_hash").unionByName(wordless).distinct()
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash"))
+    ids = docs.filter(F.col("doc_id").isNotNull()).withColumn("_hash", _text_hash())
+    ids = ids.join(kept, (ids["doc_id"] == kept["_kept"]) & (ids["_hash"] == kept["_kept_hash"]), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return ids.drop("_hash").unionByName(docs.filter(F.col("doc_id").isNull()))

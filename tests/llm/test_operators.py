@@ -319,6 +319,21 @@ def test_jaccard_join(spark, odd_docs, monkeypatch):
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    random = np.random.default_rng(6)
+    prose = lambda: " ".join(random.choice([f"w{i}" for i in range(5000)], 80))
+    rows = []
+    for i in range(20):
+        a, b = prose(), prose()
+        rows += [(10 * i, a), (10 * i, a), (10 * i, b), (10 * i + 1, b + " end"), (10 * i + 2, a + " end"), (10 * i + 3, ""), (10 * i + 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(rows_of(jaccard_join.jaccard_join(docs)))
+    ten = lambda d: d - d % 10
+    assert got == Counter((d, d, 0, d) if d % 10 == 3 else (d, ten(d), 1, d) for d, _ in rows)
+    kept = [(r.doc_id, r.text or "") for r in jaccard_join.keep_one(docs).collect()]
+    assert Counter(kept) == Counter({(d, t or "") for d, t in rows if d % 10 in (0, 3)})
+
+
 def test_least_matches_follow_the_posterior():
     for n, m in jaccard_join.least_matches(64, 16, 0.8, 1e-6):
         tail = lambda k: sum(math.comb(n + 1, i) * 0.8 ** i * 0.2 ** (n + 1 - i) for i in range(k + 1))
