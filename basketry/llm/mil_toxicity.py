@@ -31,6 +31,7 @@ from basketry.llm.common import ship
 
 BITS = 20
 SAMPLE = 2_000  # labelled documents per class, at most
+RANGE_BITS = 14  # ranges of doc_id hashes in which label rows are counted
 SENTENCE = re.compile(r"[.!?\n\r]+")
 PREFIXES = (4, 5)
 
@@ -133,6 +134,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def least_hashes(rows: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """The rows in the ranges of doc_id hashes that hold each label's ``per_class`` least ones, and all rows per label.
+
+    Rows are counted per label and range (the hash's leading bits), so no task sees all rows of a label.
+    """
+    rows = rows.withColumn("_range", F.shiftright(F.xxhash64("doc_id"), 64 - RANGE_BITS).cast("int"))
+    counts: dict[int, int] = {}
+    last: dict[int, int] = {}
+    counted = rows.groupBy("label", "_range").count().toArrow()  # bounded: 2**RANGE_BITS rows per label
+    for label, place, count in sorted(zip(*(counted.column(c).to_pylist() for c in ("label", "_range", "count")))):
+        if counts.get(label, 0) < per_class:
+            last[label] = place
+        counts[label] = counts.get(label, 0) + count
+    if not last:
+        return rows.drop("_range").limit(0), counts
+    until = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    return rows.filter(F.col("_range") <= until[F.col("label")]).drop("_range"), counts
+
+
 def sample_labels(labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` ids per label value, by a hash of the id, and all rows per value.
 
@@ -141,9 +161,9 @@ def sample_labels(labels: DataFrame, label: str, per_class: int) -> tuple[DataFr
     rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
             .filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max("label").alias("label")))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    least, counts = least_hashes(rows, per_class)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_class).select("doc_id", "label")
+    taken = least.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_class).select("doc_id", "label")
     return taken, counts
 
 

@@ -123,6 +123,20 @@ def test_toxicity_held_out(spark, odd_docs):
     assert mil_toxicity.score(odd_docs.limit(0), mil_toxicity.fit(odd_docs, labels.limit(0))).count() == 0
 
 
+def test_label_sample_takes_few_rows_to_one_task(spark):
+    from pyspark.sql import Window
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS toxic").unionAll(spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic int"))
+    rows = labels.dropna().filter(~mil_toxicity.held_out(F.col("doc_id"))).withColumnRenamed("toxic", "label")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    want = rows.withColumn("n", F.row_number().over(order)).filter("n <= 100").select("doc_id", "label").collect()
+    taken, counts = mil_toxicity.sample_labels(labels, "toxic", 100)
+    assert Counter(rows_of(taken)) == Counter(map(tuple, want)) and sum(counts.values()) == rows.count()
+    assert 200 <= mil_toxicity.least_hashes(rows, 100)[0].count() < 300
+    few, counts = mil_toxicity.sample_labels(labels.filter("doc_id < 40"), "toxic", 100)
+    assert few.count() == sum(counts.values()) == rows.filter("doc_id < 40").count()
+    assert rows_of(mil_toxicity.sample_labels(labels.limit(0), "toxic", 100)[0]) == []
+
+
 def test_noisy_or_names_the_sentence():
     weights = np.zeros(1 << mil_toxicity.BITS, np.float32)
     weights[list(mil_toxicity.word_features("awful"))[0]] = 12
