@@ -42,7 +42,7 @@ def _bucket(text: str) -> int:
 def shape(token: str) -> str:
     """Letter case, digits and symbols of a token, runs collapsed: 'Word,' is 'Aa,'."""
     out = []
-    for c in token[:64]:
+    for c in token:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)

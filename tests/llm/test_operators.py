@@ -296,6 +296,13 @@ def test_ordinal_quality(spark, odd_docs):
     assert ordinal_quality.rate(odd_docs.limit(0), ordinal_quality.fit(docs, grades.limit(0), "grade")).count() == 0
 
 
+def test_shape_of_the_whole_token():
+    assert ordinal_quality.shape("a" * 200 + "7" * 100 + "B" * 80 + "!") == "a0A!"
+    of = ordinal_quality.Features()
+    assert of("x" * 64 + "9")[0].tolist() != of("x" * 64 + "Y")[0].tolist()
+    assert ordinal_quality.shape("x" * 64 + "9") != ordinal_quality.shape("x" * 64)
+
+
 def word_sets(text):
     out = []
     for w in (text or "").lower().split():
