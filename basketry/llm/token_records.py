@@ -12,7 +12,9 @@ record, so a shuffled reader can seek to any record without reading others.
 Documents are dealt to files by ranges of doc_id and sorted in each, so ids
 ascend within and across files.  A null text is encoded as the empty one;
 a null doc_id sorts before all others; equal doc_ids sort by the text's hash;
-an empty table gives no files and an empty result.
+an empty table gives no files and an empty result.  The tokenizer's added
+tokens (``<|endoftext|>``) in a text get their ids, as the library's encode
+without special tokens of its own gives them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import gc
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +45,28 @@ ROWS_SCHEMA = "file_no int, seq long, doc_id long, n_tokens long, start_in_file
 _ENCODERS: dict = {}
 
 
-def piece_encoder(vocabulary: str) -> PieceCodes:
-    """Encoder of this worker for the tokenizer definition (JSON text)."""
+def piece_encoder(vocabulary: str) -> tuple[Callable[[list[str]], list[bytes]], str]:
+    """Encoder of this worker for the tokenizer definition (JSON text), and the type of its ids."""
     from tokenizers import Tokenizer
     key = hash(vocabulary)
     if key not in _ENCODERS:
         tok = Tokenizer.from_str(vocabulary)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
         kind = "<u4" if tok.get_vocab_size() > 65_536 else "<u2"
 
         def encode(texts: list[str]) -> list[bytes]:
             return [array("I" if kind == "<u4" else "H", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        pieces = PieceCodes(splitter(BYTE_LEVEL), encode)
+
+        def encode_texts(texts: list[str]) -> list[bytes]:
+            # no cut may go through an added token: texts that contain one are encoded whole
+            whole = {i for i, t in enumerate(texts) if any(x in t for x in added)}
+            if not whole:
+                return pieces(texts)
+            rest = iter(pieces([t for i, t in enumerate(texts) if i not in whole]))
+            return [encode([t])[0] if i in whole else next(rest) for i, t in enumerate(texts)]
         _ENCODERS.clear()
-        _ENCODERS[key] = (PieceCodes(splitter(BYTE_LEVEL), encode), kind)
+        _ENCODERS[key] = (encode_texts, kind)
     return _ENCODERS[key]
 
 

@@ -43,6 +43,15 @@ def test_token_records(spark, odd_docs):
     assert token_records.token_records(odd_docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_token_records_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_str(VOCABULARY)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "end<|endoftext|><|endoftext|> ", "plain words here", "almost <|endoftext| >", "", " a\n<|endoftext|>\nb c", "plain words here"]
+    got = token_records.token_records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()
+    ids = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert 50256 in ids[0] and {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_record_seek_and_damage(spark, odd_docs, tmp_path):
     files = token_records.write_records(odd_docs, f"file://{tmp_path}/r", VOCABULARY, files=1).collect()
     doc_id, ids = token_records.read_record(files[0].path, 3)
