@@ -393,3 +393,61 @@ def test_decontaminate_by_row(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
     got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def brute_pipeline(rows, items):
+    """(doc_id, token ids) of what the stages keep of ``rows (doc_id, text)``, ASCII texts; junk has no lower-case letter."""
+    import tiktoken
+    rows = [(d, t) for d, t in rows if any(c.islower() for c in t or "")]
+    keys = sorted({(d, tuple(sorted(word_sets(t)))) for d, t in rows if d is not None})
+    group = {k: k for k in keys}
+    for a in keys:
+        for b in keys:
+            x, y = set(a[1]), set(b[1])
+            if a < b and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    kept = {(d, tuple(sorted(word_sets(t)))): (d, t) for d, t in rows if d is not None}
+    rows = [(d, t) for d, t in rows if d is None] + [kept[k] for k in keys if group[k] == k]
+
+    texts, gone = [t for _, t in rows], [np.zeros(len(t), bool) for _, t in rows]
+    places = [[m.span() for m in regex.finditer(r"\S+", t)] for t in texts]
+    strings = [[((i, i + 400), t[i:i + 400]) for i in range(len(t) - 399)] for t in texts]
+    passages = [[((at[i][0], at[i + 50][1]), tuple(t.lower().split()[i:i + 51])) for i in range(len(at) - 50)] for t, at in zip(texts, places)]
+    for found in (strings, passages):
+        seen = Counter(x for mine in found for _, x in mine)
+        for mine, mask in zip(found, gone):
+            for (a, b), x in mine:
+                if seen[x] > 1:
+                    mask[a:b] = True
+    rows = [(d, "".join(c for c, g in zip(t, mask) if not g)) for (d, t), mask in zip(rows, gone)]
+
+    grams = lambda t: {tuple(t.split()[i:i + 8]) for i in range(len(t.split()) - 7)}
+    planted = set().union(*map(grams, items))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    return [(d, tuple(library.encode_ordinary(t))) for d, t in rows if not grams(t) & planted]
+
+
+def test_pipeline_like_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    random = np.random.default_rng(12)
+    word = lambda: "".join(random.choice(list("abcdefghijkl"), 5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, short, blob, items, base = prose(51), prose(50), "".join(word() for _ in range(90)), [prose(12), prose(20)], prose(100)
+    assert len(passage) < 400
+    rows = [(i, prose(60)) for i in range(40)] + [(40 + i, f"$$$ %%% {i} ### &&& 77 | |") for i in range(30)] + [(70, ""), (71, None)]
+    rows += [(80 + i, base.replace(base.split()[20 * i], word())) for i in range(4)] + [(79, prose(70)), (84, base)]
+    rows += [(90 + i, f"{prose(30)} {passage} {prose(30)}") for i in range(3)] + [(95 + i, f"{prose(40)} {short} {prose(40)}") for i in range(2)]
+    rows += [(100 + i, f"{prose(40)} {blob} {prose(9)}") for i in range(2)]
+    rows += [(110, f"{prose(20)} {items[0]} {prose(20)}"), (110, prose(45)), (None, f"{prose(20)} {items[1]} {prose(20)}"), (None, prose(45)), (None, f"{prose(40)} {passage}")]
+    rows += [(120, prose(50)), (120, prose(50)), (121, rows[0][1])]
+    rows += [rows[5], rows[6]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = sorted({(d, int(any(c.islower() for c in t or "")), 0) for d, t in rows if d is not None})
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = brute_pipeline(rows, items)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 50 < len(want) < len(rows) - 35
+    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in got) == Counter((d, len(x), x) for d, x in want)
