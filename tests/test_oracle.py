@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from basketry.oracle.queries import oracle_sql
 from basketry.registry import QUERIES
 from oracle_check import canon, duck
-from conftest import SF_MID, SF_SMALL
+from scale import SF_MID, SF_SMALL
 
 NAMES = sorted(QUERIES)
 

@@ -3,7 +3,7 @@
 import pytest
 
 from basketry.registry import QUERIES
-from conftest import SF_SMALL
+from scale import SF_SMALL
 
 
 def _plan(df):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import quality, revenue, rfm
 from basketry.registry import star_for
-from conftest import SF_MID
+from scale import SF_MID
 
 
 @pytest.fixture(scope="module")

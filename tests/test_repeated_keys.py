@@ -4,7 +4,7 @@ import pytest
 
 from basketry.operators import quality, revenue, reviews, rfm, sellers
 from basketry.registry import star_for
-from conftest import SF_SMALL
+from scale import SF_SMALL
 
 VALID = "o.order_status NOT IN ('canceled', 'unavailable')"
 ITEMS = "order_items i JOIN orders o ON i.order_id = o.order_id"

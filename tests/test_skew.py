@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry.plans.skew import hot_keys, join_splitting_hot_keys
 from basketry.registry import star_for
-from conftest import SF_SMALL
+from scale import SF_SMALL
 
 
 def test_hot_keys_bounded(spark):

@@ -11,7 +11,7 @@ from basketry.registry import star_for
 from basketry.sources import read_star, write_star
 from basketry.sources.files import read_table
 from basketry.sources.schema import SCHEMAS
-from conftest import SF_MID, SF_SMALL
+from scale import SF_MID, SF_SMALL
 
 # Row counts of the mapped star at sf0.01 (FIXTURES.md section 2.1).
 EXPECTED_SF001 = {"orders": 15000, "order_items": 60000, "customers": 1500, "sellers": 100,

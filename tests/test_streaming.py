@@ -6,7 +6,7 @@ import tempfile
 from basketry.operators import revenue
 from basketry.registry import star_for
 from basketry.sources import write_star
-from conftest import SF_SMALL
+from scale import SF_SMALL
 
 
 def test_refresh_on_arrival(spark):
