@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import (byte_bpe, jaccard_join, jump_shards, mil_toxicity, ordinal_quality, rotated_codes,
-                          spaced_seeds, suffix_dedup, token_records, turn_repair, warc_bundles)
+                          spaced_seeds, suffix_dedup, super_minhash, token_records, turn_repair, warc_bundles)
 
 SHARDS = 24
 QUERY_STEP = 20
@@ -73,9 +73,13 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations"))).report()
 
 
+def op13_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_minhash.near_groups(table(spark, sf_dir, "documents"), percent=80, n=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_records, op2_jump_shards, op3_rotated_codes, op4_spaced_seeds, op5_mil_toxicity,
-                            op6_warc_bundles, op7_suffix_dedup, op8_byte_bpe, op9_ordinal_quality, op10_jaccard_join, op12_turn_repair)}
+                            op6_warc_bundles, op7_suffix_dedup, op8_byte_bpe, op9_ordinal_quality, op10_jaccard_join, op12_turn_repair, op13_super_minhash)}
 
 # Nearest neighbours are compared by recall, the others need hashing, codecs or learning; see tests/llm.
 ORACLE_SQL: dict[str, str] = {}
