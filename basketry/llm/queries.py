@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import (byte_bpe, jaccard_join, jump_shards, mil_toxicity, ordinal_quality, rotated_codes,
+from basketry.llm import (byte_bpe, jaccard_join, jump_shards, mil_toxicity, ordinal_quality, phrase_index, rotated_codes,
                           spaced_seeds, suffix_dedup, super_minhash, token_records, turn_repair, warc_bundles)
 
 SHARDS = 24
@@ -69,6 +69,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.collocations(table(spark, sf_dir, "documents"), least=100, most=5, top=2000)
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations"))).report()
 
@@ -79,7 +83,7 @@ def op13_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_records, op2_jump_shards, op3_rotated_codes, op4_spaced_seeds, op5_mil_toxicity,
-                            op6_warc_bundles, op7_suffix_dedup, op8_byte_bpe, op9_ordinal_quality, op10_jaccard_join, op12_turn_repair, op13_super_minhash)}
+                            op6_warc_bundles, op7_suffix_dedup, op8_byte_bpe, op9_ordinal_quality, op10_jaccard_join, op11_phrase_index, op12_turn_repair, op13_super_minhash)}
 
 # Nearest neighbours are compared by recall, the others need hashing, codecs or learning; see tests/llm.
 ORACLE_SQL: dict[str, str] = {}
