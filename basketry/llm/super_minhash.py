@@ -10,14 +10,16 @@ is filled, later steps cannot change anything and the set is done.
 
 1. Documents with equal shingle sets are one class; only classes go on.
 2. Signatures are cut into bands; classes that share a band are candidates.
-3. Every class is verified against the head it shares most bands with, on the
-   full sets, and the links' components are found (large groups of near copies
-   collapse here, with one comparison a class).
-4. Bands that still hold classes of several components are gone through pair
-   by pair, but for pairs of one component: in bounded blocks of classes, each
-   pair in the first band that it shares only.  A pair whose equal slots are
-   too few for the threshold (probability below ``tolerance``) is left out;
-   the others are verified on the full sets.
+3. In each of ``rounds`` rounds every class is verified, on the full sets,
+   against the one head of another component that it shares most bands with,
+   and the components are joined.  A band's head is the class that shares
+   bands with most others first, a random one in later rounds.  Large groups
+   of near copies collapse here, with a comparison a class and round.
+4. Components that still meet in a band are tied to clusters.  Within one, the
+   classes of different components are compared in bounded blocks: of the
+   pairs that share a band, those whose equal slots are too few for the
+   threshold (probability below ``tolerance``) are left out, the others are
+   verified on the full sets, unless earlier links of the block join them.
 5. The components of all links are the groups, named by their smallest doc_id.
 
 Words are runs without white space (``[^\\x20\\x09-\\x0D]+``) after A-Z became
@@ -47,7 +49,9 @@ from basketry.llm.components import components
 
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 TOLERANCE = 1e-9  # of leaving out a pair at the threshold by its equal slots
-BLOCK = 1024  # classes in one block of a band
+BLOCK = 1024  # classes of a cluster in one block
+ROUNDS = 2  # of heads, before what is left goes pair by pair
+WEIGHT = 1 << 20  # shingles in one block
 GROUP = 4096  # classes verified against one copy of their head
 WHITE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")  # bytes.split() knows the rest
 
@@ -166,7 +170,14 @@ def bands_of(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("node", F.explode(cut).alias("b")).select("node", "b.i", "b.band")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def candidate_texts(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text (of the class's first row) of the classes that share a band."""
+    first = classes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    need = first.join(members.select("node").distinct(), "node")
+    return written(_texts(docs).join(need, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"), "near-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose full sets reach the threshold.
 
     Groups of at most about GROUP pairs share one copy of the text of ``b``;
@@ -177,10 +188,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     dealt = pairs.join(sizes, "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
     heads = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("b").alias("node"), F.lit(0).alias("kind"))
     asked = dealt.select("b", "deal", F.col("a").alias("node"), F.lit(1).alias("kind")).unionByName(heads)
-    # a text per class asked for; its row is found by doc_id and hash, and told by its set's key
-    first = classes.select("node", "text_key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    need = asked.select("node").distinct().join(first, "node")
-    texts = _texts(docs).join(need, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
     rows = (asked.join(texts, "node").repartition(partitions(spark), "b", "deal").sortWithinPartitions("b", "deal", "kind", "node")
             .select("b", "deal", "kind", "node", "text"))
 
@@ -202,59 +209,97 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     return written(rows.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def close_pairs(mixed: DataFrame, classes: DataFrame, bands: int, rows: int, percent: int, block: int, tolerance: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and show enough equal slots.
-
-    ``mixed (i, band, node, component)`` holds whole bands.  Classes of a
-    component with ``block`` members or more in a band stand in blocks of
-    their own, which never meet each other; the rest are mixed.
+class Forest:
+    """Union-find over the components seen in one unit."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def links_between(held: list[dict], bands: int, rows: int, least: int, percent: int) -> list[tuple[int, int]]:
+    """Links (node, node) that join the components of one unit's left and right block, by exact verification."""
+    component = [r["component"] for r in held]
+    left, right = (np.array([r[c] for r in held]) for c in ("left", "right"))
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+    size = np.array([len(x) for x in sets])
+    signature = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
+    forest, out, same = Forest(), [], bool((left & right).any())
+    of = np.array(component)
+    for x in np.nonzero(left)[0]:
+        ys = np.nonzero(right & (of != of[x]))[0]
+        ys = ys[ys > x] if same else ys
+        ys = ys[100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x])]
+        equal = signature[ys] == signature[x]
+        ys = ys[(equal.sum(1) >= least) & equal.reshape(len(ys), bands, rows).all(2).any(1)]
+        for y in ys:
+            if forest.find(component[x]) != forest.find(component[y]) and reaches(sets[x], sets[y], percent):
+                forest.join(component[x], component[y])
+                out.append((held[x]["node"], held[y]["node"]))
+    return out
+
+
+def clusters_of(known: DataFrame) -> DataFrame:
+    """cluster, component of the components that meet others in a band of ``known (i, band, node, component)``."""
+    heads = known.groupBy("i", "band").agg(F.min("component").alias("b"), F.max("component").alias("y")).filter("b < y").select("i", "band", "b")
+    ties = known.select("i", "band", F.col("component").alias("a")).distinct().join(heads, ["i", "band"]).filter("a != b").select("a", "b").distinct()
+    return components(ties).select(F.col("component").alias("cluster"), F.col("node").alias("component"))
+
+
+def close_links(known: DataFrame, classes: DataFrame, texts: DataFrame, n: int, bands: int, rows: int, percent: int, block: int, tolerance: float) -> DataFrame:
+    """Links (a, b) that join different components of one cluster.
+
+    A component with ``block`` classes or WEIGHT shingles or more stands in
+    blocks of its own, which never meet each other; the rest are mixed.
     """
-    spark = mixed.sparkSession
-    per = mixed.groupBy("i", "band", "component").agg(F.count(F.lit(1)).alias("k"))
-    small = F.sum(F.when(F.col("k") < block, F.col("k")).otherwise(0))
-    rest = per.groupBy("i", "band").agg(F.greatest(F.lit(1), F.ceil(small / block)).cast("int").alias("rest"))
-    label = F.when(F.col("k") >= block, F.struct(F.col("component"), F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / block)).cast("int").alias("sub"))) \
+    spark = known.sparkSession
+    mixed = (known.select("node", "component").distinct().join(clusters_of(known), "component")
+             .join(classes.select("node", "n_shingles", "signature"), "node"))
+    mixed = written(mixed, "mixed")
+    per = mixed.groupBy("cluster", "component").agg(F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / WEIGHT).alias("k"))
+    small = F.sum(F.when(F.col("k") < 1, F.col("k")).otherwise(0))
+    rest = per.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(small)).cast("int").alias("rest"))
+    label = F.when(F.col("k") >= 1, F.struct(F.col("component"), F.pmod(F.xxhash64("node"), F.ceil("k")).cast("int").alias("sub"))) \
         .otherwise(F.struct(F.lit(None).cast("long").alias("component"), F.pmod(F.xxhash64("component"), F.col("rest")).cast("int").alias("sub")))
-    dealt = mixed.join(per, ["i", "band", "component"]).join(rest, ["i", "band"]).select("i", "band", "node", "component", label.alias("own"))
-    labels = dealt.groupBy("i", "band").agg(F.collect_set("own").alias("labels"))  # a label for every ``block`` classes
-    meets = dealt.join(labels, ["i", "band"]).withColumn("other", F.explode(F.filter("labels", lambda x: x["component"].isNull() | ~x["component"].eqNullSafe(F.col("own.component")))))
-    units = meets.select("i", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") == F.least("own", "other")).alias("left"),
-                         (F.col("own") == F.greatest("own", "other")).alias("right"), "node", "component")
-    units = (units.join(classes.select("node", "n_shingles", "signature"), "node")
-             .repartition(partitions(spark), "i", "band", "low", "high").sortWithinPartitions("i", "band", "low", "high", "node"))
-    units = units.select("i", "band", F.to_json(F.struct("low", "high")).alias("unit"), "left", "right", "node", "component", "n_shingles", "signature")
+    dealt = mixed.join(per, ["cluster", "component"]).join(rest, "cluster").select("cluster", "node", "component", "signature", label.alias("own"))
+    labels = dealt.groupBy("cluster").agg(F.collect_set("own").alias("labels"))  # one for every ``block`` classes
+    meets = dealt.join(labels, "cluster").withColumn("other", F.explode(F.filter("labels", lambda x: x["component"].isNull() | ~x["component"].eqNullSafe(F.col("own.component")))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    units = meets.select("cluster", F.to_json(F.struct(low.alias("low"), high.alias("high"))).alias("unit"), (F.col("own") == low).alias("left"), (F.col("own") == high).alias("right"),
+                         "node", "component", "signature")
     least = least_equal(bands * rows, percent / 100, tolerance)
 
-    def compare(held: list[dict], at: int) -> tuple[list, list]:
-        node, component = np.array([r["node"] for r in held]), np.array([r["component"] for r in held])
-        left, right = (np.array([r[c] for r in held]) for c in ("left", "right"))
-        size = np.array([r["n_shingles"] for r in held])
-        signature = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
-        same, a, b = bool((left & right).any()), [], []
-        for x in np.nonzero(left)[0]:
-            ys = np.nonzero(right & (component != component[x]))[0]
-            ys = ys[ys > x] if same else ys
-            ys = ys[100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x])]
-            for c in range(0, len(ys), 4096):
-                some = ys[c:c + 4096]
-                equal = signature[some] == signature[x]
-                shared = equal.reshape(len(some), bands, rows).all(2)
-                good = some[(equal.sum(1) >= least) & (shared.argmax(1) == at) & shared[:, at]]
-                a += [max(int(node[x]), int(node[y])) for y in good]
-                b += [min(int(node[x]), int(node[y])) for y in good]
-        return a, b
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets_of = ShingleSets(n)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sets_of(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
+
+    sets = texts.join(mixed.select("node"), "node").select("node", "text").mapInArrow(with_sets, "node long, shingles binary")
+    units = units.join(sets, "node").repartition(partitions(spark), "cluster", "unit").sortWithinPartitions("cluster", "unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
 
         def done():
-            a, b = compare(held, key[0])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = links_between(held, bands, rows, least, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                for row in batch.slice(start, 1024).to_pylist():
-                    own = (row["i"], row["band"], row["unit"])
+            for start in range(0, batch.num_rows, 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    own = (row["cluster"], row["unit"])
                     if own != key and held:
                         yield done()
                         held = []
@@ -263,11 +308,20 @@ def close_pairs(mixed: DataFrame, classes: DataFrame, bands: int, rows: int, per
         if held:
             yield done()
 
-    return units.mapInArrow(run, "a long, b long")
+    return written(units.mapInArrow(run, "a long, b long"), "near-links")
+
+
+def _joined(links: DataFrame, every: DataFrame) -> DataFrame:
+    """``every (node, component)`` with the components that ``links (a, b)`` of nodes tie together."""
+    side = every.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    other = every.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    ties = links.join(side, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    merged = components(ties).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return written(every.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-components")
 
 
 def near_groups(docs: DataFrame, percent: int = 80, n: int = 5, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
-                tolerance: float = TOLERANCE) -> DataFrame:
+                tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id that links (100 * intersection >=
@@ -278,17 +332,21 @@ def near_groups(docs: DataFrame, percent: int = 80, n: int = 5, bands: int = BAN
               .agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature")).alias("first")))
     classes = written(firsts.select(F.monotonically_increasing_id().alias("node"), "text_key", "first", "first.n_shingles", "first.signature"), "classes")
     shared = bands_of(classes, bands, rows)
-    heads = shared.groupBy("i", "band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("i", "band", "head")
-    members = written(shared.join(heads, ["i", "band"]), "members")
-    most = (members.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
-            .groupBy("node").agg(F.max(F.struct("k", (-F.col("head")).alias("head"))).alias("m")))
-    links = verified(most.select(F.col("node").alias("a"), (-F.col("m.head")).alias("b")), classes, docs, n, percent)
-    settled = written(components(links), "settled")
-    known = members.join(settled, "node", "left").select("i", "band", "node", F.coalesce("component", "node").alias("component"))
-    several = known.groupBy("i", "band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("i", "band")
-    mixed = written(known.join(several, ["i", "band"]), "mixed")
-    more = written(close_pairs(mixed, classes, bands, rows, percent, block, tolerance).distinct(), "pairs")
-    every = components(links.unionByName(verified(more, classes, docs, n, percent)))
+    sizes = shared.groupBy("i", "band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    members = written(shared.join(sizes, ["i", "band"]), "members")
+    texts = candidate_texts(members, classes, docs)
+    scores = members.groupBy("node").agg(F.sum("k").alias("score"))
+    known = written(members.join(scores, "node").select("i", "band", "node", "score", F.col("node").alias("component")), "known")
+    every = known.select("node", "component").distinct()
+    for turn in range(rounds):
+        order = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        heads = known.groupBy("i", "band").agg(F.max(F.struct(order.alias("order"), "node", "component")).alias("h"))
+        most = (known.join(heads, ["i", "band"]).filter("component != h.component").groupBy("node", F.col("h.node").alias("head"))
+                .agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "head")).alias("m")))
+        links = verified(most.select(F.col("node").alias("a"), F.col("m.head").alias("b")), texts, n, percent)
+        every = _joined(links, every)
+        known = written(known.drop("component").join(every, "node"), "known")
+    every = _joined(close_links(known, classes, texts, n, bands, rows, percent, block, tolerance), every)
     named = classes.select("node", "text_key", F.col("first.doc_id").alias("doc_id")).join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     keyed = named.join(least, "component").select("text_key", "component_id")
