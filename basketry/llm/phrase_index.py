@@ -15,11 +15,13 @@ rows later as smaller ids stand in the interval.  All phrases of a shard are
 extended at once, by one sort of the ids in their intervals.
 
 Phrases go up a length at a time, to the right and to the left in turn.  A
-pass extends the phrases that occur often enough in the whole corpus, counts
-the extensions whose other part does so too, and the shards' counts are added
-up.  Which phrases are frequent is told to the shards by a bit table of fixed
-size (``BITS`` bits); a phrase that it lets pass wrongly falls out when the
-counts have been added up, so results are exact at any size.
+pass extends the phrases that occur often enough in the whole corpus and hands
+on 64-bit codes and counts of the extensions whose other part does so too; the
+shards' counts are added up by code.  Codes that reach the least count are
+told to the shards by a bit table of fixed size (``BITS`` bits), and the next
+pass hands on the words of those phrases as well, whose counts are added up
+once more.  A phrase that a code or a bit lets pass wrongly falls out there,
+so results are exact at any size.
 
 Scores use exact decimals.  Rows without a language are ``und``, null and empty
 texts have no words, texts of any length count whole, repeated rows count as
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import mix64, ship, written
 
 MOST_WORDS = 5
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 21
 BITS = 26  # of the table of frequent phrases: 8 MB
 FOLDED = 400_000  # distinct words that a task holds before it hands on their counts
 # Fixed values of the contract: A-Z to lower case, tab as space, the ends of pieces.
@@ -124,8 +126,11 @@ def extend(index: Index, low: np.ndarray, high: np.ndarray, other: np.ndarray) -
     return of[live], word[live], count[live], index.step[rows[order[first]]][live], (other[of] + smaller)[live]
 
 
-def enumerate_phrases(forward: np.ndarray, backward: np.ndarray, vocabulary: np.ndarray, lang: str, length: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of ``length`` words whose two parts one word shorter may be frequent: word ids (a row each), counts, codes.
+def enumerate_phrases(forward: np.ndarray, backward: np.ndarray, vocabulary: np.ndarray, lang: str, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every number of words up to ``length``: the phrases whose two parts one word shorter may be frequent.
+
+    Yields the number, word ids (a row each), counts and codes; where
+    ``tables`` reaches that number, only phrases that may be frequent.
 
     ``forward`` and ``backward`` are the transforms of the ids and of the ids
     reversed; ``tables[k - 1]`` tells which phrases of k words may be frequent.
@@ -143,10 +148,15 @@ def enumerate_phrases(forward: np.ndarray, backward: np.ndarray, vocabulary: np.
     words = np.nonzero(count)[0][:, None] + 1
     low = (np.cumsum(count) - count + np.count_nonzero(forward == 0))[words[:, 0] - 1]
     count, other = count[words[:, 0] - 1], low
-    for k in range(2, length + 1):
-        keep = holds(tables[k - 2], code(words))
-        words, count, low, other = words[keep], count[keep], low[keep], other[keep]
-        if k % 2 == 0:  # to the right: the index of the reversed ids
+    for k in range(1, length + 1):
+        codes = code(words)
+        if k <= len(tables):
+            keep = holds(tables[k - 1], codes)
+            words, count, low, other, codes = words[keep], count[keep], low[keep], other[keep], codes[keep]
+        yield k, words, count, codes
+        if k == length:
+            return
+        if k % 2:  # to the right: the index of the reversed ids
             of, word, new_count, new_other, new_low = extend(back, other, other + count, low)
             words = np.concatenate([words[of], word[:, None]], 1)
             part = words[:, 1:]
@@ -154,9 +164,8 @@ def enumerate_phrases(forward: np.ndarray, backward: np.ndarray, vocabulary: np.
             of, word, new_count, new_low, new_other = extend(ahead, low, low + count, other)
             words = np.concatenate([word[:, None], words[of]], 1)
             part = words[:, :-1]
-        keep = holds(tables[k - 2], code(part))
+        keep = holds(tables[k - 1], code(part))
         words, count, low, other = words[keep], new_count[keep], new_low[keep], new_other[keep]
-    return words, count, code(words)
 
 
 # ------------------------------------------------------------------ passes over the corpus
@@ -191,28 +200,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def hashed(words: DataFrame, seed: int) -> DataFrame:
-    """``words`` with the key (8 bytes) of each."""
+    """``words`` with the key (8 bytes) and the code of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [word_hash(w, seed).to_bytes(8, "little") for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "key"])
-    return words.select("lang", "word", "f").mapInArrow(run, "lang string, word binary, f long, key binary")
+            hashes = np.array([word_hash(w, seed) for w in batch.column("word").to_pylist()], np.uint64)
+            codes = chain(np.array([lang_code(x) for x in batch.column("lang").to_pylist()], np.uint64), hashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array(codes.view(np.int64))],
+                                             [*batch.schema.names, "key", "code"])
+    return words.select("lang", "word", "f").mapInArrow(run, "lang string, word binary, f long, key binary, code long")
 
 
-def bit_table(frequent: DataFrame) -> np.ndarray:
-    """Bits of the codes of phrases ``(lang, key)``; 2**BITS bits, however many there are."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            codes = np.array([lang_code(x) for x in batch.column("lang").to_pylist()], np.uint64)
-            length = len(keys[0]) // 8 if keys else 0  # of one table: all phrases have as many words
-            words = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), length) if keys else np.empty((0, 0), np.uint64)
-            for k in range(length):
-                codes = chain(codes, words[:, k])
-            yield pa.RecordBatch.from_arrays([pa.array((codes >> np.uint64(64 - BITS)).astype(np.int64))], ["place"])
-
-    ship(frequent.sparkSession)
-    places = frequent.select("lang", "key").mapInArrow(run, "place long")
+def bit_table(codes: DataFrame) -> np.ndarray:
+    """Bits of ``codes (code)``; 2**BITS bits, however many there are."""
+    places = codes.select(F.shiftrightunsigned("code", 64 - BITS).alias("place"))
     maps = places.groupBy(F.shiftright("place", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
     table = np.zeros((1 << (BITS - 15), 4096), np.uint8)
     for batch in maps.toArrow().to_batches():  # bounded: 2**(BITS - 15) pages of 4 KB
@@ -272,56 +272,67 @@ def shards(docs: DataFrame, frequent_words: np.ndarray, seed: int, size: int = S
     return _rows(docs).mapInArrow(run, SHARD)
 
 
-def counted(index: DataFrame, length: int, tables: list[np.ndarray]) -> DataFrame:
-    """lang, key, f of the phrases of ``length`` words over all shards."""
+def counted(index: DataFrame, length: int, last: bool, tables: list[np.ndarray], least: int) -> DataFrame:
+    """Over all shards: code, f of the phrases of ``length`` words (not for the ``last`` pass); lang, key, f of those a word shorter (from two)."""
     shared = index.sparkSession.sparkContext.broadcast(tables)  # bounded: 2**BITS bits a length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["code", "lang", "key", "f"]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
                 vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
                 kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
-                words, count, _ = enumerate_phrases(np.frombuffer(row["forward"], kind).astype(np.int64), np.frombuffer(row["backward"], kind).astype(np.int64),
-                                                    vocabulary, row["lang"], length, shared.value)
-                for a in range(0, len(words), 100_000):
-                    raw = np.ascontiguousarray(vocabulary[words[a:a + 100_000]])
-                    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * length), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(raw), np.int32)), pa.array([row["lang"]])).cast(pa.string()),
-                                                      keys, pa.array(count[a:a + 100_000].astype(np.int64))], ["lang", "key", "f"])
-
-    return index.mapInArrow(run, "lang string, key binary, f long").groupBy("lang", "key").agg(F.sum("f").alias("f"))
+                found = enumerate_phrases(np.frombuffer(row["forward"], kind).astype(np.int64), np.frombuffer(row["backward"], kind).astype(np.int64),
+                                          vocabulary, row["lang"], length - last, shared.value)
+                for k, words, count, codes in found:
+                    for a in range(0, len(words), 100_000) if k == length or k == length - 1 > 1 else ():
+                        some = count[a:a + 100_000].astype(np.int64)
+                        if k == length:
+                            yield pa.RecordBatch.from_arrays([pa.array(codes[a:a + 100_000].view(np.int64)), pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.binary()), pa.array(some)], names)
+                        else:
+                            raw = np.ascontiguousarray(vocabulary[words[a:a + 100_000]])
+                            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * k), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                            lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(raw), np.int32)), pa.array([row["lang"]])).cast(pa.string())
+                            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), lang, keys, pa.array(some)], names)
+
+    rows = index.mapInArrow(run, "code long, lang string, key binary, f long")
+    return written(rows.groupBy("code", "lang", "key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), f"counted-{length}")
 
 
 class Phrases:
     """Frequent phrases of one to ``most`` words: ``levels[k - 1]`` has lang, key, words, f, prefixes and suffixes (their counts by length)."""
 
     def __init__(self, docs: DataFrame, least: int = 100, most: int = MOST_WORDS, size: int = SHARD_WORDS):
-        if not 1 <= most <= MOST_WORDS:
-            raise ValueError(f"phrases have 1 to {MOST_WORDS} words")
-        counts = written(word_counts(docs), "words")
-        self.totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+        if not 2 <= most <= MOST_WORDS:
+            raise ValueError(f"phrases have 2 to {MOST_WORDS} words")
         for seed in range(8):
-            words = written(hashed(counts, seed), "words")
+            words = written(hashed(word_counts(docs), seed), "words")
             if not words.groupBy("key").agg(F.count_distinct("word").alias("k")).filter("k > 1 or key = X'0000000000000000'").head(1):
                 break
         else:
             raise RuntimeError("words collide under every seed")
+        self.totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
         none = F.array().cast("array<bigint>")
-        self.levels = [words.filter(F.col("f") >= least).select("lang", "key", F.array(F.col("word").cast("string")).alias("words"), "f", none.alias("prefixes"), none.alias("suffixes"))]
-        tables = [bit_table(self.levels[0])]
-        index = written(shards(docs, tables[0], seed, size), "phrase-index")
-        for length in range(2, most + 1):
-            shorter = self.levels[-1]
-            frequent = counted(index, length, tables).filter(F.col("f") >= least)
-            cut = 8 * (length - 1)
-            left = shorter.select("lang", F.col("key").alias("_left"), F.col("words").alias("_words"), F.concat("prefixes", F.array("f")).alias("prefixes"))
-            right = shorter.select("lang", F.col("key").alias("_right"), F.element_at("words", -1).alias("_word"), F.concat("suffixes", F.array("f")).alias("suffixes"))
-            found = (frequent.withColumn("_left", F.substring("key", 1, cut)).withColumn("_right", F.substring("key", 9, cut))
-                     .join(left, ["lang", "_left"]).join(right, ["lang", "_right"])
-                     .select("lang", "key", F.concat("_words", F.array("_word")).alias("words"), "f", "prefixes", "suffixes"))
-            self.levels.append(written(found, f"phrases-{length}"))
-            tables.append(bit_table(self.levels[-1]))
+        frequent = words.filter(F.col("f") >= least)
+        self.levels = [frequent.select("lang", "key", F.array(F.col("word").cast("string")).alias("words"), "f", none.alias("prefixes"), none.alias("suffixes"))]
+        tables = [bit_table(frequent)]
+        index = written(shards(docs, tables[0], seed, size), "phrase-index", compression="zstd")
+        for length in range(2, most + 2):
+            found = counted(index, length, length > most, tables, least)
+            if length > 2:
+                self.levels.append(self._level(found.filter(F.col("code").isNull()), length - 1))
+            tables.append(bit_table(found.filter(F.col("code").isNotNull())))
+
+    def _level(self, frequent: DataFrame, length: int) -> DataFrame:
+        """Frequent phrases with the words and counts of their parts, from the level below."""
+        shorter, cut = self.levels[-1], 8 * (length - 1)
+        left = shorter.select("lang", F.col("key").alias("_left"), F.col("words").alias("_words"), F.concat("prefixes", F.array("f")).alias("prefixes"))
+        right = shorter.select("lang", F.col("key").alias("_right"), F.element_at("words", -1).alias("_word"), F.concat("suffixes", F.array("f")).alias("suffixes"))
+        found = (frequent.withColumn("_left", F.substring("key", 1, cut)).withColumn("_right", F.substring("key", 9, cut))
+                 .join(left, ["lang", "_left"]).join(right, ["lang", "_right"])
+                 .select("lang", "key", F.concat("_words", F.array("_word")).alias("words"), "f", "prefixes", "suffixes"))
+        return written(found, f"phrases-{length}")
 
     def maximal(self) -> DataFrame:
         """Candidates (two words or more) that no longer candidate holds as often as they occur."""
