@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans import ordering as O
-from basketry.session import materialize
 from basketry.sources.star import STAR_TABLES, Star
 
 
@@ -20,24 +19,33 @@ def row_counts(star: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy(F.col("row_count").desc(), "table_name")
 
 
-def date_range(star: Star, ts: str = "order_purchase_timestamp", key: str = "order_id") -> DataFrame:
+def date_range(df: DataFrame, ts: str = "order_purchase_timestamp", key: str = "order_id",
+               entity: str = "order") -> DataFrame:
     """Earliest / latest instant, day span and distinct key count (no filter)."""
-    return star.orders.agg(
-        F.min(ts).alias("earliest_order"), F.max(ts).alias("latest_order"),
+    return df.agg(
+        F.min(ts).alias(f"earliest_{entity}"), F.max(ts).alias(f"latest_{entity}"),
         X.as_long(X.day_diff(F.min(ts), F.max(ts))).alias("date_span_days"),
-        X.as_long(F.countDistinct(key)).alias("total_orders"))
+        X.as_long(F.countDistinct(key)).alias(f"total_{entity}s"))
 
 
-def value_distribution(star: Star, column: str = "order_status") -> DataFrame:
-    """Rows per value of ``column`` with the share of all rows.
+def orders_date_range(star: Star) -> DataFrame:
+    return date_range(star.orders)
+
+
+def value_distribution(df: DataFrame, column: str, count_name: str = "cnt") -> DataFrame:
+    """Rows per value of ``column`` (NULL is a value) with the share of all rows.
 
     The share window runs over one row per distinct value (a status domain).
     """
-    counts = star.orders.groupBy(column).agg(F.count(F.lit(1)).alias("order_count"))
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias(count_name))
     return counts.select(
-        column, "order_count",
-        X.pct(F.col("order_count"), F.sum("order_count").over(Window.partitionBy()), 2).alias("pct_of_total"),
-    ).orderBy(F.col("order_count").desc(), F.col(column).asc_nulls_last())
+        column, count_name,
+        X.pct(F.col(count_name), F.sum(count_name).over(Window.partitionBy()), 2).alias("pct_of_total"),
+    ).orderBy(F.col(count_name).desc(), F.col(column).asc_nulls_last())
+
+
+def status_distribution(star: Star) -> DataFrame:
+    return value_distribution(star.orders, "order_status", "order_count")
 
 
 def null_audit(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -62,11 +70,16 @@ def items_null_audit(star: Star) -> DataFrame:
     return null_audit(star.order_items, ITEMS_AUDIT)
 
 
+def orphans(left: DataFrame, right: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``cols`` of the rows of ``left`` whose ``key`` has no row in ``right`` (a NULL key never has one)."""
+    return left.select(*dict.fromkeys([key, *cols])).join(right.select(key), key, "left_anti").select(*cols)
+
+
 def orders_without_payment(star: Star) -> DataFrame:
-    """Orders with no payment row (anti join; NULL keys never match)."""
-    return star.orders.select("order_id", "order_status", "order_purchase_timestamp").join(
-        star.order_payments.select("order_id").distinct(), "order_id", "left_anti"  # combined map-side
-    ).orderBy(F.col("order_purchase_timestamp").desc_nulls_first(), "order_id")
+    """Orders with no payment row, newest first."""
+    cols = ["order_id", "order_status", "order_purchase_timestamp"]
+    return orphans(star.orders, star.order_payments, "order_id", cols).orderBy(
+        F.col("order_purchase_timestamp").desc_nulls_first(), "order_id")
 
 
 def count_where(df: DataFrame, cond, name: str) -> DataFrame:
@@ -87,18 +100,15 @@ def duplicate_orders(star: Star) -> DataFrame:
     return duplicate_keys(star.orders, "order_id")
 
 
-def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str, hot: list | None = None) -> DataFrame:
+def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
     """Child rows whose key has no parent row (NULL keys count as orphans).
 
-    ``hot`` is accepted for compatibility; counting per key first needs no
-    separate treatment of keys with very many rows.
+    One scan of the child: it is folded to a row per key and task first (a hot
+    key, NULL included, is one row a task), and an anti join needs no distinct
+    parent.
     """
-    # rows without a key are orphans for certain: counted where they are read;
-    # the others are counted per key first, so a hot key is one row per task
-    keyed = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    orphans = keyed.join(parent.select(key).distinct(), key, "left_anti").select("_n")
-    unkeyed = child.filter(F.col(key).isNull()).agg(F.count(F.lit(1)).alias("_n"))
-    return orphans.unionAll(unkeyed).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias(name))
+    counts = child.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return orphans(counts, parent, key, ["_n"]).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias(name))
 
 
 def _items_missing(star: Star, parent: str, key: str, name: str) -> DataFrame:
@@ -127,31 +137,43 @@ def category_coverage(star: Star, limit: int = 20) -> DataFrame:
     return top_values(star.products, "product_category_name", limit, "product_count")
 
 
-def null_rate(star: Star, column: str = "product_category_name") -> DataFrame:
-    nulls = X.flag_sum(F.col(column).isNull())
-    return star.products.agg(
-        nulls.alias("null_categories"), F.count(F.lit(1)).alias("total_products"),
-        X.pct(nulls, F.count(F.lit(1)), 2).alias("null_pct"))
+def null_rate(df: DataFrame, column: str, nulls: str = "null_rows", total: str = "total_rows") -> DataFrame:
+    """Rows without a value of ``column``, all rows, and the share of the former."""
+    missing = X.flag_sum(F.col(column).isNull())
+    return df.agg(missing.alias(nulls), F.count(F.lit(1)).alias(total),
+                  X.pct(missing, F.count(F.lit(1)), 2).alias("null_pct"))
+
+
+def category_null_rate(star: Star) -> DataFrame:
+    return null_rate(star.products, "product_category_name", "null_categories", "total_products")
 
 
-def numeric_profile(star: Star, column: str = "price", per_bucket: int | None = None) -> DataFrame:
-    """MIN, MAX, mean, exact interpolated median / p95 and the count of values <= 0.
+def numeric_profile(df: DataFrame, column: str, approx: float | None = None) -> DataFrame:
+    """MIN, MAX, mean, interpolated median / p95 and the count of values <= 0 of a numeric column.
 
-    The percentiles come from a distributed histogram of the values
-    (map-side partial counts, then range buckets of distinct values), so no
-    task holds all distinct values; two values per percentile return.
+    Exact percentiles come from the histogram of the values (map-side partial
+    counts, one row per distinct value) by interval refinement
+    (``plans.ordering.selected_percentiles``), inside the same plan: no job
+    runs while the query is built and no task holds all distinct values.
+    ``approx`` takes them from a mergeable quantile sketch of that rank error
+    instead, in one pass over the rows.
     """
     v, n = F.col(column), F.col("n")
-    # one row per distinct value, read by several small jobs: cut its lineage once
-    hist = materialize(star.order_items.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
-    median, p95 = O.histogram_percentiles(hist.withColumn(column, v.cast("double")), column, "n", [0.5, 0.95],
-                                          per_bucket)
-    return hist.agg(
-        F.min(v).cast("double").alias("min_price"),
-        F.max(v).cast("double").alias("max_price"),
-        X.ratio(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("avg_price"),
-        F.sum(F.when(v <= 0, n).otherwise(0)).alias("zero_or_neg_price"),
-    ).select("min_price", "max_price", "avg_price",
-             F.lit(median).cast("double").alias("median_price"),
-             F.lit(p95).cast("double").alias("p95_price"),
-             "zero_or_neg_price")
+    if approx is not None:
+        median, p95 = (O.sketch_percentile(v, q, approx) for q in (0.5, 0.95))
+        stats = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), X.avg_of(v).alias("mean"),
+                       F.coalesce(F.count_if(v <= 0), F.lit(0)).alias("low"), median.alias("median"), p95.alias("p95"))
+        rows = F.col("median"), F.col("p95")
+    else:
+        hist = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        stats = hist.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), X.ratio(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("mean"),
+                         F.sum(F.when(v <= 0, n).otherwise(0)).alias("low"))
+        rows = tuple(O.selected_percentiles(hist, column, "n", [0.5, 0.95]))
+    return stats.select(
+        F.col("lo").cast("double").alias(f"min_{column}"), F.col("hi").cast("double").alias(f"max_{column}"),
+        F.col("mean").alias(f"avg_{column}"), rows[0].cast("double").alias(f"median_{column}"),
+        rows[1].cast("double").alias(f"p95_{column}"), F.col("low").alias(f"zero_or_neg_{column}"))
+
+
+def price_profile(star: Star, approx: float | None = None) -> DataFrame:
+    return numeric_profile(star.order_items, "price", approx)

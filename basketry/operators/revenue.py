@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
-from basketry.plans.facts import by_member, items_of_orders, order_facts
+from basketry.plans.facts import by_bitmap, by_member, lines_of_orders, order_facts
 from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
@@ -30,13 +30,9 @@ def period_trend(star: Star, grain: str = "month", variant: str = "faithful") ->
     per_order = order_facts(star).groupBy("order_id", X.period_start(TS, grain).alias(period)).agg(
         F.sum("gmv_sum").alias("gmv_sum"), F.sum("gmv_cnt").alias("gmv_cnt"),
         F.collect_set("customer_id").alias("customers"))
-    per_customer = by_member(per_order, [period], "customers", "customer_id", ["gmv_sum", "gmv_cnt"])
-    per_period = per_customer.groupBy(period).agg(
-        F.round(F.sum("gmv_sum"), 2).alias("_gmv"),
-        F.sum("n_orders").alias("total_orders"),
-        F.count("customer_id").alias("unique_customers"),
-        X.rounded(X.ratio(F.sum("gmv_sum"), F.sum("n_orders" if variant == "corrected" else "gmv_cnt")), 2)
-        .alias("aov"))
+    per_period = by_member(per_order, [period], {"unique_customers": "customers"}, ["gmv_sum", "gmv_cnt"]).select(
+        period, F.round("gmv_sum", 2).alias("_gmv"), F.col("n_orders").alias("total_orders"), "unique_customers",
+        X.rounded(X.ratio(F.col("gmv_sum"), F.col("n_orders" if variant == "corrected" else "gmv_cnt")), 2).alias("aov"))
     out = trend_columns(per_period, period)
     if grain != "month":
         out = out.withColumnsRenamed({"prev_month_gmv": f"prev_{grain}_gmv", "mom_growth_pct": "growth_pct"})
@@ -69,25 +65,24 @@ def _category(products: DataFrame) -> DataFrame:
 
 
 def category_ranking(star: Star, limit: int = 10) -> DataFrame:
-    """Top categories by revenue with share of total and two ranks."""
+    """Top categories by revenue with share of total and two ranks, in one pass over the items.
+
+    Products are counted by bitmaps over surrogate ids that the products table
+    is read with (the same in every run of a task, as its file splits are).
+    """
     # (order, product) rows where the order join left them
-    pairs = items_of_orders(star, X.is_valid(), ("order_id", "product_id", "price", "freight_value")).groupBy(
-        "order_id", "product_id").agg(F.sum("price").alias("price"), F.count("price").alias("n_price"),
-                                      F.sum("freight_value").alias("freight"))
-    rows = join_splitting_hot_keys(pairs, _category(star.products), "product_id",
-                                   hot=star.hot_keys("order_items", "product_id"))
-    # one row per (category, order) gives all but the products, which a second, thin pass counts
+    pairs = lines_of_orders(star, X.is_valid(), "product_id", F.sum("price").alias("price"), F.count("price").alias("n_price"),
+                            F.sum("freight_value").alias("freight")).groupBy(
+        "order_id", "product_id").agg(*[F.sum(c).alias(c) for c in ("price", "n_price", "freight")])
+    products = _category(star.products).withColumn("surrogate", F.monotonically_increasing_id())
+    rows = join_splitting_hot_keys(pairs, products, "product_id", hot=star.hot_keys("order_items", "product_id"))
     per_order = rows.groupBy("category", "order_id").agg(
-        F.sum("price").alias("price"), F.sum("n_price").alias("n_price"), F.sum("freight").alias("freight"))
-    per_cat = per_order.groupBy("category").agg(
-        F.round(F.sum("price"), 2).alias("_rev"),
-        X.rounded(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
-        X.rounded(X.ratio(F.sum("freight"), F.sum("price")) * 100, 2).alias("freight_to_revenue_pct"),
-        F.count(F.lit(1)).alias("total_orders"))
-    sold = items_of_orders(star, X.is_valid(), ("order_id", "product_id")).select("product_id").distinct()
-    variety = sold.join(_category(star.products).distinct(), "product_id").groupBy(
-        F.col("category").alias("_category")).agg(F.count(F.lit(1)).alias("unique_products"))
-    per_cat = per_cat.join(variety, per_cat["category"].eqNullSafe(variety["_category"])).drop("_category")
+        F.sum("price").alias("price"), F.sum("n_price").alias("n_price"), F.sum("freight").alias("freight"),
+        F.collect_set("surrogate").alias("surrogates"))
+    per_cat = by_bitmap(per_order, ["category"], "surrogates", ["price", "n_price", "freight"], "unique_products").select(
+        "category", F.round("price", 2).alias("_rev"), X.rounded(X.ratio(F.col("price"), F.col("n_price")), 2).alias("avg_item_price"),
+        X.rounded(X.ratio(F.col("freight"), F.col("price")) * 100, 2).alias("freight_to_revenue_pct"),
+        F.col("n_orders").alias("total_orders"), "unique_products")
     everything = Window.partitionBy()
     return per_cat.select(
         "category",

@@ -9,8 +9,6 @@ orderings read them.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +73,9 @@ def segment_of(rules, default, r="r_score", f="f_score", m="m_score") -> Column:
     return out.otherwise(default) if default is not None else out
 
 
-def reference_date(star: Star) -> dt.date | None:
-    """Day after the latest valid purchase (a one-row aggregate)."""
-    latest = star.orders.filter(X.is_valid()).agg(F.max(TS)).first()[0]
-    return None if latest is None else latest.date() + dt.timedelta(days=1)
+def reference_date(star: Star) -> Column:
+    """Day after the latest valid purchase: a scalar subquery of the plan it is used in."""
+    return star.orders.filter(X.is_valid()).agg(F.date_add(F.to_date(F.max(TS)), 1).alias("reference_date")).scalar()
 
 
 GEO = ["customer_state", "customer_city"]
@@ -92,7 +89,6 @@ def rfm_metrics(star: Star, with_geo: bool = True, customer_key: str = "customer
     (``customer_unique_id``) adds up its customer_ids and shows the place of
     the smallest of them.
     """
-    ref = reference_date(star)
     out = order_facts(star).groupBy("customer_id").agg(
         F.to_date(F.max(TS)).alias("last_order_date"),
         F.to_date(F.min(TS)).alias("first_order_date"),
@@ -112,15 +108,14 @@ def rfm_metrics(star: Star, with_geo: bool = True, customer_key: str = "customer
             F.sum("frequency").alias("frequency"), F.sum("monetary").alias("monetary"), *place)
         if with_geo:
             out = out.select("*", *[F.col(f"_place.{c}").alias(c) for c in GEO]).drop("_place")
-    return out.withColumn("recency_days", X.as_long(F.datediff(F.lit(ref), F.col("last_order_date"))))
+    return out.withColumn("recency_days", X.as_long(F.datediff(reference_date(star), F.col("last_order_date"))))
 
 
 def score(metrics: DataFrame, key: str, tiles: int, specs: dict, per_bucket: int | None = None) -> DataFrame:
     """Add NTILE scores; ``specs`` maps output column -> (sort Key, invert?)."""
     metrics = materialize(metrics)
     n = metrics.count()
-    out = O.with_ntiles(metrics, {name: ([k, O.asc(key)], tiles) for name, (k, _) in specs.items()},
-                        n, per_bucket, base=metrics)
+    out = O.with_ntiles(metrics, {name: ([k, O.asc(key)], tiles) for name, (k, _) in specs.items()}, n, per_bucket)
     for name, (_, invert) in specs.items():
         if invert:
             out = out.withColumn(name, (tiles + 1 - F.col(name)).cast("bigint"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans import ordering as O
-from basketry.plans.facts import by_member, items_of_orders
+from basketry.plans.facts import by_member, lines_of_orders
 from basketry.session import materialize
 from basketry.sources.star import Star
 
@@ -33,31 +33,43 @@ def _delivered_with_date(est_required: bool):
     return cond & F.col(EST).isNotNull() if est_required else cond
 
 
-def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
-    """Per-seller delivery times (item grain), breach rate and exact percentiles."""
-    rows = items_of_orders(star, _delivered_with_date(True), ("order_id", "seller_id"),
-                           (TS, DELIV, EST)).select(
-        "seller_id", "order_id",
+def _percentiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float], sort_values: bool) -> tuple[list, DataFrame | None]:
+    """Exact percentiles of ``value`` with frequencies ``n`` per ``keys``: aggregates, or a frame to join.
+
+    Value counts per group suit columns of few values (delivery days); sorted
+    values suit any (``ordering.grouped_percentiles``), at a shuffle more.
+    """
+    if not sort_values:
+        return [X.round_exact(F.percentile(value, q, F.col("n")), 1).alias(name) for name, q in qs.items()], None
+    found = O.grouped_percentiles(rows, keys, value, "n", qs)
+    return [], found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[X.round_exact(name, 1).alias(name) for name in qs])
+
+
+def seller_sla(star: Star, min_orders: int = 10, sort_values: bool = False) -> DataFrame:
+    """Per-seller delivery times (item grain), breach rate and exact percentiles (see ``_percentiles`` for ``sort_values``)."""
+    rows = lines_of_orders(star, _delivered_with_date(True), "seller_id", F.count(F.lit(1)).alias("n"), order_cols=(TS, DELIV, EST)).select(
+        "seller_id", "order_id", "n",
         X.day_diff(TS, DELIV).alias("actual"), X.day_diff(TS, EST).alias("estimated"),
         X.day_diff(EST, DELIV).alias("delay"), X.is_late(DELIV, EST).alias("late"))
     # items of an order and seller fold where the join left them, with their
     # number as frequency; a repeated order counts at the first of its rows
     times = ["actual", "estimated", "delay", "late"]
-    folded = rows.groupBy("order_id", "seller_id", *times).agg(F.count(F.lit(1)).alias("n"))
+    folded = rows.groupBy("order_id", "seller_id", *times).agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("order_id", "seller_id").orderBy(*times)) == 1
     n = F.col("n")
 
     def mean(c):
         return X.rounded(X.ratio(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))), 1)
 
+    aggregates, sorted_ = _percentiles(folded, ["seller_id"], "actual", {"median_delivery_days": 0.5, "p95_delivery_days": 0.95}, sort_values)
     per_seller = folded.withColumn("first", F.when(first, 1).otherwise(0)).groupBy("seller_id").agg(
         F.sum("first").alias("total_orders"), mean("actual").alias("avg_actual_days"),
         mean("estimated").alias("avg_estimated_days"), mean("delay").alias("avg_delay_days"),
         F.sum(F.col("late") * n).alias("late_orders"),
-        X.pct(F.sum(F.col("late") * n), F.sum(n), 2).alias("sla_breach_rate_pct"),
-        X.round_exact(F.percentile("actual", 0.5, n), 1).alias("median_delivery_days"),
-        X.round_exact(F.percentile("actual", 0.95, n), 1).alias("p95_delivery_days")) \
+        X.pct(F.sum(F.col("late") * n), F.sum(n), 2).alias("sla_breach_rate_pct"), *aggregates) \
         .filter(F.col("total_orders") >= min_orders)
+    if sorted_ is not None:
+        per_seller = per_seller.join(sorted_, F.col("seller_id") == F.col("_seller_id"), "left")
     return per_seller.join(star.sellers.select("seller_id", "seller_state", "seller_city"), "seller_id") \
         .select("seller_id", "seller_state", "seller_city", "total_orders", "avg_actual_days",
                 "avg_estimated_days", "avg_delay_days", "late_orders", "sla_breach_rate_pct",
@@ -66,59 +78,58 @@ def seller_sla(star: Star, min_orders: int = 10) -> DataFrame:
 
 
 def seller_revenue(star: Star) -> DataFrame:
-    """Per seller: revenue, freight, mean price, distinct orders, customers and products.
+    """Per seller: revenue, freight, mean price, distinct orders, customers and products, in one pass over the items.
 
-    Two passes: (order, seller) rows where the order join left them give all
-    but the products; a thin one gives the distinct (seller, product) pairs.
+    (order, seller) lines carry the order's products and, where the order join
+    leaves them, its customers; ``facts.by_member`` counts both kinds at once.
     """
-    pairs = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "price", "freight_value"),
-                            ("customer_id",)).groupBy("order_id", "seller_id").agg(
-        F.sum("price").alias("price"), F.count("price").alias("n_price"),
-        F.sum("freight_value").alias("freight"), F.collect_set("customer_id").alias("customers"))
-    per_seller = by_member(pairs, ["seller_id"], "customers", "customer_id", ["price", "n_price", "freight"]) \
-        .groupBy("seller_id").agg(
-        F.round(F.sum("price"), 2).alias("_rev"), F.round(F.sum("freight"), 2).alias("_freight"),
-        X.rounded(X.ratio(F.sum("price"), F.sum("n_price")), 2).alias("avg_item_price"),
-        F.sum("n_orders").alias("total_orders"), F.count("customer_id").alias("unique_customers"))
-    products = items_of_orders(star, X.is_valid(), ("order_id", "seller_id", "product_id")) \
-        .select("seller_id", "product_id").distinct().groupBy("seller_id").agg(
-        F.count("product_id").alias("unique_products"))
-    return per_seller.join(products, "seller_id").join(star.sellers.select("seller_id", "seller_state"), "seller_id")
+    lines = lines_of_orders(
+        star, X.is_valid(), "seller_id", F.sum("price").alias("price"), F.count("price").alias("n_price"),
+        F.sum("freight_value").alias("freight"), F.collect_set("product_id").alias("products"), order_cols=("customer_id",))
+    per_order = lines.groupBy("order_id", "seller_id").agg(  # one row but for orders that repeat
+        *[F.sum(c).alias(c) for c in ("price", "n_price", "freight")], F.first("products").alias("products"),
+        F.collect_set("customer_id").alias("customers"))
+    per_seller = by_member(per_order, ["seller_id"], {"unique_customers": "customers", "unique_products": "products"}, ["price", "n_price", "freight"])
+    return per_seller.select(
+        "seller_id", F.round("price", 2).alias("_rev"), F.round("freight", 2).alias("_freight"),
+        X.rounded(X.ratio(F.col("price"), F.col("n_price")), 2).alias("avg_item_price"),
+        F.col("n_orders").alias("total_orders"), "unique_customers", "unique_products") \
+        .join(star.sellers.select("seller_id", "seller_state"), "seller_id")
 
 
 def seller_ranking(star: Star, limit: int = 100, per_bucket: int | None = None) -> DataFrame:
-    """Top sellers by revenue: two ranks, decile, share of total, running revenue."""
+    """Top sellers by revenue: two ranks, decile, share of total, running revenue.
+
+    All of them go along range buckets of the sellers' orders (``plans.ordering``):
+    no window holds all sellers, whatever ``limit``.
+    """
     sellers = materialize(seller_revenue(star))
     n, total = sellers.agg(F.count(F.lit(1)), F.sum("_rev")).first()
-    ranked = O.with_rank(sellers, [O.desc("total_orders")], [O.asc("seller_id")], "orders_rank", n,
-                         per_bucket)
-    top = ranked.orderBy(F.col("_rev").desc_nulls_first(), "seller_id").limit(limit)
-    # Windows below run over at most ``limit`` rows.
-    by_rev = Window.orderBy(F.col("_rev").desc_nulls_first())
-    by_rev_total = Window.orderBy(F.col("_rev").desc_nulls_first(), F.col("seller_id"))
-    return top.select(
+    along = [O.desc("_rev"), O.asc("seller_id")]
+    ranked = O.with_rank(sellers, [O.desc("total_orders")], [O.asc("seller_id")], "orders_rank", n, per_bucket)
+    ranked = O.with_rank(ranked, [O.desc("_rev")], [O.asc("seller_id")], "revenue_rank", n, per_bucket, sellers)
+    ranked = O.with_position(ranked, along, n, "_pos", per_bucket, sellers)
+    ranked = O.with_running_sum(ranked, along, "_rev", "_cumulative", n, per_bucket, sellers)
+    return ranked.select(
         "seller_id", "seller_state",
         X.money("_rev").alias("total_revenue"), X.money("_freight").alias("total_freight"),
-        "total_orders", "unique_products", "unique_customers", "avg_item_price",
-        F.rank().over(by_rev).cast("bigint").alias("revenue_rank"),
-        "orders_rank",
-        O.ntile_of(F.row_number().over(by_rev_total), n, 10).alias("revenue_decile"),
+        "total_orders", "unique_products", "unique_customers", "avg_item_price", "revenue_rank", "orders_rank",
+        O.ntile_of(F.col("_pos"), n, 10).alias("revenue_decile"),
         X.pct(F.col("_rev"), F.lit(total), 2).alias("revenue_share_pct"),
-        F.sum("_rev").over(by_rev_total.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .cast("double").alias("cumulative_revenue"),
-    ).orderBy("revenue_rank", "seller_id")
+        F.col("_cumulative").cast("double").alias("cumulative_revenue"),
+    ).orderBy("revenue_rank", "seller_id").limit(limit)
 
 
-def underperformers(star: Star, min_items: int = 5, per_bucket: int | None = None) -> DataFrame:
-    """Sellers flagged by revenue quartile and SLA breach rate."""
-    # One pass over items and orders: (order, seller) rows where the join left
-    # them, with what revenue, service level and reviews each need.
+def underperformers(star: Star, min_items: int = 5) -> DataFrame:
+    """Sellers flagged by revenue quartile and SLA breach rate: one lazy plan, the exact quartile a scalar of it."""
+    # one pass over the items: (order, seller) lines with what revenue, service level and reviews each need
     valid, delivered = F.coalesce(X.is_valid(), F.lit(False)), F.coalesce(_delivered_with_date(False), F.lit(False))
-    pairs = items_of_orders(star, F.lit(True), ("order_id", "seller_id", "price"),
-                            ("order_status", DELIV, EST)).groupBy("order_id", "seller_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(valid, 1).otherwise(0)).alias("valid"),
-        F.sum(F.when(valid, F.col("price"))).alias("price"), F.sum(F.when(delivered, 1).otherwise(0)).alias("delivered"),
-        F.sum(F.when(delivered, X.is_late(DELIV, EST)).otherwise(0)).alias("late"))
+    lines = lines_of_orders(star, F.lit(True), "seller_id", F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"),
+                            order_cols=("order_status", DELIV, EST))
+    pairs = lines.groupBy("order_id", "seller_id").agg(
+        F.sum("n").alias("n"), F.max(F.when(valid, 1).otherwise(0)).alias("valid"),
+        F.sum(F.when(valid, F.col("price"))).alias("price"), F.sum(F.when(delivered, F.col("n")).otherwise(0)).alias("delivered"),
+        F.sum(F.when(delivered, X.is_late(DELIV, EST) * F.col("n")).otherwise(0)).alias("late"))
     # Reviews joined at item x review grain, pre-aggregated per order.
     review_sums = star.order_reviews.groupBy("order_id").agg(
         F.sum("review_score").alias("s_sum"), F.count("review_score").alias("s_cnt"), F.lit(1).alias("reviewed"))
@@ -131,9 +142,7 @@ def underperformers(star: Star, min_items: int = 5, per_bucket: int | None = Non
     joined = per_seller.filter((F.col("total_orders") > 0) & (F.col("delivered_orders") >= F.greatest(F.lit(min_items), F.lit(1)))
                                & (F.col("_reviewed") > 0)) \
         .join(star.sellers.select("seller_id", "seller_state"), "seller_id")
-    joined = materialize(joined)
-    quartile = O.exact_percentile(joined, "_rev", 0.25, "seller_id", per_bucket=per_bucket)
-    low = F.col("_rev") < F.lit(quartile).cast("double")
+    low = F.col("_rev") < O.exact_percentile(joined, "_rev", 0.25)
     breach = F.col("sla_breach_pct")
     flag = (F.when(low & (breach > HIGH_PRIORITY_BREACH), "High Priority Review")
             .when(breach > CRITICAL_BREACH, "SLA Critical")
@@ -145,7 +154,7 @@ def underperformers(star: Star, min_items: int = 5, per_bucket: int | None = Non
               "seller_id")
 
 
-def state_delivery(star: Star) -> DataFrame:
+def state_delivery(star: Star, sort_values: bool = False) -> DataFrame:
     """Order-grain delivery days and late share per customer state, slowest first.
 
     Orders are reduced to (customer, delivery days) counts before the
@@ -159,10 +168,12 @@ def state_delivery(star: Star) -> DataFrame:
     per_days = rows.groupBy("customer_id", "days").agg(
         F.count(F.lit(1)).alias("n"), F.sum("late").alias("n_late")).join(states, "customer_id")
     n, valid_n = F.col("n"), F.when(F.col("days").isNotNull(), F.col("n"))
+    aggregates, sorted_ = _percentiles(per_days, ["customer_state"], "days", {"median_delivery_days": 0.5}, sort_values)
     per_state = per_days.groupBy("customer_state").agg(
         X.ratio(F.sum(F.col("days") * n), F.sum(valid_n)).alias("_avg"),
-        X.round_exact(F.percentile("days", 0.5, n), 1).alias("median_delivery_days"),
-        X.pct(F.sum("n_late"), F.sum(n), 2).alias("late_delivery_pct"))
+        X.pct(F.sum("n_late"), F.sum(n), 2).alias("late_delivery_pct"), *aggregates)
+    if sorted_ is not None:
+        per_state = per_state.join(sorted_, F.col("customer_state").eqNullSafe(F.col("_customer_state")), "left")
     orders = rows.groupBy("customer_id").agg(F.countDistinct("order_id").alias("n_orders")) \
         .join(states, "customer_id").groupBy("customer_id", "customer_state").agg(F.max("n_orders").alias("n_orders")) \
         .groupBy(F.col("customer_state").alias("_state")) \

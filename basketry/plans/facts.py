@@ -8,11 +8,10 @@ instead of one per item, and the join output is order-sized.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
-from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
 
@@ -40,26 +39,53 @@ def order_facts(star: Star, cond=None, cols=("customer_id", "order_purchase_time
     return orders_where(star, cond, *cols).join(item_totals(star.order_items), "order_id")
 
 
-def items_of_orders(star: Star, cond, item_cols=("order_id", "product_id", "seller_id",
-                                                 "price", "freight_value"),
-                    order_cols=()) -> DataFrame:
-    """Item rows of the orders matching ``cond`` (item grain, inner join; hot orders split out)."""
-    return join_splitting_hot_keys(star.order_items.select(*item_cols),
-                                   orders_where(star, cond, *order_cols), "order_id",
-                                   hot=star.hot_keys("order_items", "order_id"))
+def lines_of_orders(star: Star, cond, by: str, *aggregates: Column, order_cols=()) -> DataFrame:
+    """(order, ``by``) rows of the items of orders matching ``cond``: ``aggregates`` and the order's columns.
+
+    Items are folded map-side before they are shuffled, so an order with very
+    many items is one row per ``by`` value (and task); orders that repeat give
+    a row for each of theirs, as the item-grain join does.
+    """
+    lines = star.order_items.groupBy("order_id", by).agg(*aggregates)
+    return lines.join(orders_where(star, cond, *order_cols), "order_id")
+
+
+def by_member(per_order: DataFrame, keys: list[str], members: dict[str, str], sums: list[str]) -> DataFrame:
+    """Per ``keys``: ``sums``, ``n_orders`` and the number of distinct members of several kinds, in one pass.
+
+    ``per_order`` has one row per (order, keys); ``members`` maps an output
+    column to the array column with the order's members (NULLs are none).
+    Every member becomes a row (keys, kind, member); the first of an order
+    carries its sums and the order itself, so one shuffle gives exact sums,
+    distinct orders and distinct members, without Spark's multi-distinct
+    Expand of every row.
+    """
+    def tag(kind: int, column: str) -> Column:
+        present = F.filter(column, lambda m: m.isNotNull())
+        return F.transform(present, lambda m: F.struct(F.lit(kind).alias("kind"), m.cast("string").alias("member")))
+
+    tagged = F.concat(*[tag(kind, c) for kind, c in enumerate(members.values())])
+    rows = per_order.select(*keys, *sums, F.posexplode_outer(tagged).alias("_pos", "_m"))
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    distinct = rows.groupBy(*keys, "_m.kind", "_m.member").agg(
+        *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums], F.sum(F.when(first, 1).otherwise(0)).alias("n_orders"))
+    return distinct.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], F.sum("n_orders").alias("n_orders"),
+        *[F.count_if(F.col("kind") == kind).alias(out) for kind, out in enumerate(members)])
 
 
-def by_member(per_order: DataFrame, keys: list[str], members: str, member: str, sums: list[str]) -> DataFrame:
-    """Rows per (keys, member) from one row per (order, keys): ``sums`` and ``n_orders``.
+def by_bitmap(per_order: DataFrame, keys: list[str], members: str, sums: list[str], out: str) -> DataFrame:
+    """As ``by_member`` for one kind of members given by dense non-negative surrogates: exact, mergeable bitmaps.
 
-    ``members`` holds the distinct members of each order (one, or more where
-    the orders table repeats the order).  The sums and the order itself go to
-    the first of them, so adding the result up per key gives exact sums,
-    distinct orders, and (counting rows with a member) distinct members, from
-    one pass and without Spark's multi-distinct Expand.
+    A group holds 4 KB per 32,768 surrogates that occur in it, whatever the
+    number of rows; they are built map-side and joined by OR, so what is
+    shuffled does not grow with the rows of a (hot) group.
     """
-    rows = per_order.select(*keys, *sums, F.posexplode_outer(members).alias("_pos", member))
+    rows = per_order.select(*keys, *sums, F.posexplode_outer(members).alias("_pos", "_id"))
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    return rows.groupBy(*keys, member).agg(
-        *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums],
-        F.sum(F.when(first, 1).otherwise(0)).alias("n_orders"))
+    pages = rows.groupBy(*keys, F.shiftright("_id", 15).alias("_page")).agg(
+        *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums], F.sum(F.when(first, 1).otherwise(0)).alias("n_orders"),
+        F.bitmap_construct_agg(F.coalesce(F.col("_id") % 32768, F.lit(0))).alias("_bits"))
+    return pages.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], F.sum("n_orders").alias("n_orders"),
+        F.coalesce(F.sum(F.when(F.col("_page").isNotNull(), F.bitmap_count("_bits"))), F.lit(0)).alias(out))

@@ -7,9 +7,9 @@ total order is cut into contiguous key ranges:
 
 1. the input size N is counted and a sample of the sort key is taken to
    choose P-1 boundary keys (kept as literals, so recomputation after an
-   executor loss assigns every row to the same bucket).  P follows the data:
-   N / rows_per_bucket, and one bucket per shuffle partition at least, so
-   every size takes the same path;
+   executor loss assigns every row to the same bucket).  P follows the rows
+   alone, N / rows_per_bucket; where that is one, there is no boundary to
+   look for and the steps below run over a single bucket of bounded size;
 2. each row gets its bucket id by binary search over the boundaries
    (O(log P) comparisons per row, JVM-side), an ``aggregate()`` over one
    array literal (a large CASE tree makes Catalyst's rewrites very slow);
@@ -26,6 +26,7 @@ first/last values (see :func:`with_rank`).
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, NumericType, StringType, StructField, StructType
 
+from basketry.session import materialize
+
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 64
 CONF_ROWS_PER_BUCKET = "spark.basketry.rowsPerBucket"
@@ -71,10 +74,8 @@ def rows_per_bucket(spark) -> int:
 
 
 def bucket_count(spark, n_rows: int, per_bucket: int | None = None) -> int:
-    """Buckets for ``n_rows``: as many as shuffle partitions, more where the data need it."""
-    least = 1 if per_bucket else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    per_bucket = per_bucket or rows_per_bucket(spark)
-    return max(1, min(n_rows, max(least, math.ceil(n_rows / per_bucket))))
+    """Buckets of at most about ``per_bucket`` rows (default: the session's ``spark.basketry.rowsPerBucket``)."""
+    return max(1, math.ceil(n_rows / (per_bucket or rows_per_bucket(spark))))
 
 
 def _normalized(df: DataFrame, keys: list[Key], prefix: str):
@@ -203,13 +204,38 @@ def bucket_offsets(base: DataFrame, keys: list[Key], bounds: list[tuple]) -> Col
     One small aggregate (a row per bucket) is collected; as literals the
     offsets stay identical if any stage is recomputed after a failure.
     """
+    if not bounds:
+        return F.lit(0)
     counts = dict(with_bucket(base.select([k.name for k in keys]), keys, bounds)
                   .groupBy("_b").count().collect())
-    offsets, running = [], 0
-    for b in range(len(bounds) + 1):
-        offsets.append(running)
-        running += counts.get(b, 0)
-    return long_array(offsets)[F.col("_b")]
+    return running_before(counts, len(bounds) + 1)[F.col("_b")]
+
+
+def running_before(counts: dict, buckets: int) -> Column:
+    """Literal array of the totals of all earlier buckets."""
+    return long_array(itertools.accumulate((counts.get(b, 0) for b in range(buckets - 1)), initial=0))
+
+
+def with_running_sum(df: DataFrame, keys: list[Key], value: str, out: str, n_rows: int, per_bucket: int | None = None,
+                     base: DataFrame | None = None) -> DataFrame:
+    """Add the running sum of ``value`` (a decimal) along the total order ``keys``.
+
+    Two levels: a running sum inside each range bucket, and the totals of the
+    earlier buckets (one row per bucket) carried into it.  ``base`` as in
+    :func:`with_position`.
+    """
+    base = df if base is None else base
+    bounds = boundaries(base, keys, n_rows, per_bucket)
+    keyed = with_bucket(df, keys, bounds)
+    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(*[k.spark_order() for k in keys])
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not bounds:
+        return keyed.select(*df.columns, inside.alias(out))
+    totals = with_bucket(base.select(*[k.name for k in keys], F.col(value).alias("_value")), keys, bounds).groupBy("_b").agg(F.sum("_value").alias("_total"))
+    carried = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    carry = totals.select("_b", F.sum("_total").over(carried).alias("_carry"))
+    return (keyed.withColumn("_in", inside).join(F.broadcast(carry), "_b")
+            .select(*df.columns, F.coalesce(F.col("_carry") + F.col("_in"), "_carry", "_in").alias(out)))
 
 
 def with_position(df: DataFrame, keys: list[Key], n_rows: int, out: str = "_pos",
@@ -230,54 +256,47 @@ def with_position(df: DataFrame, keys: list[Key], n_rows: int, out: str = "_pos"
 
 
 def with_ntiles(df: DataFrame, specs: dict[str, tuple[list[Key], int]], n_rows: int,
-                per_bucket: int | None = None, base: DataFrame | None = None) -> DataFrame:
-    """Several NTILE columns over independent total orders of the same rows.
+                per_bucket: int | None = None) -> DataFrame:
+    """Several NTILE columns over independent total orders of the (materialized) rows of ``df``.
 
     ``specs`` maps output column -> (keys ending with a unique tie-breaker,
-    tiles).  All orderings share one sample pass (boundaries) and one
-    aggregate pass (bucket counts) over ``base``, then each adds one
-    bucket-partitioned window.
+    tiles).  All orderings share one sample pass (boundaries); the rows are
+    tagged with the bucket of every ordering once, and both the counts (one
+    aggregate) and the windows read the tagged rows.
     """
-    base = df if base is None else base
-    n_buckets = bucket_count(base.sparkSession, n_rows, per_bucket)
-    out = df
-    # one sample of every ordering's normalized key (bounded: ~64 rows per bucket)
-    norm = {name: [c.alias(f"_s{i}_{j}") for j, c in enumerate(_normalized(base, keys, "_k"))]
-            for i, (name, (keys, _)) in enumerate(specs.items())}
-    fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(1, n_rows))
-    rows = base.select(*[c for cols in norm.values() for c in cols]).sample(False, fraction, 17).collect()
-    bounds = {}
-    width = {name: len(cols) for name, cols in norm.items()}
-    start = 0
-    for name in specs:
-        sample = sorted(tuple(_plain(v) for v in r[start:start + width[name]]) for r in rows)
-        start += width[name]
-        picked: list[tuple] = []
-        for i in range(1, n_buckets):
-            if not sample:
-                break
-            b = sample[min(len(sample) - 1, (i * len(sample)) // n_buckets)]
-            if not picked or b > picked[-1]:
-                picked.append(b)
-        bounds[name] = picked
-    # one aggregate pass: rows per (ordering, bucket), one row each
-    tagged = base
-    for i, (name, (keys, _)) in enumerate(specs.items()):
-        tagged = with_bucket(tagged, keys, bounds[name]).withColumnRenamed("_b", f"_b{i}") \
-            .drop(*_key_names(keys))
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"_b{i}").alias("b"))
-                                for i in range(len(specs))]))
-    counts = {(r.o, r.b): r["count"] for r in
-              tagged.select(pairs.alias("p")).select("p.o", "p.b").groupBy("o", "b").count().collect()}
+    keys_of = {name: keys for name, (keys, _) in specs.items()}
+    bounds = _shared_boundaries(df, keys_of, bucket_count(df.sparkSession, n_rows, per_bucket), n_rows)
+    out, counts = df, {}
+    if any(bounds.values()):
+        for i, (name, keys) in enumerate(keys_of.items()):
+            out = with_bucket(out, keys, bounds[name]).withColumnRenamed("_b", f"_b{i}").drop(*_key_names(keys))
+        out = materialize(out)
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"_b{i}").alias("b")) for i in range(len(specs))]))
+        for r in out.select(pairs.alias("p")).select("p.o", "p.b").groupBy("o", "b").count().collect():
+            counts.setdefault(r.o, {})[r.b] = r["count"]
+    else:
+        out = df.select("*", *[F.lit(0).alias(f"_b{i}") for i in range(len(specs))])
     for i, (name, (keys, tiles)) in enumerate(specs.items()):
-        offsets, running = [], 0
-        for b in range(len(bounds[name]) + 1):
-            offsets.append(running)
-            running += counts.get((i, b), 0)
-        offset = long_array(offsets)[F.col("_b")]
-        keyed = with_bucket(out, keys, bounds[name])
-        rn = F.row_number().over(Window.partitionBy("_b").orderBy(*[k.spark_order() for k in keys]))
-        out = keyed.withColumn(name, ntile_of(offset + rn, n_rows, tiles)).select(*out.columns, name)
+        within = F.row_number().over(Window.partitionBy(f"_b{i}").orderBy(*[k.spark_order() for k in keys]))
+        before = running_before(counts[i], len(bounds[name]) + 1)[F.col(f"_b{i}")] if i in counts else F.lit(0)
+        out = out.withColumn(name, ntile_of(before + within, n_rows, tiles))
+    return out.select(*df.columns, *specs)
+
+
+def _shared_boundaries(df: DataFrame, keys_of: dict[str, list[Key]], n_buckets: int, n_rows: int) -> dict[str, list[tuple]]:
+    """Boundary keys of several orderings from one sample (about SAMPLE_PER_BUCKET rows per bucket)."""
+    if n_buckets == 1:
+        return {name: [] for name in keys_of}
+    normal = {name: [c.alias(f"_s{i}_{j}") for j, c in enumerate(_normalized(df, keys, "_k"))]
+              for i, (name, keys) in enumerate(keys_of.items())}
+    fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(1, n_rows))
+    rows = df.select(*[c for cols in normal.values() for c in cols]).sample(False, fraction, 17).collect()
+    out, start = {}, 0
+    for name, cols in normal.items():
+        sample = sorted(tuple(_plain(v) for v in r[start:start + len(cols)]) for r in rows)
+        start += len(cols)
+        cuts = [sample[min(len(sample) - 1, i * len(sample) // n_buckets)] for i in range(1, n_buckets)] if sample else []
+        out[name] = [c for i, c in enumerate(cuts) if i == 0 or c > cuts[i - 1]]
     return out
 
 
@@ -299,7 +318,7 @@ def with_ntile(df: DataFrame, keys: list[Key], tiles: int, out: str, n_rows: int
 
 
 def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str,
-              n_rows: int, per_bucket: int | None = None) -> DataFrame:
+              n_rows: int, per_bucket: int | None = None, base: DataFrame | None = None) -> DataFrame:
     """SQL RANK() over ``rank_keys`` (ties share the lowest position).
 
     Buckets cut the total order (rank keys + tie-breaker), so a tie run can
@@ -307,9 +326,11 @@ def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str
     an earlier bucket takes that run's start position.
     """
     keys = list(rank_keys) + list(tiebreak)
-    bounds = boundaries(df, keys, n_rows, per_bucket)
+    bounds = boundaries(df if base is None else base, keys, n_rows, per_bucket)
     order = [k.spark_order() for k in rank_keys]
     keyed = with_bucket(df, keys, bounds)
+    if not bounds:
+        return keyed.select(*df.columns, F.rank().over(Window.partitionBy("_b").orderBy(*order)).cast("bigint").alias(out))
     value = F.struct(*[F.col(c) for c in _key_names(keys)[: 2 * len(rank_keys)]])
     local = (keyed.withColumn("_lr", F.rank().over(Window.partitionBy("_b").orderBy(*order)))
              .withColumn("_val", value))
@@ -328,68 +349,83 @@ def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str
     return res.select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
-def exact_percentile(df: DataFrame, value: str, q: float, tiebreak: str,
-                     n_rows: int | None = None, per_bucket: int | None = None):
-    """PERCENTILE_CONT(q) of ``value`` (NULLs ignored) as a Python float.
+CELLS = 1 << 16  # parts of an interval in one refinement
+REFINEMENTS = 4  # 2**64 parts in all: a cent of any decimal(18,2)
 
-    Only the two order statistics around (N-1)*q are brought back.
+
+def selected_percentile(hist: DataFrame, value: str, weight: str, q: float) -> DataFrame:
+    """PERCENTILE_CONT(q) over a histogram (distinct value, row count), as a plan of one row: ``percentile`` (double).
+
+    The interval of values that holds the wanted place is cut into CELLS parts
+    again and again; a refinement adds up the weights of the parts (at most
+    CELLS rows, the only rows of its unpartitioned window) and goes on with
+    the values of the part the place falls in.  Every step ends in a one-row
+    frame that is joined back, so nothing runs while the query is built, and
+    the histogram's exchange is shared by all steps.  NULL values are left
+    out; without values the result is NULL.
     """
-    vals = df.filter(F.col(value).isNotNull()).select(value, tiebreak)
-    n = vals.count() if n_rows is None else n_rows
-    if n == 0:
-        return None
-    pos = (n - 1) * q
-    lo, hi = math.floor(pos), math.ceil(pos)
-    ranked = with_position(vals, [asc(value), asc(tiebreak)], n, "_p", per_bucket)
-    got = {r["_p"]: float(r[value]) for r in
-           ranked.filter(F.col("_p").isin(lo + 1, hi + 1)).collect()}
-    a, b = got[lo + 1], got[hi + 1]
-    return a + (b - a) * (pos - lo)
-
-
-def histogram_percentiles(hist: DataFrame, value: str, weight: str, qs: list[float],
-                          per_bucket: int | None = None) -> list[float | None]:
-    """PERCENTILE_CONT(q) for each q over a histogram of (distinct value, row count).
-
-    The histogram is cut into value ranges like any other ordering; the
-    running row count is the per-bucket offset (literal) plus a running sum
-    inside the bucket, and only the rows holding the requested positions
-    (two per q) come back.  Interpolation: lo + (hi - lo) * fraction of
-    (N - 1) * q.
+    rows = hist.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.col(weight).cast("bigint").alias("_w"))
+    state = rows.agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(
+        "_lo", "_hi", F.lit(0).cast("bigint").alias("_skip"), F.floor((F.col("_n") - 1) * q).cast("bigint").alias("_at"),
+        ((F.col("_n") - 1) * q).alias("_place"))
+    for _ in range(REFINEMENTS):
+        width = F.col("_hi") - F.col("_lo")
+        cell = F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("_v") - F.col("_lo")) / width * CELLS))).otherwise(0).cast("int")
+        parts = (rows.crossJoin(F.broadcast(state)).filter("_v between _lo and _hi")
+                 .groupBy("_skip", "_at", "_place", cell.alias("_cell")).agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows
+        parts = parts.withColumn("_skip", F.col("_skip") + F.coalesce(F.sum("_w").over(upto), F.lit(0)))
+        state = parts.filter("_skip <= _at and _at < _skip + _w").select("_lo", "_hi", "_skip", "_at", "_place")
+    # what is left is one value but for doubles of very different sizes; its rows and the next value above it decide
+    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = rows.crossJoin(F.broadcast(state))
+    ends = (left.filter("_v between _lo and _hi").withColumn("_upto", F.col("_skip") + F.sum("_w").over(upto))
+            .agg(F.min(F.when(F.col("_upto") > F.col("_at"), F.col("_v"))).alias("_a"),
+                 F.min(F.when(F.col("_upto") > F.col("_at") + 1, F.col("_v"))).alias("_b"), F.max(F.col("_place") - F.col("_at")).alias("_part")))
+    above = left.filter("_v > _hi").agg(F.min("_v").alias("_c"))
+    upper = F.coalesce("_b", "_c", "_a")
+    return ends.crossJoin(F.broadcast(above)).select((F.col("_a") + (upper - F.col("_a")) * F.col("_part")).alias("percentile"))
+
+
+def selected_percentiles(hist: DataFrame, value: str, weight: str, qs: list[float]) -> list[Column]:
+    """Exact percentiles of a histogram as scalar columns."""
+    return [selected_percentile(hist, value, weight, q).scalar() for q in qs]
+
+
+def exact_percentile(df: DataFrame, value: str, q: float) -> Column:
+    """PERCENTILE_CONT(q) of ``value`` (NULLs ignored) over all rows of ``df`` as a scalar column."""
+    return selected_percentile(df.groupBy(value).agg(F.count(F.lit(1)).alias("_w")), value, "_w", q).scalar()
+
+
+def sketch_percentile(value, q: float, error: float) -> Column:
+    """Aggregate: the q-quantile from a mergeable sketch; its rank among n values is off by ``error * n`` at most.
+
+    No interpolation: the result is one of the values.
     """
-    hist = hist.filter(F.col(value).isNotNull()).select(value, F.col(weight).cast("bigint").alias("_w"))
-    n_vals, total = hist.agg(F.count(F.lit(1)), F.sum("_w")).first()
-    if not total:
-        return [None for _ in qs]
-    keys = [asc(value)]
-    bounds = boundaries(hist, keys, n_vals, per_bucket)
-    keyed = with_bucket(hist, keys, bounds)
-    sums = dict(keyed.groupBy("_b").agg(F.sum("_w")).collect())
-    offsets, running = [], 0
-    for b in range(len(bounds) + 1):
-        offsets.append(running)
-        running += sums.get(b, 0)
-    upto = Window.partitionBy("_b").orderBy(F.col(value).asc()).rowsBetween(Window.unboundedPreceding,
-                                                                           Window.currentRow)
-    ranked = keyed.withColumn("_cum", long_array(offsets)[F.col("_b")] + F.sum("_w").over(upto))
-    positions = {}
-    for q in qs:
-        rn = (total - 1) * q
-        positions[q] = (rn, math.floor(rn) + 1, math.ceil(rn) + 1)
-    wanted = sorted({p for _, lo, hi in positions.values() for p in (lo, hi)})
-    hit = None
-    for p in wanted:
-        cond = (F.col("_cum") - F.col("_w") < p) & (F.col("_cum") >= p)
-        hit = cond if hit is None else hit | cond
-    rows = [(r["_cum"] - r["_w"], r["_cum"], float(r[value])) for r in
-            ranked.filter(hit).select(value, "_w", "_cum").collect()]
-
-    def at(p):
-        return next(v for start, end, v in rows if start < p <= end)
+    if not 0 < error < 1:
+        raise ValueError("the rank error lies between 0 and 1")
+    return F.percentile_approx(value, q, math.ceil(1 / error))
+
 
+def grouped_percentiles(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
+    """Exact PERCENTILE_CONT of ``value`` per group: a row of ``keys`` with a column per entry of ``qs``.
+
+    For columns with very many distinct values per group, whose value maps
+    (``percentile``) would not fit: rows are folded to (group, value) counts,
+    sorted by value within their group, and running counts along the sort
+    tell which of them hold the wanted places.  Sorting spills; no group is
+    held in memory.  Groups without a value are left out.
+    """
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    group = Window.partitionBy(*keys)
+    along = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hist.withColumn("_upto", F.sum("_w").over(along)).withColumn("_n", F.sum("_w").over(group))
     out = []
-    for q in qs:
-        rn, lo, hi = positions[q]
-        a, b = at(lo), at(hi)
-        out.append(a + (b - a) * (rn - math.floor(rn)))
-    return out
+    for name, q in qs.items():
+        place = (F.col("_n") - 1) * q
+
+        def at(p):
+            return F.max(F.when((F.col("_upto") - F.col("_w") <= p) & (p < F.col("_upto")), F.col(value).cast("double")))
+        low = at(F.floor(place))
+        out.append((low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))).alias(name))
+    return placed.groupBy(*keys).agg(*out)

@@ -30,8 +30,8 @@ def _pivot(variant: str, start):
 # name -> (operator, parameters); every entry runs over a whole star.
 OPERATORS: dict[str, tuple[Callable, dict]] = {
     "dq01_row_counts": (quality.row_counts, {}),
-    "dq02_date_range": (quality.date_range, {}),
-    "dq03_status_distribution": (quality.value_distribution, {}),
+    "dq02_date_range": (quality.orders_date_range, {}),
+    "dq03_status_distribution": (quality.status_distribution, {}),
     "dq04_orders_null_audit": (quality.orders_null_audit, {}),
     "dq05_items_null_audit": (quality.items_null_audit, {}),
     "dq06_orders_without_payment": (quality.orders_without_payment, {}),
@@ -41,8 +41,8 @@ OPERATORS: dict[str, tuple[Callable, dict]] = {
     "dq10_items_missing_product": (quality.items_missing_product, {}),
     "dq11_items_missing_seller": (quality.items_missing_seller, {}),
     "dq12_category_coverage": (quality.category_coverage, {}),
-    "dq13_category_null_rate": (quality.null_rate, {}),
-    "dq14_price_profile": (quality.numeric_profile, {}),
+    "dq13_category_null_rate": (quality.category_null_rate, {}),
+    "dq14_price_profile": (quality.price_profile, {}),
     "rv01_monthly_trend": (revenue.period_trend, {}),
     "rv01_monthly_trend_corrected": (revenue.period_trend, {"variant": "corrected"}),
     "rv02_top_categories": (revenue.category_ranking, {}),

@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as E
-from basketry.oracle.queries import oracle_sql
+from basketry.oracle.mapping import with_star
+from basketry.oracle.queries import chart_cohorts, oracle_sql
 from basketry.registry import QUERIES
 from oracle_check import canon, duck
 from scale import SF_MID, SF_SMALL
@@ -66,8 +67,7 @@ def test_faithful_chart_cohort_all_cohorts(spark, con_small):
     lies after the test data) against the oracle without the start filter."""
     from basketry.operators import charts
     from basketry.registry import star_for
-    sql = E.oracle_sql()["ch02_cohort_epoch"].replace(
-        "r.cohort_month >= TIMESTAMP '2017-01-01' AND ", "")
+    sql = with_star(f"WITH {chart_cohorts(False, None)}\nSELECT * FROM retention")
     df = charts.cohort_retention_epoch(star_for(spark, SF_SMALL), start=None)
     res = con_small.execute(sql)
     rows = res.fetchall()

@@ -36,7 +36,7 @@ def test_gmv_and_orders_agree_across_breakdowns(star):
 
 
 def test_shares_sum_to_100(star):
-    assert abs(_sum(quality.value_distribution(star), "pct_of_total") - 100) < 0.05
+    assert abs(_sum(quality.status_distribution(star), "pct_of_total") - 100) < 0.05
     per_cat = revenue.payment_mix(star).groupBy("category").agg(F.sum("pct_of_category_orders").alias("s"))
     assert all(abs(r.s - 100) < 0.05 for r in per_cat.collect())
     seg = rfm.rfm_segment_summary(star)
