@@ -20,6 +20,7 @@ def main(argv=None) -> int:
     parser.add_argument("--star", help="directory with the eight star tables")
     parser.add_argument("--format", default="parquet", choices=("parquet", "csv"), help="star file format")
     parser.add_argument("--blank-category", default="keep", choices=("keep", "null"))
+    parser.add_argument("--check-keys", action="store_true", help="fail if a primary key is null or repeats")
     parser.add_argument("--out", help="result path (default: print)")
     parser.add_argument("--out-format", default="parquet", choices=("parquet", "csv"))
     parser.add_argument("--master", default=None)
@@ -31,7 +32,7 @@ def main(argv=None) -> int:
     if not args.star:
         parser.error("--star is required")
     spark = build_session(args.master)
-    result = run_operator(args.query, read_star(spark, args.star, args.format, args.blank_category))
+    result = run_operator(args.query, read_star(spark, args.star, args.format, args.blank_category, check_keys=args.check_keys))
     if args.out:
         write_result(result, args.out, fmt=args.out_format)
     else:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType, TimestampNTZType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
-from basketry.sources.schema import SCHEMAS
+from basketry.sources.constraints import check_key
+from basketry.sources.schema import KEYS, SCHEMAS
 from basketry.sources.star import STAR_TABLES, Star
 
 # Fixed value: timestamp text format of the CSV exports (no zone, no 'T').
@@ -38,10 +41,76 @@ def _from_header(raw: DataFrame, schema: StructType, name: str, ids: str) -> Dat
     return raw.select(*out)
 
 
+CORRUPT = "_corrupt_record"
+TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """Rows that loaded, and those that did not: ``source`` (the line, or its fields as JSON) and ``reasons``."""
+    accepted: DataFrame
+    rejected: DataFrame
+
+
+def read_csv_with_rejects(spark: SparkSession, root: str, name: str, blank_category: str = "keep", ids: str = "long",
+                          reject_to: str | None = None) -> Loaded:
+    """Read a star table's CSV, setting bad rows aside instead of stopping.
+
+    A row is rejected for each of these reasons: it has more or fewer fields
+    than the header (``malformed``), a value is not of its column's type
+    (``<column>: not a <type>``), or a part of the primary key is missing
+    (``<column>: no key``).  Both frames come from one permissive read; with
+    ``reject_to`` the rejected rows are written there as Parquet and read
+    back.  Count them with ``rejected.count()`` or per reason with
+    ``rejects_by_reason``.
+    """
+    schema, path = SCHEMAS[name], _path(spark, root, name, "csv")
+    options = {"header": True, "sep": ",", "nullValue": "\u0001", "emptyValue": ""}
+    names = spark.read.options(**options).csv(path).columns
+    lacking = [f.name for f in schema if f.name not in names]
+    if lacking:
+        raise ValueError(f"{name}: the header lacks {lacking}")
+    # every field is parsed whatever is selected: a pruned read would not see that a line has too few
+    texts = StructType([StructField(c, StringType()) for c in [*names, CORRUPT]])
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False).schema(texts).csv(path)
+    values, reasons = [], [F.when(F.col(CORRUPT).isNotNull(), "malformed")]
+    for f in schema:
+        text = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType) or ids == "string" and f.name.endswith("_id") and isinstance(f.dataType, LongType):
+            value = text
+        else:
+            given = F.nullif(text, F.lit(""))
+            value = given.try_cast(f.dataType)
+            if isinstance(f.dataType, TimestampNTZType):
+                value = F.when(given.rlike(TIMESTAMP_PATTERN), value)
+            reasons.append(F.when(F.col(CORRUPT).isNull() & given.isNotNull() & value.isNull(), f"{f.name}: not a {f.dataType.simpleString()}"))
+        if f.name in KEYS.get(name, ()):
+            reasons.append(F.when(F.col(CORRUPT).isNull() & F.nullif(text, F.lit("")).isNull(), f"{f.name}: no key"))
+        values.append(value.alias(f.name))
+    source = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
+    read = raw.select(*values, F.array_compact(F.array(*reasons)).alias("_reasons"), source.alias("_source"))
+    accepted = read.filter(F.size("_reasons") == 0).select(*[f.name for f in schema])
+    rejected = read.filter(F.size("_reasons") > 0).select(F.col("_source").alias("source"), F.col("_reasons").alias("reasons"))
+    if name == "products" and blank_category == "null":
+        accepted = accepted.withColumn("product_category_name", F.nullif(F.col("product_category_name"), F.lit("")))
+    if reject_to:
+        rejected.write.mode("overwrite").parquet(reject_to)
+        rejected = spark.read.schema(rejected.schema).parquet(reject_to)
+    return Loaded(accepted, rejected)
+
+
+def rejects_by_reason(rejected: DataFrame) -> DataFrame:
+    """reason, rows: a row with several reasons counts for each."""
+    return rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "reason")
+
+
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
-               blank_category: str = "keep", ids: str = "long") -> DataFrame:
+               blank_category: str = "keep", ids: str = "long", check_keys: bool = False) -> DataFrame:
     """Read one star table with its declared schema.
 
+    ``check_keys`` raises ``KeyViolation`` for a table whose primary key has
+    nulls or repeats (a pass over the key columns, ``sources.constraints``).
+
     CSV exports (header, comma separated) are read by header name, so column
     order and further columns do not matter; a missing column or a value that
     is not of its type is an error.  ``ids='string'`` keeps text ids (such as
@@ -65,12 +134,12 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
     if name == "products" and blank_category == "null":
         df = df.withColumn("product_category_name",
                            F.nullif(F.col("product_category_name"), F.lit("")))
-    return df
+    return check_key(df, name) if check_keys else df
 
 
 def read_star(spark: SparkSession, root: str, fmt: str = "parquet",
-              blank_category: str = "keep", ids: str = "long") -> Star:
-    return Star(**{name: read_table(spark, root, name, fmt, blank_category, ids)
+              blank_category: str = "keep", ids: str = "long", check_keys: bool = False) -> Star:
+    return Star(**{name: read_table(spark, root, name, fmt, blank_category, ids, check_keys)
                    for name in STAR_TABLES})
 
 

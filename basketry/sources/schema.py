@@ -14,6 +14,7 @@ def _s(*fields):
 ORDERS = _s(("order_id", LongType()), ("customer_id", LongType()),
             ("order_status", StringType()),
             ("order_purchase_timestamp", TimestampNTZType()),
+            ("order_approved_at", TimestampNTZType()),
             ("order_delivered_carrier_date", TimestampNTZType()),
             ("order_delivered_customer_date", TimestampNTZType()),
             ("order_estimated_delivery_date", TimestampNTZType()))
@@ -53,3 +54,13 @@ SCHEMAS = {
     "order_reviews": ORDER_REVIEWS,
     "geolocation": GEOLOCATION,
 }
+
+# Primary keys; reviews and geolocation have none.
+KEYS = {
+    "orders": ("order_id",),
+    "order_items": ("order_id", "order_item_id"),
+    "customers": ("customer_id",),
+    "sellers": ("seller_id",),
+    "products": ("product_id",),
+    "order_payments": ("order_id", "payment_sequential"),
+}

@@ -55,6 +55,7 @@ def map_orders(orders: DataFrame) -> DataFrame:
         F.col("o_custkey").alias("customer_id"),
         status.alias("order_status"),
         purchase.alias("order_purchase_timestamp"),
+        F.when(status != "invoiced", purchase + _hours(k % 5)).alias("order_approved_at"),
         F.when(~status.isin("canceled", "unavailable"), purchase + _days(1 + k % 4))
         .alias("order_delivered_carrier_date"),
         F.when((status == "delivered") & (k % 33 != 0), delivered)
