@@ -14,10 +14,12 @@ with their original components in double precision.
 
 Every row is indexed.  Queries meet all rows in blocks of bounded size, so no
 task depends on the size of either side; each pair of blocks returns at most k
-rows per query.  Vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, nor do rows without an id; of
-rows that repeat a query's id the smallest vector asks.  Equal scores are
-ordered by the smaller id, and repeated candidate rows are all kept.
+rows per query.  Vectors that are null, zero, or hold null or non-finite
+components take no part, nor do rows without an id.  Rows are told by where
+they stand: of rows that repeat an id each asks and is found as a row of its
+own.  Vectors of one length are searched among themselves.  Equal scores are
+ordered by the smaller id; vectors of any length count whole, further columns
+are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import ship, written
 
 INDEX_SCHEMA = "vec_id long, code binary, norm double, align double, v array<double>"
-HIT_SCHEMA = "query_id long, vec_id long, score double"
+HIT_SCHEMA = "query_row long, vec_id long, score double"
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -65,14 +67,14 @@ def estimates(codes: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out / math.sqrt(dim)
 
 
-def search_block(query_ids, queries, ids, codes, norm, align, vectors, centre, turn, k: int, epsilon: float):
-    """The k best of one block for each query: query ids, ids and exact scores."""
+def search_block(query_rows, queries, rows, ids, codes, norm, align, vectors, centre, turn, k: int, epsilon: float):
+    """The k best of one block for each query: the query's row, ids and exact scores."""
     found, turned = [], queries @ turn
     spread = norm * np.sqrt(np.maximum(0, 1 - align ** 2)) / align * epsilon / math.sqrt(max(1, queries.shape[1] - 1))
-    for query_id, query, q in zip(query_ids, queries, turned):
+    for query_row, query, q in zip(query_rows, queries, turned):
         length = math.sqrt(float(query @ query))
         guess = float(centre @ query) + norm * estimates(codes, q) / align
-        other = ids != query_id
+        other = rows != query_row
         guess[~other] = -np.inf
         if len(guess) > 4 * k:
             first = np.argpartition(-guess, 2 * k)[:2 * k]
@@ -85,7 +87,7 @@ def search_block(query_ids, queries, ids, codes, norm, align, vectors, centre, t
             keep = np.nonzero(other)[0]
         score = (vectors[keep] * query).sum(1)
         best = np.lexsort((ids[keep], -score))[:k]
-        found.append((np.full(len(best), query_id), ids[keep][best], score[best]))
+        found.append((np.full(len(best), query_row), ids[keep][best], score[best]))
     return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
 
 
@@ -122,42 +124,49 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
             epsilon: float = 2.5, rows_per_block: int = 16_384, queries_per_block: int = 1_024) -> DataFrame:
     """The k nearest rows of every row that satisfies ``is_query`` (a function of the id column).
 
-    Returns query_id, rank (from 1), vec_id, score.  ``rows_per_block`` and
-    ``queries_per_block`` bound what one task holds.
+    Rows are told by where they stand, not by their id: rows of one id are
+    queries and candidates of their own.  Vectors of different lengths have no
+    inner product; each length is searched by itself.  Returns query_id, rank
+    (from 1), vec_id, score.  ``rows_per_block`` and ``queries_per_block``
+    bound what one task holds.
     """
-    spark = embeddings.sparkSession
     usable = usable_vectors(embeddings, id_col, vector_col)
-    sizes = usable.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes[0]["dim"], sizes[0]["n"]
-    usable = usable.filter(F.size("v") == dim)
+    sizes = usable.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # a row per length
+    out = embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, size in enumerate(sizes):
+        found = _nearest(usable.filter(F.size("v") == size.dim), size.dim, size.n, is_query, k, epsilon, rows_per_block, queries_per_block)
+        out = found if i == 0 else out.unionByName(found)
+    return out
+
+
+def _nearest(usable: DataFrame, dim: int, n: int, is_query, k: int, epsilon: float, rows_per_block: int, queries_per_block: int) -> DataFrame:
+    """``nearest`` among n vectors of one length."""
     means = usable.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)]).collect()[0]  # one vector
     centre, turn = np.array(means, np.float64), rotation(dim)
-    index = written(build_index(usable, centre, turn), "vector-index")
+    index = written(build_index(usable, centre, turn).withColumn("row", F.monotonically_increasing_id()), "vector-index")
 
-    asking = index.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("q"))
+    asking = index.filter(is_query(F.col("vec_id"))).select("row", "vec_id", F.col("v").alias("q"))
     blocks = math.ceil(n / rows_per_block)
     query_blocks = max(1, math.ceil(asking.count() / queries_per_block))
 
     def block(count: int):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
 
-    left = asking.select(F.col("vec_id").alias("query_id"), "q", block(query_blocks).alias("qb"),
+    left = asking.select(F.col("row").alias("query_row"), "q", block(query_blocks).alias("qb"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    # repeated ids and copies do not gather in a block: rows are dealt by id and vector
-    right = index.withColumn("rb", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = index.withColumn("rb", block(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if queries.num_rows and rows.num_rows:
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            out = search_block(queries.column("query_id").to_numpy(), _matrix(queries.column("q")), rows.column("vec_id").to_numpy(),
+            out = search_block(queries.column("query_row").to_numpy(), _matrix(queries.column("q")), rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(),
                                codes, rows.column("norm").to_numpy(), rows.column("align").to_numpy(), _matrix(rows.column("v")),
                                centre, turn, k, epsilon)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        return pa.table({"query_row": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     hits = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(search, HIT_SCHEMA)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
+    ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    names = asking.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return ranked.join(names, "query_row").select("query_id", "rank", "vec_id", "score")
