@@ -21,7 +21,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import AtomicFile, filesystem, partitions, shared_folder, ship, written
@@ -119,16 +119,28 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to (null for responses).
 
     Only digests seen twice or more are joined back; Spark counts them map-side
-    and splits a digest that fills a partition (adaptive skew join).
+    and splits a digest that fills a partition (adaptive skew join).  Where
+    several rows carry the largest page_id of a digest, the first of them by
+    url (and task, for rows that are equal) is the response.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("_sha1", F.sha1("html"))
-    heads = (rows.filter(F.octet_length("html") >= min_bytes).groupBy("_sha1")
-             .agg(F.max("page_id").alias("_head"), F.count(F.lit(1)).alias("_copies"))
-             .filter("_copies > 1 and _head is not null").select("_sha1", "_head"))
+    per_id = rows.filter(F.octet_length("html") >= min_bytes).groupBy("_sha1", "page_id").agg(F.count(F.lit(1)).alias("_n"))
+    heads = written(per_id.groupBy("_sha1").agg(F.max(F.struct("page_id", "_n")).alias("_h"), F.sum("_n").alias("_copies"))
+                    .filter("_copies > 1 and _h.page_id is not null").select("_sha1", F.col("_h.page_id").alias("_head"), F.col("_h._n").alias("_ties")), "warc-heads")
     joined = rows.join(heads, "_sha1", "left")
-    revisit = F.col("_head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_head"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("_head")).alias("refers_to"))
+    at_head = F.col("_head").isNull() | F.col("page_id").eqNullSafe(F.col("_head"))
+    if not heads.filter("_ties > 1").head(1):
+        return joined.select("page_id", "url", "html", F.when(~at_head, F.col("_head")).alias("refers_to"))
+    # equal ids and payloads: the first row of each task, then the first of these
+    tied = F.col("_head").isNotNull() & at_head & (F.col("_ties") > 1)
+    rest = joined.filter(~F.coalesce(tied, F.lit(False))).select("page_id", "url", "html", F.when(~at_head, F.col("_head")).alias("refers_to"))
+    several = joined.filter(tied).withColumn("_task", F.spark_partition_id())
+    several = several.withColumn("_r", F.row_number().over(Window.partitionBy("_sha1", "_task").orderBy("url")))
+    several = several.withColumn("_deal", F.when(F.col("_r") == 1, -1).otherwise(F.col("_task")))
+    first = (F.col("_deal") == -1) & (F.row_number().over(Window.partitionBy("_sha1", "_deal").orderBy("url", "_task")) == 1)
+    several = several.withColumn("_first", first).select("page_id", "url", "html", F.when(~F.col("_first"), F.col("_head")).alias("refers_to"))
+    return rest.unionByName(several)
 
 
 def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
