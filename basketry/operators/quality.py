@@ -158,21 +158,19 @@ def numeric_profile(df: DataFrame, column: str, approx: float | None = None) ->
     ``approx`` takes them from a mergeable quantile sketch of that rank error
     instead, in one pass over the rows.
     """
-    v, n = F.col(column), F.col("n")
+    v = F.col(column)
     if approx is not None:
-        median, p95 = (O.sketch_percentile(v, q, approx) for q in (0.5, 0.95))
-        stats = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), X.avg_of(v).alias("mean"),
-                       F.coalesce(F.count_if(v <= 0), F.lit(0)).alias("low"), median.alias("median"), p95.alias("p95"))
-        rows = F.col("median"), F.col("p95")
+        places = [O.sketch_percentile(v, q, approx) for q in (0.5, 0.95)]
     else:
-        hist = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        stats = hist.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), X.ratio(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("mean"),
-                         F.sum(F.when(v <= 0, n).otherwise(0)).alias("low"))
-        rows = tuple(O.selected_percentiles(hist, column, "n", [0.5, 0.95]))
+        places = []
+        counted = df.filter(v.isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    stats = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), X.avg_of(v).alias("mean"), X.flag_sum(v <= 0).alias("low"),
+                   *[c.alias(f"p{i}") for i, c in enumerate(places)])
+    median, p95 = (F.col("p0"), F.col("p1")) if places else O.selected_percentiles(counted, column, "n", [0.5, 0.95])
     return stats.select(
         F.col("lo").cast("double").alias(f"min_{column}"), F.col("hi").cast("double").alias(f"max_{column}"),
-        F.col("mean").alias(f"avg_{column}"), rows[0].cast("double").alias(f"median_{column}"),
-        rows[1].cast("double").alias(f"p95_{column}"), F.col("low").alias(f"zero_or_neg_{column}"))
+        F.col("mean").alias(f"avg_{column}"), median.cast("double").alias(f"median_{column}"),
+        p95.cast("double").alias(f"p95_{column}"), F.col("low").alias(f"zero_or_neg_{column}"))
 
 
 def price_profile(star: Star, approx: float | None = None) -> DataFrame:

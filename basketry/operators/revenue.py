@@ -76,10 +76,7 @@ def category_ranking(star: Star, limit: int = 10) -> DataFrame:
         "order_id", "product_id").agg(*[F.sum(c).alias(c) for c in ("price", "n_price", "freight")])
     products = _category(star.products).withColumn("surrogate", F.monotonically_increasing_id())
     rows = join_splitting_hot_keys(pairs, products, "product_id", hot=star.hot_keys("order_items", "product_id"))
-    per_order = rows.groupBy("category", "order_id").agg(
-        F.sum("price").alias("price"), F.sum("n_price").alias("n_price"), F.sum("freight").alias("freight"),
-        F.collect_set("surrogate").alias("surrogates"))
-    per_cat = by_bitmap(per_order, ["category"], "surrogates", ["price", "n_price", "freight"], "unique_products").select(
+    per_cat = by_bitmap(rows, ["category"], "order_id", "surrogate", ["price", "n_price", "freight"], "unique_products").select(
         "category", F.round("price", 2).alias("_rev"), X.rounded(X.ratio(F.col("price"), F.col("n_price")), 2).alias("avg_item_price"),
         X.rounded(X.ratio(F.col("freight"), F.col("price")) * 100, 2).alias("freight_to_revenue_pct"),
         F.col("n_orders").alias("total_orders"), "unique_products")

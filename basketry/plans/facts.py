@@ -8,7 +8,7 @@ instead of one per item, and the join output is order-sized.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
@@ -74,18 +74,18 @@ def by_member(per_order: DataFrame, keys: list[str], members: dict[str, str], su
         *[F.count_if(F.col("kind") == kind).alias(out) for kind, out in enumerate(members)])
 
 
-def by_bitmap(per_order: DataFrame, keys: list[str], members: str, sums: list[str], out: str) -> DataFrame:
-    """As ``by_member`` for one kind of members given by dense non-negative surrogates: exact, mergeable bitmaps.
+def by_bitmap(rows: DataFrame, keys: list[str], order: str, surrogate: str, sums: list[str], out: str) -> DataFrame:
+    """Per ``keys``: ``sums``, distinct orders (``n_orders``) and distinct members given by dense non-negative surrogates, in one pass.
 
-    A group holds 4 KB per 32,768 surrogates that occur in it, whatever the
-    number of rows; they are built map-side and joined by OR, so what is
-    shuffled does not grow with the rows of a (hot) group.
+    Members are kept in exact, mergeable bitmaps: 4 KB per group and 32,768
+    surrogates that occur in it, whatever the number of rows.  They are built
+    map-side and joined by OR, so what a (hot) group shuffles does not grow
+    with its rows.  The first row of an order within a group counts it.
     """
-    rows = per_order.select(*keys, *sums, F.posexplode_outer(members).alias("_pos", "_id"))
-    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    pages = rows.groupBy(*keys, F.shiftright("_id", 15).alias("_page")).agg(
-        *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums], F.sum(F.when(first, 1).otherwise(0)).alias("n_orders"),
-        F.bitmap_construct_agg(F.coalesce(F.col("_id") % 32768, F.lit(0))).alias("_bits"))
+    first = F.row_number().over(Window.partitionBy(*keys, order).orderBy(surrogate)) == 1
+    pages = rows.withColumn("_first", first).groupBy(*keys, F.shiftright(surrogate, 15).alias("_page")).agg(
+        *[F.sum(c).alias(c) for c in sums], F.count_if("_first").alias("n_orders"),
+        F.bitmap_construct_agg(F.coalesce(F.col(surrogate) % 32768, F.lit(0))).alias("_bits"))
     return pages.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums], F.sum("n_orders").alias("n_orders"),
         F.coalesce(F.sum(F.when(F.col("_page").isNotNull(), F.bitmap_count("_bits"))), F.lit(0)).alias(out))

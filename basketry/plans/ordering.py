@@ -350,7 +350,7 @@ def with_rank(df: DataFrame, rank_keys: list[Key], tiebreak: list[Key], out: str
 
 
 CELLS = 1 << 16  # parts of an interval in one refinement
-REFINEMENTS = 4  # 2**64 parts in all: a cent of any decimal(18,2)
+REFINEMENTS = 2  # 2**32 parts in all; what is left of them is sorted
 
 
 def selected_percentile(hist: DataFrame, value: str, weight: str, q: float) -> DataFrame:
@@ -376,13 +376,14 @@ def selected_percentile(hist: DataFrame, value: str, weight: str, q: float) -> D
         upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows
         parts = parts.withColumn("_skip", F.col("_skip") + F.coalesce(F.sum("_w").over(upto), F.lit(0)))
         state = parts.filter("_skip <= _at and _at < _skip + _w").select("_lo", "_hi", "_skip", "_at", "_place")
-    # what is left is one value but for doubles of very different sizes; its rows and the next value above it decide
+    # few values are left (of one cell in 2**32; more only where sizes differ by many powers of ten), and the next one above
     upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = rows.crossJoin(F.broadcast(state))
     ends = (left.filter("_v between _lo and _hi").withColumn("_upto", F.col("_skip") + F.sum("_w").over(upto))
             .agg(F.min(F.when(F.col("_upto") > F.col("_at"), F.col("_v"))).alias("_a"),
                  F.min(F.when(F.col("_upto") > F.col("_at") + 1, F.col("_v"))).alias("_b"), F.max(F.col("_place") - F.col("_at")).alias("_part")))
-    above = left.filter("_v > _hi").agg(F.min("_v").alias("_c"))
+    # (weights are positive; with them in it, this step reads the same exchange as the others)
+    above = left.filter("_v > _hi and _w > 0").agg(F.min("_v").alias("_c"))
     upper = F.coalesce("_b", "_c", "_a")
     return ends.crossJoin(F.broadcast(above)).select((F.col("_a") + (upper - F.col("_a")) * F.col("_part")).alias("percentile"))
 

@@ -47,8 +47,10 @@ def test_members_and_bitmaps_count_what_sets_count(spark):
                 len({v for r in rows if r[1] == k for v in r[3]})] for k in {r[1] for r in rows}}
     got = by_member(df, ["k"], {"xs": "x", "ys": "y"}, ["s"]).collect()
     assert {r.k: [r.s, r.n_orders, r.xs, r.ys] for r in got} == want
-    got = by_bitmap(df, ["k"], "y", ["s"], "ys").collect()
-    assert {r.k: [r.s, r.n_orders, r.ys] for r in got} == {k: [v[0], v[1], v[3]] for k, v in want.items()}
+    each = df.select("k", "o", "s", F.explode_outer("y").alias("m")).withColumn("s", F.when(F.col("m").isNull(), 0).otherwise(F.col("s")))
+    got = by_bitmap(each, ["k"], "o", "m", ["s"], "ys").collect()
+    assert {r.k: [r.n_orders, r.ys] for r in got} == {k: [v[1], v[3]] for k, v in want.items()}
+    assert {r.k: r.s for r in got} == {k: sum(r[4] * len(r[3]) for r in rows if r[1] == k) for k in want}
 
 
 @pytest.mark.parametrize("op", [sellers.seller_sla, sellers.state_delivery])
