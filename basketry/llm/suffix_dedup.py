@@ -330,13 +330,21 @@ def _remaining(raw: bytes, spans: list[tuple[int, int]], kept: bytes):
     return (kept.decode("utf-8", "ignore"),)
 
 
+def _both(raw: bytes, spans: list[tuple[int, int]], kept: bytes):
+    return *_figures(raw, spans, kept), *_remaining(raw, spans, kept)
+
+
 _figures.names, _figures.kinds = ["n_bytes", "n_removed", "n_spans", "kept_sha256"], ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
 _remaining.names, _remaining.kinds = ["text"], ["text string"]
+_both.names, _both.kinds = _figures.names + _remaining.names, _figures.kinds + _remaining.kinds
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES) -> DataFrame:
-    """One row per row of ``docs (doc_id, text)``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes, concatenated)."""
-    return _apply(docs, length, classes, ["doc_id"], _figures)
+def remove_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, with_text: bool = False) -> DataFrame:
+    """One row per row of ``docs (doc_id, text)``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes, concatenated).
+
+    ``with_text`` adds text: what remains, without characters that lost a part of their bytes.
+    """
+    return _apply(docs, length, classes, ["doc_id"], _both if with_text else _figures)
 
 
 def without_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, words: int | None = None) -> DataFrame:
