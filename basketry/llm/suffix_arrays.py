@@ -1,4 +1,7 @@
-"""Suffix arrays of byte buffers in numpy, as far as ``depth`` bytes tell."""
+"""Suffix arrays in numpy, as far as ``depth`` units tell.
+
+A buffer is of bytes (uint8) or of wider units, such as one 64-bit hash a word.
+"""
 
 from __future__ import annotations
 
@@ -17,21 +20,23 @@ def packed(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their first ``depth`` bytes or more (Larsson-Sadakane refinement).
+    """Positions ordered by their first ``depth`` units or more (Larsson-Sadakane refinement).
 
-    Each round doubles the bytes by which groups are told apart and sorts only
+    Each round doubles the units by which groups are told apart and sorts only
     the members of groups that still have more than one.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.int64)
-    key = packed(data, FIRST).astype(np.int64)
+    if data.dtype == np.uint8:
+        key, h = packed(data, FIRST).astype(np.int64), FIRST
+    else:
+        key, h = np.unique(data, return_inverse=True)[1].astype(np.int64), 1
     sa = np.argsort(key, kind="stable")
     sorted_key = key[sa]
     head = np.maximum.accumulate(np.where(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), np.arange(n), 0))
     rank = np.full(n + 1, -1, np.int64)  # a suffix past the end is least
     rank[sa] = head
-    h = FIRST
     while h < depth:
         single = np.concatenate([head[1:] != head[:-1], [True]]) & np.concatenate([[True], head[1:] != head[:-1]])
         at = np.nonzero(~single)[0]
@@ -49,13 +54,21 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
-def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, known: np.ndarray | None = None) -> np.ndarray:
-    """Equal bytes from positions a and b, counted on from ``known``, up to ``cap`` (or up to 7 more).
+def comparable(data: np.ndarray, length: int) -> tuple[np.ndarray, bool]:
+    """What ``common`` compares, padded past every position asked for: 8 bytes from each position, or single wider units."""
+    padded = np.concatenate([data, np.zeros(2 * length, data.dtype)])
+    return (packed(padded, 8), True) if data.dtype == np.uint8 else (padded, False)
 
-    ``words`` is ``packed(data, 8)`` of a buffer padded past every position asked for.
-    """
+
+def common(compared: tuple[np.ndarray, bool], a: np.ndarray, b: np.ndarray, cap: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Equal units from positions a and b, counted on from ``known``, up to ``cap`` (of bytes up to 7 more)."""
+    words, of_bytes = compared
     h = np.zeros(len(a), np.int64) if known is None else known.copy()
     live = np.nonzero(h < cap)[0]
+    while len(live) and not of_bytes:
+        live = live[words[a[live] + h[live]] == words[b[live] + h[live]]]
+        h[live] += 1
+        live = live[h[live] < cap]
     while len(live):
         x = words[a[live] + h[live]] ^ words[b[live] + h[live]]
         differing = np.zeros(len(live), np.int64)
@@ -67,11 +80,11 @@ def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, known: np.
 
 
 def repeated_starts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the positions starts[w] .. starts[w] + counts[w] - 1 begin a ``length``-byte string that begins at another of them.
+    """Which of the positions starts[w] .. starts[w] + counts[w] - 1 begin a string of ``length`` units that begins at another of them.
 
     Suffix array, then Kasai's common prefixes over the valid positions in
-    suffix order, all windows in lockstep: moving on by one byte keeps all but
-    one byte of the common prefix with the predecessor.
+    suffix order, all windows in lockstep: moving on by one unit keeps all but
+    one of the common prefix with the predecessor.
     """
     n = len(data)
     valid = np.zeros(n, bool)
@@ -81,7 +94,7 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, le
     order = sa[valid[sa]]
     before = np.full(n + 1, -1, np.int64)
     before[order[1:]] = order[:-1]
-    words = packed(np.concatenate([data, np.zeros(2 * length, np.uint8)]), 8)
+    words = comparable(data, length)
     out, h = np.zeros(n, bool), np.zeros(len(starts), np.int64)
     last = np.full(len(starts), -1, np.int64)
     for t in range(int(counts.max(initial=0))):
@@ -102,11 +115,11 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, le
 
 
 def found_in(data: np.ndarray, own: np.ndarray, other: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of ``own`` and ``other`` (each in suffix order) whose ``length`` bytes the two share.
+    """Positions of ``own`` and ``other`` (each in suffix order) whose ``length`` units the two share.
 
     Merges two sorted shards by binary search of each position of one in the other.
     """
-    words = packed(np.concatenate([data, np.zeros(2 * length, np.uint8)]), 8)
+    words = comparable(data, length)
 
     def hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.zeros(len(a), np.int64), np.full(len(a), len(b), np.int64)

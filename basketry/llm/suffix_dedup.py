@@ -11,23 +11,32 @@ that starts anywhere else, in the same text included.
    once go no further.
 2. Windows with equal bytes form a class.  If it has two members or more, all
    its strings repeat.  A third of all rows being copies of one text makes a
-   few classes, not large groups.
+   few classes, not large groups; equal windows of one text are one row.
 3. Anchors with several classes need a closer look: one window per class goes
    to a shard, chosen by the anchor.  A shard orders its suffixes by
    Larsson-Sadakane refinement, finds common prefixes by Kasai's method, and
    marks the starts that share ``length`` bytes.
-4. An anchor with more classes than ``CLASSES`` is dealt over several shards,
-   and every two of them are merged by binary search.
+4. An anchor with more classes than ``CLASSES`` (a line that very many texts
+   hold) is told apart by what stands around it: its starts are cut into runs
+   by their distance to the anchor, and all strings of a run contain the same
+   stretch, relative to the anchor, of nearly ``length`` bytes.  Equal strings
+   have equal stretches, so the stretch takes the anchor's place, and windows
+   whose stretch occurs once go no further (``LEVELS``: finer and finer runs).
+   What is left with more classes is dealt over several shards, and every two
+   of them are merged by binary search.
 
 ``without_repeats`` also takes out passages of ``words`` words or more that
 start anywhere else: the same windows over the texts' word hashes (words as in
 ``WordHasher``: lower case, no punctuation at the ends), with 8-word anchors.
-Shards find equal passages by 64-bit hashes of their words.  A passage goes
-from the first byte of its first word to the last byte of its last, punctuation
-at the words included; the white space around it stays.
-
-Null texts count as empty; equal rows are copies of each other; rows without a
-doc_id are treated like the others.
+Shards order and compare these by the same suffix arrays, a 64-bit hash a word.
+A passage goes from the first byte of its first word to the last byte of its
+last, punctuation at the words included; the white space around it stays.
+
+Null texts count as empty and keep nothing; texts shorter than ``length`` stay
+whole; very long texts are cut into windows like the others, one text at a time
+in a task; equal rows are copies of each other, so both lose what they share;
+rows without a doc_id are treated like the others; an empty table gives an empty
+result; further columns of ``docs`` are neither read nor in the way.
 """
 
 from __future__ import annotations
@@ -42,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import MIX, WordHasher, combine, mix64, partitions, ship, written
+from basketry.llm.common import MIX, WordHasher, mix64, partitions, ship, written
 from basketry.llm.suffix_arrays import found_in, repeated_starts, suffix_array
 
 GRAM = 64  # bytes of an anchor
@@ -50,8 +59,10 @@ WORD_GRAM = 8  # words of an anchor
 WORD_BYTES = 8  # of a word's hash
 CLASSES = 2048  # window classes of one anchor in a shard
 SHARD_BYTES = 2 << 20
-WINDOW_SCHEMA = "row_key binary, anchor long, digest binary, first int, starts int"
-RANGE_SCHEMA = "row_key binary, first int, last int"
+LEVELS = (4, 16)  # runs of starts as parts of a string's length, for anchors of very many classes
+WINDOW_SCHEMA = "row_key binary, anchor long, digest binary, first int, starts int, more array<int>"
+PIECE_SCHEMA = "anchor long, digest binary, copies long, row_key binary, first int, starts int, bytes binary"
+RANGE_SCHEMA = "row_key binary, first int, last int, more array<int>"
 TOKEN = re.compile(r"\S+")
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * MIX)
 
@@ -86,6 +97,10 @@ def windows_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
     return first, np.diff(np.concatenate([first, [n]])), hashes[at[first]]
 
 
+NAMES = ["anchor", "digest", "copies", "row_key", "first", "starts", "bytes", "gram"]
+KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text without nulls, and row_key (128 bits of both)."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -104,29 +119,44 @@ def _windows(docs: DataFrame, length: int, by_word: bool) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                keys, anchors, digests, firsts, counts = [], [], [], [], []
+                keys, anchors, digests, firsts, counts, more = [], [], [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = hasher(text) if by_word else np.frombuffer(text.encode(), np.uint8)
                     first, count, anchor = windows_of(data, length)
+                    view = memoryview(data.tobytes())
+                    own = [xxhash.xxh3_128_digest(view[s * unit:(s + c + length - 1) * unit]) for s, c in zip(first.tolist(), count.tolist())]
+                    others = [None] * len(own)
+                    if len(set(own)) < len(own):
+                        place, kept = {}, []
+                        for i, digest in enumerate(own):
+                            at = place.setdefault(digest, i)
+                            if at == i:
+                                kept.append(i)
+                            elif others[at]:
+                                others[at].append(int(first[i]))
+                            else:
+                                others[at] = [int(first[i])]
+                        first, count, anchor = first[kept], count[kept], anchor[kept]
+                        own, others = [own[i] for i in kept], [others[i] for i in kept]
                     keys += [key] * len(first)
                     anchors.append(anchor)
                     firsts.append(first)
                     counts.append(count)
-                    view = memoryview(data.tobytes())
-                    digests += [xxhash.xxh3_128_digest(view[s * unit:(s + c + length - 1) * unit]) for s, c in zip(first.tolist(), count.tolist())]
+                    digests += own
+                    more += others
                 if keys:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys, pa.binary()), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(digests, pa.binary()),
-                         pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
-                        ["row_key", "anchor", "digest", "first", "starts"])
+                         pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)),
+                         pa.array(more, pa.list_(pa.int32()))], ["row_key", "anchor", "digest", "first", "starts", "more"])
 
     return docs.filter(F.octet_length("text") >= least).select("row_key", "text").mapInArrow(run, WINDOW_SCHEMA)
 
 
-def _unit_marks(rows: list[dict], left: int, right: int, length: int) -> list[np.ndarray]:
+def _unit_marks(rows: list[dict], left: int, right: int, length: int, by_word: bool) -> list[np.ndarray]:
     """For each window of a unit, which of its starts repeat."""
-    data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-    sizes = np.array([len(r["bytes"]) for r in rows])
+    data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint64 if by_word else np.uint8)
+    sizes = np.array([len(r["bytes"]) for r in rows]) // data.itemsize
     begin = np.cumsum(sizes) - sizes
     counts = np.array([r["starts"] for r in rows])
     if left == right:
@@ -147,22 +177,33 @@ def _unit_marks(rows: list[dict], left: int, right: int, length: int) -> list[np
     return [marks[b:b + c] for b, c in zip(begin.tolist(), counts.tolist())]
 
 
-def _word_marks(rows: list[dict], left: int, right: int, length: int) -> list[np.ndarray]:
-    """As ``_unit_marks``, for windows of word hashes."""
-    data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint64)
-    sizes = np.array([len(r["bytes"]) // WORD_BYTES for r in rows])
-    begin = np.cumsum(sizes) - sizes
-    counts = np.array([r["starts"] for r in rows])
-    passages = combine(data[i:len(data) - length + 1 + i] for i in range(length))
-    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())  # starts inside their windows
-    mine = passages[at]
-    if left == right:
-        _, which, seen = np.unique(mine, return_inverse=True, return_counts=True)
-        marks = seen[which] > 1
-    else:
-        side = np.repeat(np.array([r["part"] for r in rows]) == left, counts)
-        marks = np.where(side, np.isin(mine, mine[~side]), np.isin(mine, mine[side]))
-    return np.split(marks, np.cumsum(counts)[:-1])
+def runs_around(data: np.ndarray, anchor: int, starts: int, length: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(run, first start, starts, first and last unit of its stretch) of a window, by the distance of its starts to the anchor."""
+    hashes = gram_hashes(data)[starts - 1:]
+    at = starts - 1 + int(np.argmax(hashes == np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)))
+    for run in range((at - starts + 1) // width, at // width + 1):
+        a, b = max(0, at - (run + 1) * width + 1), min(starts - 1, at - run * width)
+        yield run, a, b - a + 1, at - run * width, at - (run + 1) * width + 1 + length
+
+
+def _pieces(classes: DataFrame, length: int, width: int, by_word: bool) -> DataFrame:
+    """The windows of ``classes`` cut into runs of starts; each run's anchor is the stretch that all its strings contain."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                out = []
+                for r in batch.slice(a, 512).to_pylist():
+                    data = np.frombuffer(r["bytes"], np.uint64 if by_word else np.uint8)
+                    unit, raw = data.itemsize, memoryview(r["bytes"])
+                    for k, s, count, begin, end in runs_around(data, r["gram"], r["starts"], length, width):
+                        mine = bytes(raw[s * unit:(s + count - 1 + length) * unit])
+                        stretch = xxhash.xxh3_64_intdigest(raw[begin * unit:end * unit], seed=k)
+                        out.append((stretch - (1 << 63), xxhash.xxh3_128_digest(mine), r["copies"], r["row_key"], r["first"] + s, count, mine, r["gram"]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), KINDS)], NAMES)
+
+    return classes.select("row_key", "gram", "copies", "first", "starts", "bytes").mapInArrow(run, PIECE_SCHEMA + ", gram long")
 
 
 def _cut_words(rows: DataFrame, length: int) -> DataFrame:
@@ -204,27 +245,26 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES, shard_bytes: int = SHARD_BYTES, by_word: bool = False) -> DataFrame:
-    """row_key and ranges ``[first, last)`` of starts whose strings repeat; ``docs`` as ``_keyed`` gives them.
+def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES, shard_bytes: int = SHARD_BYTES, by_word: bool = False,
+                    levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """row_key and ranges ``[first, last)`` of starts whose strings repeat, ``more``: the first starts of other ranges of the same size.
 
-    ``by_word``: length and ranges count words.
+    ``docs`` as ``_keyed`` gives them.  ``by_word``: length and ranges count words.
     """
     spark = docs.sparkSession
     ship(spark)
     windows = written(_windows(docs, length, by_word), "windows")
-    again = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("anchor")
-    shared = written(windows.join(again, "anchor"), "shared-windows")
-
-    by_class = shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    several = by_class.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
-    state = written(by_class.join(several, "anchor"), "window-classes")
-    whole = (shared.join(state.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"])
-             .select("row_key", "first", (F.col("first") + F.col("starts")).alias("last")))
-
-    close = state.filter("classes > 1")
-    one = (shared.join(close, ["anchor", "digest"]).groupBy("anchor", "digest", "copies", "classes")
-           .agg(F.min(F.struct("row_key", "first", "starts")).alias("at"))
-           .select("anchor", "digest", "copies", "classes", "at.*"))
+    members = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
+    again = windows.groupBy("anchor").agg(F.sum(members).alias("seen")).filter("seen > 1").select("anchor")
+    shared = written(windows.join(again, "anchor", "left_semi"), "shared-windows")
+
+    by_class = written(shared.groupBy("anchor", "digest").agg(F.sum(members).alias("copies"), F.min(F.struct("row_key", "first", "starts")).alias("at"))
+                       .select("anchor", "digest", "copies", "at.*"), "window-classes")
+    last = (F.col("first") + F.col("starts")).alias("last")
+    ranges = (shared.join(by_class.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+              .select("row_key", "first", last, "more"))
+
+    one = by_class.join(_several(by_class), "anchor")
     of_text = one.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "digest", "copies", "classes", "first", "starts")).alias("windows"))
     joined = docs.join(of_text, "row_key")
     if by_word:
@@ -232,12 +272,28 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
     else:
         fetched = joined.select("row_key", F.col("text").cast("binary").alias("raw"), F.explode("windows").alias("w")).select(
             "row_key", "w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.starts") + (length - 1)).alias("bytes"))
-    cut = written(fetched.dropDuplicates(["anchor", "digest"]), "close-windows")
-
-    total = cut.agg(F.sum(F.octet_length("bytes"))).collect()[0][0] or 0
+    columns = ["anchor", "digest", "copies", "classes", "row_key", "first", "starts", "bytes"]
+    cut = written(fetched.dropDuplicates(["anchor", "digest"]).select(*columns, F.col("anchor").alias("gram")), "close-windows")
+    close = cut.select(*columns)
+
+    for level in levels:
+        hot = cut.filter(F.col("classes") > classes)
+        if hot.isEmpty():
+            break
+        pieces = written(_pieces(hot, length, max(1, length // level), by_word), "pieces")
+        alike = pieces.groupBy("anchor", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("row_key", "first", "starts", "bytes", "gram")).alias("at"))
+        alike = written(alike.select("anchor", "digest", "copies", "at.*"), "piece-classes")
+        found = (pieces.filter("copies = 1").join(alike.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+                 .select("row_key", "first", last, F.lit(None).cast("array<int>").alias("more")))
+        ranges = ranges.unionByName(found)
+        close = close.filter(F.col("classes") <= classes)
+        cut = written(alike.join(_several(alike), "anchor"), "close-pieces")
+        close = close.unionByName(cut.select(*columns))
+
+    total = close.agg(F.sum(F.octet_length("bytes"))).collect()[0][0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     parts = F.ceil(F.col("classes") / classes).cast("int")
-    dealt = (cut.withColumn("parts", parts)
+    dealt = (close.withColumn("parts", parts)
              .withColumn("group", F.when(F.col("parts") > 1, F.concat(F.lit("a"), F.col("anchor").cast("string")))
                          .otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string"))))
              .withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
@@ -246,24 +302,27 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
              .select("group", "left", "right", "part", "row_key", "copies", "first", "starts", "bytes")
              .repartition(partitions(spark), "group", "left", "right").sortWithinPartitions("group", "left", "right"))
 
-    marks_of = _word_marks if by_word else _unit_marks
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _units(batches):
             found = [(r["row_key"], r["first"] + a, r["first"] + b)
-                     for r, marks in zip(rows, marks_of(rows, rows[0]["left"], rows[0]["right"], length)) if r["copies"] == 1
+                     for r, marks in zip(rows, _unit_marks(rows, rows[0]["left"], rows[0]["right"], length, by_word)) if r["copies"] == 1
                      for a, b in _runs(marks)]
             if found:
                 keys, a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
-                                                 ["row_key", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.nulls(len(a), pa.list_(pa.int32()))],
+                                                 ["row_key", "first", "last", "more"])
+
+    return ranges.unionByName(dealt.mapInArrow(run, RANGE_SCHEMA))
+
 
-    return whole.unionByName(dealt.mapInArrow(run, RANGE_SCHEMA))
+def _several(classes: DataFrame) -> DataFrame:
+    """anchor and classes, of the anchors that have several."""
+    return classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
 
 
 def covered(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
     """Maximal runs covered by the strings that start in the ranges."""
-    return merged([(r["first"], r["last"] - 1 + length) for r in ranges or ()])
+    return merged([(a, a + r["last"] - r["first"] - 1 + length) for r in ranges or () for a in (r["first"], *(r["more"] or ()))])
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -289,14 +348,15 @@ def word_bytes(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], describe, words: int | None = None) -> DataFrame:
+def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], describe, words: int | None = None,
+           levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """``columns`` of every row of ``docs`` and what ``describe(raw, spans, kept)`` says of its bytes."""
     keyed = _keyed(docs)
-    repeated = repeated_ranges(keyed, length, classes).withColumn("by_word", F.lit(False))
+    repeated = repeated_ranges(keyed, length, classes, levels=levels).withColumn("by_word", F.lit(False))
     if words:
-        repeated = repeated.unionByName(repeated_ranges(keyed, words, classes, by_word=True).withColumn("by_word", F.lit(True)))
+        repeated = repeated.unionByName(repeated_ranges(keyed, words, classes, by_word=True, levels=levels).withColumn("by_word", F.lit(True)))
     ranges = written(repeated, "ranges").groupBy("row_key").agg(
-        F.collect_set(F.struct("first", "last", "by_word")).alias("ranges"))  # bounded: bytes of a document
+        F.collect_set(F.struct("first", "last", "more", "by_word")).alias("ranges"))  # bounded: bytes of a document
     others = [c for c in columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", *others)
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -339,17 +399,19 @@ _remaining.names, _remaining.kinds = ["text"], ["text string"]
 _both.names, _both.kinds = _figures.names + _remaining.names, _figures.kinds + _remaining.kinds
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, with_text: bool = False,
+                   levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes, concatenated).
 
     ``with_text`` adds text: what remains, without characters that lost a part of their bytes.
     """
-    return _apply(docs, length, classes, ["doc_id"], _both if with_text else _figures)
+    return _apply(docs, length, classes, ["doc_id"], _both if with_text else _figures, levels=levels)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, words: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, words: int | None = None,
+                    levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """``docs`` with their remaining texts; characters that lost a part of their bytes go too.
 
     ``words``: passages of so many words or more that repeat go too, however few bytes they have.
     """
-    return _apply(docs, length, classes, docs.columns, _remaining, words).select(*docs.columns)
+    return _apply(docs, length, classes, docs.columns, _remaining, words, levels).select(*docs.columns)
