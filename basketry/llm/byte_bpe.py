@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import partitions, ship
+from basketry.llm.common import partitions, ship, written
 from basketry.llm.pieces import PieceCodes, splitter
 
 WORDS = 1 << 16  # words of the dictionary
 LONG = 64  # bytes of its longest word
 HELD = 300_000  # parts counted together in a task
+STEPS = 16  # of the histogram of counts, a doubling
 _CODECS: dict = {}
 
 
@@ -173,7 +174,10 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
 
     Counts are summed per task before the shuffle, so a word of any frequency
     is one row of each task.  Parts of a text between single spaces are counted
-    first and matched once.
+    first and matched once.  The least count that still goes in follows from a
+    histogram of the counts (``STEPS`` steps a doubling); of the words in its
+    last step those of least hash go in, drawn by a bound of the hash that lets
+    little more than ``limit`` through, so no task gets more rows at more input.
     """
     ship(docs.sparkSession)
 
@@ -199,7 +203,18 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
         yield found()
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).select("word")
+    totals = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    step = F.floor(F.log2(F.col("n")) * STEPS).cast("int")
+    sizes = {r["step"]: r["count"] for r in totals.groupBy(step.alias("step")).count().collect()}  # bounded: STEPS rows a doubling
+    room = limit
+    for last in sorted(sizes, reverse=True):
+        if sizes[last] > room:
+            drawn = (room + 8 * room ** 0.5 + 64) / sizes[last]
+            place = F.pmod(F.xxhash64("word"), F.lit(1 << 30))
+            tied = totals.filter((step == last) & (place < int(min(1.0, drawn) * (1 << 30)))).orderBy(place, "word").limit(room)
+            return totals.filter(step > last).select("word").unionAll(tied.select("word"))
+        room -= sizes[last]
+    return totals.select("word")
 
 
 def dictionary_of(words: DataFrame, ranks: dict[bytes, int]) -> bytes:
