@@ -56,7 +56,7 @@ class PieceCodes:
             odd = not parts[0] or parts[0][-1].isspace()
             if odd or None in got:
                 lacking = [p for p, g in zip(parts, got) if g is None]
-                if odd or not all(map(_clean, lacking)):
+                if odd or "" in lacking or list(map(str.strip, lacking)) != lacking:
                     parts = CUT.split(text)
                     lacking = parts[1:]
                     got = [b""] + [None] * len(lacking)
@@ -75,26 +75,29 @@ class PieceCodes:
     def _codes(self, firsts: set[str], rest: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
         """Codes of parts that begin a text, and of parts with a space before them."""
         parts, seen, words = self.parts, self.seen, self.words
-        split, known = {}, {}
+        split, known, letters = {}, {}, []
         for p in rest:
-            if p[-1:] in STOPS and (c := parts.get(p[:-1])) is not None and p[:-1].isalpha():
+            if p.isalpha():
+                letters.append(p)
+            elif p[-1:] in STOPS and (c := parts.get(p[:-1])) is not None and p[:-1].isalpha():
                 known[p] = c, p[-1]  # a remembered word and a stop
             else:
                 split[p] = words(" " + p)
         begins = {p: words(p) for p in firsts}
-        lacking = {w for group in (split, begins) for found in group.values() for w in found if w not in seen}
-        lacking.update(w for w in STOPS if w not in seen)
+        whole = [" " + p for p in letters]
+        lacking = set(whole).union(STOPS, *split.values(), *begins.values()).difference(seen)
         lacking = list(lacking)
         fresh = dict(zip(lacking, self.encode(lacking)))
-        code = lambda w: c if (c := seen.get(w)) is not None else fresh[w]
-        out = {p: b"".join(map(code, found)) for p, found in split.items()}
-        first = {p: b"".join(map(code, found)) for p, found in begins.items()}
+        out = {p: fresh[w] if w in fresh else seen[w] for p, w in zip(letters, whole)}
+        for coded, group in ((out, split), (first := {}, begins)):
+            for p, found in group.items():
+                coded[p] = b"".join([fresh[w] if w in fresh else seen[w] for w in found])
+        stops = {w: fresh[w] if w in fresh else seen[w] for w in STOPS}
         room = self.words_limit - len(seen)
         if room > 0:
             seen.update([(w, c) for w, c in fresh.items() if len(w) < LONG][:room])
         room = self.parts_limit - len(parts)
         if room > 0:
             parts.update([(p, c) for p, c in out.items() if len(p) < LONG and _clean(p)][:room])
-        stops = {w: seen[w] if w in seen else fresh[w] for w in STOPS}
         out.update((p, c + stops[w]) for p, (c, w) in known.items())
         return first, out

@@ -20,13 +20,15 @@ without special tokens of its own gives them.
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import AtomicFile, filesystem, partitions, shared_folder, ship, written
@@ -45,26 +47,32 @@ ROWS_SCHEMA = "file_no int, seq long, doc_id long, n_tokens long, start_in_file
 _ENCODERS: dict = {}
 
 
-def piece_encoder(vocabulary: str) -> tuple[Callable[[list[str]], list[bytes]], str]:
-    """Encoder of this worker for the tokenizer definition (JSON text), and the type of its ids."""
+def added_tokens(vocabulary: str) -> list[str]:
+    """Contents of the added tokens of a tokenizer definition (JSON text)."""
+    return [t["content"] for t in json.loads(vocabulary).get("added_tokens") or [] if t["content"]]
+
+
+def piece_encoder(vocabulary: str) -> tuple[Callable[[list[str], list[bool]], list[bytes]], str]:
+    """Encoder of this worker for the tokenizer definition (JSON text), and the type of its ids.
+
+    It takes texts and whether each is to be encoded whole: no cut may go
+    through an added token.
+    """
     from tokenizers import Tokenizer
     key = hash(vocabulary)
     if key not in _ENCODERS:
         tok = Tokenizer.from_str(vocabulary)
-        added = [t.content for t in tok.get_added_tokens_decoder().values()]
         kind = "<u4" if tok.get_vocab_size() > 65_536 else "<u2"
 
         def encode(texts: list[str]) -> list[bytes]:
             return [array("I" if kind == "<u4" else "H", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
         pieces = PieceCodes(splitter(BYTE_LEVEL), encode)
 
-        def encode_texts(texts: list[str]) -> list[bytes]:
-            # no cut may go through an added token: texts that contain one are encoded whole
-            whole = {i for i, t in enumerate(texts) if any(x in t for x in added)}
-            if not whole:
+        def encode_texts(texts: list[str], whole: list[bool]) -> list[bytes]:
+            if not any(whole):
                 return pieces(texts)
-            rest = iter(pieces([t for i, t in enumerate(texts) if i not in whole]))
-            return [encode([t])[0] if i in whole else next(rest) for i, t in enumerate(texts)]
+            rest = iter(pieces([t for t, w in zip(texts, whole) if not w]))
+            return [encode([t])[0] if w else next(rest) for t, w in zip(texts, whole)]
         _ENCODERS.clear()
         _ENCODERS[key] = (encode_texts, kind)
     return _ENCODERS[key]
@@ -132,20 +140,22 @@ def write_records(docs: DataFrame, folder: str, vocabulary_json: str, end_id: in
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        gc.disable()  # the dictionaries hold no cycles, and scanning them costs a tenth of the time
-        encode, kind = piece_encoder(vocabulary.value)
         task, out = TaskContext.get(), None
         number = task.partitionId()
         # each attempt writes a file of its own, and the manifest names that of the attempt that counted
         path = f"{folder}/part-{number:05d}-{task.taskAttemptId()}.rec"
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                out = out or RecordFile(path)
-                codes = encode([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, c in zip(part.column(0).to_pylist(), codes):
-                    out.add(*_pack(doc_id, c, kind, end_id))
-        gc.enable()
+        gc.disable()  # the dictionaries hold no cycles, and scanning them costs a tenth of the time
+        try:
+            encode, kind = piece_encoder(vocabulary.value)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1000):
+                    part = batch.slice(a, 1000)
+                    out = out or RecordFile(path)
+                    codes = encode([t or "" for t in part.column(1).to_pylist()], part.column(2).to_pylist())
+                    for doc_id, c in zip(part.column(0).to_pylist(), codes):
+                        out.add(*_pack(doc_id, c, kind, end_id))
+        finally:
+            gc.enable()
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays(
@@ -155,7 +165,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary_json: str, end_id: in
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(files or partitions(spark), *order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(write, FILES_SCHEMA), "record-manifest")
+    whole = reduce(Column.__or__, [F.contains("text", F.lit(x)) for x in added_tokens(vocabulary_json)], F.lit(False))
+    marked = dealt.withColumn("whole", F.coalesce(whole, F.lit(False)))
+    return written(marked.mapInArrow(write, FILES_SCHEMA), "record-manifest")
 
 
 def _check(ok: np.ndarray, what: str, path: str) -> None:
