@@ -10,7 +10,8 @@ document is selected by its tail probability at a wanted grade.  Features are
 relative frequencies: words, word shapes (letter case, digits and symbols, runs
 collapsed), pairs of shapes, and words that repeat their predecessor, hashed
 into 2**BITS weights.  Any set of integer grades works; the weights are learnt
-on a bounded sample of rated documents.
+on a bounded sample of rated documents, in one task that holds at most
+``FEATURES`` features and the longest document's; only the weights reach the driver.
 
 A text without any non-space character gets the lowest grade; null texts are
 such.  Rating rows with a null grade or id are not used; a document with
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import ship
-from basketry.llm.mil_toxicity import flattened, sample_labels, sizes_of
+from basketry.llm.mil_toxicity import sample_labels
 
 BITS = 18
 SAMPLE = 2_000  # rated documents per grade, at most
+FEATURES = 1 << 24  # features of the sample, at most: documents go in whole, by a hash of the id
 SCALE = 10.0
 
 
@@ -118,8 +120,12 @@ def train(flat: np.ndarray, value: np.ndarray, per_doc: np.ndarray, grades: np.n
     return out, theta[len(used)] + np.concatenate([[0], np.cumsum(np.exp(theta[len(used) + 1:]))])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", per_grade: int = SAMPLE) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(grades, weights, thresholds) from the sample's documents; their features, not their texts, reach the driver."""
+def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", per_grade: int = SAMPLE,
+        most: int = FEATURES) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(grades, weights, thresholds) from the sample's documents, at most ``per_grade`` a grade and ``most`` features in all.
+
+    No documents or no ratings give one grade and no thresholds.
+    """
     ship(docs.sparkSession)
     taken, counts = sample_labels(ratings, grade, per_grade)
 
@@ -128,23 +134,44 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", per_grade:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [of(t) for t in part.column(1).to_pylist()]
+                found = [of(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0].tolist() if x else None for x in found], pa.list_(pa.int32())),
-                     pa.array([x[1].tolist() if x else None for x in found], pa.list_(pa.float32()))], ["grade", "buckets", "vals"])
+                    [part.column(0), part.column(1), pa.array([x[0].tolist() if x else None for x in found], pa.list_(pa.int32())),
+                     pa.array([x[1].tolist() if x else None for x in found], pa.list_(pa.float32()))], ["place", "grade", "buckets", "vals"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, sizes, flat, values, room = [], [], [], [], most
+        for batch in batches:
+            for i, mark in enumerate(batch.column(1).to_pylist()):
+                buckets = batch.column(2)[i].values.to_numpy()
+                if len(buckets) > room:
+                    continue
+                room -= len(buckets)
+                marks.append(mark)
+                sizes.append(len(buckets))
+                flat.append(buckets.copy())  # a view would hold its batch
+                values.append(batch.column(3)[i].values.to_numpy().copy())
+        levels = sorted(set(marks))
+        if len(levels) > 1:
+            shares = np.array([counts[g] / marks.count(g) for g in levels])
+            grades = np.searchsorted(levels, marks)
+            weights, cuts = train(np.concatenate(flat), np.concatenate(values), np.array(sizes), grades, len(levels), shares[grades])
+        else:
+            weights, cuts = np.zeros(1 << BITS, np.float32), np.empty(0)
+        yield pa.RecordBatch.from_arrays([pa.array([levels], pa.list_(pa.int32())), pa.array([weights.astype("<f4").tobytes()]),
+                                          pa.array([cuts.astype("<f8").tobytes()])], ["levels", "weights", "cuts"])
 
     # broadcast is bounded: the sample's ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
-    table = rows.select("label", "text").mapInArrow(features, "grade int, buckets array<int>, vals array<float>").toArrow()
-    table = table.filter(table.column("buckets").is_valid())
-    marks = table.column("grade").to_pylist()
-    grades = sorted(counts)
-    seen = {g: marks.count(g) for g in grades}
-    levels = [g for g in grades if seen[g]]
+    source = rows.select(F.xxhash64("doc_id", "text").alias("place"), "label", "text")
+    sample = source.mapInArrow(features, "place long, grade int, buckets array<int>, vals array<float>").filter("buckets is not null")
+    # one task holds the sample, whose rows and features are bounded
+    sorted_ = sample.repartition(1).sortWithinPartitions("place", "grade")
+    row = sorted_.mapInArrow(learn, "levels array<int>, weights binary, cuts binary").first()
+    levels = list(row["levels"]) if row else []
     if len(levels) < 2:
-        return levels or grades[:1] or [0], np.zeros(1 << BITS, np.float32), np.empty(0)
-    weights, cuts = train(flattened(table, "buckets"), flattened(table, "vals"), sizes_of(table, "buckets"), np.array([levels.index(g) for g in marks]), len(levels), np.array([counts[g] / seen[g] for g in marks]))
-    return levels, weights, cuts
+        return levels or sorted(counts)[:1] or [0], np.zeros(1 << BITS, np.float32), np.empty(0)
+    return levels, np.frombuffer(row["weights"], "<f4"), np.frombuffer(row["cuts"], "<f8")
 
 
 def grade_chances(f: np.ndarray, cuts: np.ndarray) -> np.ndarray:
