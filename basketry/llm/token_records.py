@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -58,6 +59,7 @@ def piece_encoder(vocabulary: str) -> tuple[Callable[[list[str], list[bool]], li
     It takes texts and whether each is to be encoded whole: no cut may go
     through an added token.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core of its own; more threads only wait
     from tokenizers import Tokenizer
     key = hash(vocabulary)
     if key not in _ENCODERS:
