@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
-from basketry.plans.facts import by_bitmap, by_member, lines_of_orders, order_facts
+from basketry.plans.facts import by_folded, by_member, lines_of_orders, order_facts
+from basketry.plans.sizing import partitions_for
 from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
@@ -67,16 +68,17 @@ def _category(products: DataFrame) -> DataFrame:
 def category_ranking(star: Star, limit: int = 10) -> DataFrame:
     """Top categories by revenue with share of total and two ranks, in one pass over the items.
 
-    Products are counted by bitmaps over surrogate ids that the products table
-    is read with (the same in every run of a task, as its file splits are).
+    Products are counted by surrogate ids that the products table is read with
+    (the same in every run of a task, as its file splits are).
     """
     # (order, product) rows where the order join left them
-    pairs = lines_of_orders(star, X.is_valid(), "product_id", F.sum("price").alias("price"), F.count("price").alias("n_price"),
-                            F.sum("freight_value").alias("freight")).groupBy(
+    n = partitions_for(star.order_items)
+    pairs = lines_of_orders(star, X.is_valid(), "product_id", {
+        "price": F.sum("price"), "n_price": F.count("price"), "freight": F.sum("freight_value")}, n=n).groupBy(
         "order_id", "product_id").agg(*[F.sum(c).alias(c) for c in ("price", "n_price", "freight")])
     products = _category(star.products).withColumn("surrogate", F.monotonically_increasing_id())
-    rows = join_splitting_hot_keys(pairs, products, "product_id", hot=star.hot_keys("order_items", "product_id"))
-    per_cat = by_bitmap(rows, ["category"], "order_id", "surrogate", ["price", "n_price", "freight"], "unique_products").select(
+    rows = join_splitting_hot_keys(pairs, products, "product_id", hot=star.hot_keys("order_items", "product_id"), n=n)
+    per_cat = by_folded(rows, ["category"], "order_id", "surrogate", ["price", "n_price", "freight"], "unique_products", n).select(
         "category", F.round("price", 2).alias("_rev"), X.rounded(X.ratio(F.col("price"), F.col("n_price")), 2).alias("avg_item_price"),
         X.rounded(X.ratio(F.col("freight"), F.col("price")) * 100, 2).alias("freight_to_revenue_pct"),
         F.col("n_orders").alias("total_orders"), "unique_products")
