@@ -13,7 +13,8 @@ from scale import SF_SMALL
 
 OPERATORS = {
     "rv02": lambda s: revenue.category_ranking(s, limit=1000),
-    "sl02": lambda s: sellers.seller_ranking(s, limit=1000)}
+    "sl02": lambda s: sellers.seller_ranking(s, limit=1000),
+    "sl03": lambda s: sellers.underperformers(s, min_items=1)}
 
 
 @pytest.fixture
