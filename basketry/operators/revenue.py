@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
 from basketry.plans.facts import by_folded, by_member, lines_of_orders, order_facts
-from basketry.plans.sizing import partitions_for
+from basketry.plans.sizing import dealt, fold, partitions_for
 from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
@@ -105,17 +105,15 @@ def payment_mix(star: Star, variant: str = "faithful") -> DataFrame:
     equals summing over the joined rows.  ``variant='corrected'`` counts
     each payment once per (order, category) instead of once per item.
     """
-    cats = join_splitting_hot_keys(star.order_items.select("order_id", "product_id"),
-                                   _category(star.products), "product_id",
-                                   hot=star.hot_keys("order_items", "product_id")) \
-        .groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
+    parts = partitions_for(star.order_items)
+    cats = fold(join_splitting_hot_keys(star.order_items.select("order_id", "product_id"), _category(star.products), "product_id",
+                                        hot=star.hot_keys("order_items", "product_id"), n=parts),
+                parts, "order_id", ["category"], {"n_items": F.count(F.lit(1))})
     if variant == "corrected":
         cats = cats.withColumn("n_items", F.lit(1).cast("bigint"))
-    pays = star.order_payments.groupBy("order_id", "payment_type").agg(
-        F.sum("payment_value").alias("pv_sum"),
-        F.sum("payment_installments").alias("inst_sum"),
-        F.count("payment_installments").alias("inst_cnt"))
-    valid = star.orders.filter(X.is_valid()).select("order_id")
+    pays = fold(star.order_payments, parts, "order_id", ["payment_type"], {
+        "pv_sum": F.sum("payment_value"), "inst_sum": F.sum("payment_installments"), "inst_cnt": F.count("payment_installments")})
+    valid = dealt(star.orders.filter(X.is_valid()).select("order_id"), parts, "order_id")
     facts = valid.join(cats, "order_id").join(pays, "order_id")
     n = F.col("n_items")
     mix = facts.groupBy("category", "payment_type").agg(

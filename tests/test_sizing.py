@@ -13,6 +13,8 @@ from scale import SF_SMALL
 
 OPERATORS = {
     "rv02": lambda s: revenue.category_ranking(s, limit=1000),
+    "rv03": revenue.payment_mix,
+    "rv03_corrected": lambda s: revenue.payment_mix(s, "corrected"),
     "sl01": lambda s: sellers.seller_sla(s, min_orders=1),
     "sl02": lambda s: sellers.seller_ranking(s, limit=1000),
     "sl03": lambda s: sellers.underperformers(s, min_items=1)}
