@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import exprs as X
+from basketry.plans.sizing import dealt, fold, partitions_for
 from basketry.plans.skew import join_splitting_hot_keys
 from basketry.sources.star import Star
 
@@ -152,11 +153,11 @@ def seller_ratings(star: Star, min_orders: int = 20, limit: int = 50) -> DataFra
     where it is exact (all rows ranked ahead of a top-k row are in it).
     """
     delivered = X.is_delivered() & F.col(DELIV).isNotNull()
-    per_order = star.order_reviews.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_rev"), F.sum(SCORE).alias("s_sum"),
-        F.count(SCORE).alias("s_cnt"), X.flag_sum(F.col(SCORE) <= 2).alias("n_low"))
-    orders = star.orders.filter(delivered).select("order_id", X.is_late(DELIV, EST).alias("late"))
-    items = star.order_items.groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = partitions_for(star.order_items)
+    per_order = fold(star.order_reviews, parts, "order_id", [], {
+        "n_rev": F.count(F.lit(1)), "s_sum": F.sum(SCORE), "s_cnt": F.count(SCORE), "n_low": X.flag_sum(F.col(SCORE) <= 2)})
+    orders = dealt(star.orders.filter(delivered).select("order_id", X.is_late(DELIV, EST).alias("late")), parts, "order_id")
+    items = fold(star.order_items, parts, "order_id", ["seller_id"], {"n": F.count(F.lit(1))})
     rows = orders.join(per_order, "order_id").join(items, "order_id")
     n = F.col("n")
     rows_total = F.sum(n * F.col("n_rev"))

@@ -5,19 +5,17 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import revenue, sellers
+from basketry.operators import revenue, reviews, sellers
 from basketry.plans.facts import by_bitmap, by_folded
 from basketry.plans.sizing import CONF_BYTES_PER_PARTITION, fold, partitions_for
 from basketry.registry import star_for
 from scale import SF_SMALL
 
 OPERATORS = {
-    "rv02": lambda s: revenue.category_ranking(s, limit=1000),
-    "rv03": revenue.payment_mix,
-    "rv03_corrected": lambda s: revenue.payment_mix(s, "corrected"),
-    "sl01": lambda s: sellers.seller_sla(s, min_orders=1),
-    "sl02": lambda s: sellers.seller_ranking(s, limit=1000),
-    "sl03": lambda s: sellers.underperformers(s, min_items=1)}
+    "rv02": lambda s: revenue.category_ranking(s, limit=1000), "rv03": revenue.payment_mix,
+    "rv03_corrected": lambda s: revenue.payment_mix(s, "corrected"), "sl01": lambda s: sellers.seller_sla(s, min_orders=1),
+    "sl02": lambda s: sellers.seller_ranking(s, limit=1000), "sl03": lambda s: sellers.underperformers(s, min_items=1),
+    "rs05": lambda s: reviews.seller_ratings(s, min_orders=1, limit=1000)}
 
 
 @pytest.fixture
