@@ -12,10 +12,11 @@ FIRST = 7  # bytes of the first key
 
 def packed(data: np.ndarray, width: int) -> np.ndarray:
     """The ``width`` bytes from each position as one big-endian number; zeros past the end."""
-    padded = np.concatenate([data, np.zeros(width, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
     out = np.zeros(len(data), np.uint64)
     for j in range(width):
-        out = (out << np.uint64(8)) | padded[j:j + len(data)]
+        out <<= np.uint64(8)
+        out |= padded[j:j + len(data)]
     return out
 
 
@@ -23,19 +24,23 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Positions ordered by their first ``depth`` units or more (Larsson-Sadakane refinement).
 
     Each round doubles the units by which groups are told apart and sorts only
-    the members of groups that still have more than one.
+    the members of groups that still have more than one.  Positions and ranks
+    take 4 bytes each where they fit, so a round holds about 60 bytes a unit.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.int64)
     if data.dtype == np.uint8:
-        key, h = packed(data, FIRST).astype(np.int64), FIRST
+        key, h = packed(data, FIRST).view(np.int64), FIRST
     else:
         key, h = np.unique(data, return_inverse=True)[1].astype(np.int64), 1
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), np.arange(n), 0))
-    rank = np.full(n + 1, -1, np.int64)  # a suffix past the end is least
+    kind = np.int32 if n < 1 << 30 else np.int64
+    sa = np.argsort(key, kind="stable").astype(kind)
+    key = key[sa]
+    head = np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n, dtype=kind), kind(0))
+    del key
+    np.maximum.accumulate(head, out=head)
+    rank = np.full(n + 1, -1, kind)  # a suffix past the end is least
     rank[sa] = head
     while h < depth:
         single = np.concatenate([head[1:] != head[:-1], [True]]) & np.concatenate([[True], head[1:] != head[:-1]])
@@ -43,11 +48,14 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         members = sa[at]
-        both = rank[members] * (n + 2) + rank[np.minimum(members + h, n)] + 1
+        both = rank[members].astype(np.int64)
+        both *= n + 2
+        both += rank[np.minimum(members + kind(min(h, n)), n)]
         order = np.argsort(both, kind="stable")
         members, both = members[order], both[order]
         sa[at] = members
         start = np.concatenate([[True], both[1:] != both[:-1]])
+        del both, order
         head[at] = np.maximum.accumulate(np.where(start, at, 0))
         rank[members] = head[at]
         h *= 2

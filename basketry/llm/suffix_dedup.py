@@ -58,7 +58,7 @@ GRAM = 64  # bytes of an anchor
 WORD_GRAM = 8  # words of an anchor
 WORD_BYTES = 8  # of a word's hash
 CLASSES = 2048  # window classes of one anchor in a shard
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 512 << 10  # a task's arrays take up to 60 times as much
 LEVELS = (4, 16)  # runs of starts as parts of a string's length, for anchors of very many classes
 WINDOW_SCHEMA = "row_key binary, anchor long, digest binary, first int, starts int, more array<int>"
 PIECE_SCHEMA = "anchor long, digest binary, copies long, row_key binary, first int, starts int, bytes binary"
