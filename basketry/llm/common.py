@@ -112,10 +112,19 @@ class WordHasher:
     """
 
     def __init__(self, limit: int = 300_000):
-        self.limit = limit
-        self.known: dict[str, int] = {}
+        self.known = _Known()
+        self.known.limit = limit
 
-    def _learn(self, token: str) -> int:
+    def __call__(self, text: str | None) -> np.ndarray:
+        tokens = text.lower().split() if text else []
+        found = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        return found[found != 0]
+
+
+class _Known(dict):
+    """Token -> hash of its word, 0 for none; learns what it has not."""
+
+    def __missing__(self, token: str) -> int:
         import xxhash
         a, b = 0, len(token)
         while a < b and not token[a].isalnum():
@@ -123,18 +132,11 @@ class WordHasher:
         while b > a and not token[b - 1].isalnum():
             b -= 1
         value = xxhash.xxh64_intdigest(token[a:b].encode("utf-8", "surrogatepass")) or 1 if b > a else 0
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        self.known[token] = value
+        if len(self) >= self.limit:
+            self.clear()
+        self[token] = value
         return value
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = text.lower().split() if text else []
-        get, learn = self.known.get, self._learn
-        found = np.fromiter([v if (v := get(t)) is not None else learn(t) for t in tokens],
-                            dtype=np.uint64, count=len(tokens))
-        return found[found != 0]
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of 64-bit values (splitmix64 steps)."""

@@ -31,6 +31,8 @@ start anywhere else: the same windows over the texts' word hashes (words as in
 Shards order and compare these by the same suffix arrays, a 64-bit hash a word.
 A passage goes from the first byte of its first word to the last byte of its
 last, punctuation at the words included; the white space around it stays.
+``remove_repeats`` with ``words`` only tells such passages.  Byte strings and
+passages share one exchange of the texts that the shards take windows from.
 
 Null texts count as empty and keep nothing; texts shorter than ``length`` stay
 whole; very long texts are cut into windows like the others, one text at a time
@@ -45,6 +47,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,23 +209,29 @@ def _pieces(classes: DataFrame, length: int, width: int, by_word: bool) -> DataF
     return classes.select("row_key", "gram", "copies", "first", "starts", "bytes").mapInArrow(run, PIECE_SCHEMA + ", gram long")
 
 
-def _cut_words(rows: DataFrame, length: int) -> DataFrame:
-    """row_key and the windows ``w`` of each row, with their word hashes."""
-    kind = dict(rows.dtypes)["windows"]
+def _cut(rows: DataFrame, lengths: dict[bool, int]) -> DataFrame:
+    """row_key and the windows of each row, with their bytes or word hashes."""
+    kind = dict(rows.dtypes)["windows"].removeprefix("array<struct<").removesuffix(">>").replace(":", " ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                part, cuts = batch.slice(a, 512), []
-                for text, windows in zip(part.column("text").to_pylist(), part.column("windows").to_pylist()):
-                    raw = hasher(text).tobytes()
-                    cuts.append([raw[w["first"] * WORD_BYTES:(w["first"] + w["starts"] + length - 1) * WORD_BYTES] for w in windows])
-                yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("windows"), pa.array(cuts, pa.list_(pa.binary()))],
-                                                 ["row_key", "windows", "bytes"])
-
-    cut = rows.mapInArrow(run, f"row_key binary, windows {kind}, bytes array<binary>")
-    return cut.select("row_key", F.explode(F.arrays_zip("windows", "bytes")).alias("z")).select("row_key", "z.windows.*", "z.bytes")
+                part, cuts, at = batch.slice(a, 512), [], 0
+                lists = part.column("windows")
+                windows, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+                found = list(zip(*(windows.field(c).to_pylist() for c in ("by_word", "first", "starts"))))
+                for text, size in zip(part.column("text").to_pylist(), sizes.tolist()):
+                    mine, at = found[at:at + size], at + size
+                    units = {w: hasher(text).tobytes() if w else text.encode() for w in {w for w, _, _ in mine}}
+                    for w, first, starts in mine:
+                        unit = WORD_BYTES if w else 1
+                        cuts.append(units[w][first * unit:(first + starts + lengths[w] - 1) * unit])
+                keys = part.column("row_key").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([keys, *windows.flatten(), pa.array(cuts, pa.binary())],
+                                                 ["row_key", *(f.name for f in windows.type), "bytes"])
+
+    return rows.mapInArrow(run, f"row_key binary, {kind}, bytes binary")
 
 
 def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -245,14 +254,30 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES, shard_bytes: int = SHARD_BYTES, by_word: bool = False,
+def repeated_ranges(docs: DataFrame, lengths: dict[bool, int], classes: int = CLASSES, shard_bytes: int = SHARD_BYTES,
                     levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """row_key and ranges ``[first, last)`` of starts whose strings repeat, ``more``: the first starts of other ranges of the same size.
+    """row_key, by_word and ranges ``[first, last)`` of starts whose strings repeat, ``more``: the first starts of other ranges of the same size.
 
-    ``docs`` as ``_keyed`` gives them.  ``by_word``: length and ranges count words.
+    ``docs`` as ``_keyed`` gives them.  ``lengths``: of the strings, by whether they and the ranges count words.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    found = {by_word: _classes(docs, length, by_word) for by_word, length in lengths.items()}
+    several = reduce(DataFrame.unionByName, (one.withColumn("by_word", F.lit(by_word)) for by_word, (_, one) in found.items()))
+    of_text = several.groupBy("row_key").agg(
+        F.collect_list(F.struct("by_word", "anchor", "digest", "copies", "classes", "first", "starts")).alias("windows"))
+    # one exchange of the texts for all lengths; equal rows are cut once
+    joined = docs.select("row_key", "text").join(of_text, "row_key").dropDuplicates(["row_key"])
+    cut = written(_cut(joined, lengths), "close-windows")
+    parts = []
+    for by_word, (ranges, _) in found.items():
+        mine = cut.filter(F.col("by_word") == by_word).drop("by_word").withColumn("gram", F.col("anchor"))
+        close = _close_ranges(mine, lengths[by_word], classes, shard_bytes, by_word, levels)
+        parts.append(ranges.unionByName(close).withColumn("by_word", F.lit(by_word)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _classes(docs: DataFrame, length: int, by_word: bool) -> tuple[DataFrame, DataFrame]:
+    """Ranges of the windows that have equals, and one window per class of the anchors with several classes."""
     windows = written(_windows(docs, length, by_word), "windows")
     members = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
     again = windows.groupBy("anchor").agg(F.sum(members).alias("seen")).filter("seen > 1").select("anchor")
@@ -260,22 +285,16 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
 
     by_class = written(shared.groupBy("anchor", "digest").agg(F.sum(members).alias("copies"), F.min(F.struct("row_key", "first", "starts")).alias("at"))
                        .select("anchor", "digest", "copies", "at.*"), "window-classes")
-    last = (F.col("first") + F.col("starts")).alias("last")
     ranges = (shared.join(by_class.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-              .select("row_key", "first", last, "more"))
+              .select("row_key", "first", (F.col("first") + F.col("starts")).alias("last"), "more"))
+    return ranges, by_class.join(_several(by_class), "anchor")
 
-    one = by_class.join(_several(by_class), "anchor")
-    of_text = one.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "digest", "copies", "classes", "first", "starts")).alias("windows"))
-    joined = docs.join(of_text, "row_key")
-    if by_word:
-        fetched = _cut_words(joined.select("row_key", "text", "windows"), length)
-    else:
-        fetched = joined.select("row_key", F.col("text").cast("binary").alias("raw"), F.explode("windows").alias("w")).select(
-            "row_key", "w.*", F.substring("raw", F.col("w.first") + 1, F.col("w.starts") + (length - 1)).alias("bytes"))
-    columns = ["anchor", "digest", "copies", "classes", "row_key", "first", "starts", "bytes"]
-    cut = written(fetched.dropDuplicates(["anchor", "digest"]).select(*columns, F.col("anchor").alias("gram")), "close-windows")
-    close = cut.select(*columns)
 
+def _close_ranges(cut: DataFrame, length: int, classes: int, shard_bytes: int, by_word: bool, levels: tuple[int, ...]) -> DataFrame:
+    """Ranges of starts whose strings repeat between the classes of an anchor; ``cut``: one window per class, with its bytes."""
+    spark = cut.sparkSession
+    columns = ["anchor", "digest", "copies", "classes", "row_key", "first", "starts", "bytes"]
+    close, ranges = cut.select(*columns), []
     for level in levels:
         hot = cut.filter(F.col("classes") > classes)
         if hot.isEmpty():
@@ -284,8 +303,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
         alike = pieces.groupBy("anchor", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("row_key", "first", "starts", "bytes", "gram")).alias("at"))
         alike = written(alike.select("anchor", "digest", "copies", "at.*"), "piece-classes")
         found = (pieces.filter("copies = 1").join(alike.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-                 .select("row_key", "first", last, F.lit(None).cast("array<int>").alias("more")))
-        ranges = ranges.unionByName(found)
+                 .select("row_key", "first", (F.col("first") + F.col("starts")).alias("last"), F.lit(None).cast("array<int>").alias("more")))
+        ranges.append(found)
         close = close.filter(F.col("classes") <= classes)
         cut = written(alike.join(_several(alike), "anchor"), "close-pieces")
         close = close.unionByName(cut.select(*columns))
@@ -312,7 +331,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, classes: int = CLASSES,
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.nulls(len(a), pa.list_(pa.int32()))],
                                                  ["row_key", "first", "last", "more"])
 
-    return ranges.unionByName(dealt.mapInArrow(run, RANGE_SCHEMA))
+    return reduce(DataFrame.unionByName, ranges, dealt.mapInArrow(run, RANGE_SCHEMA))
 
 
 def _several(classes: DataFrame) -> DataFrame:
@@ -350,11 +369,9 @@ def word_bytes(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], describe, words: int | None = None,
            levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """``columns`` of every row of ``docs`` and what ``describe(raw, spans, kept)`` says of its bytes."""
+    """``columns`` of every row of ``docs`` and what ``describe(text, spans, passages)`` says of its bytes."""
     keyed = _keyed(docs)
-    repeated = repeated_ranges(keyed, length, classes, levels=levels).withColumn("by_word", F.lit(False))
-    if words:
-        repeated = repeated.unionByName(repeated_ranges(keyed, words, classes, by_word=True, levels=levels).withColumn("by_word", F.lit(True)))
+    repeated = repeated_ranges(keyed, {False: length, True: words} if words else {False: length}, classes, levels=levels)
     ranges = written(repeated, "ranges").groupBy("row_key").agg(
         F.collect_set(F.struct("first", "last", "more", "by_word")).alias("ranges"))  # bounded: bytes of a document
     others = [c for c in columns if c not in ("doc_id", "text")]
@@ -371,41 +388,53 @@ def _apply(docs: DataFrame, length: int, classes: int, columns: list[str], descr
             for start in range(0, batch.num_rows, 512):
                 part, said = batch.slice(start, 512), []
                 for text, found in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist()):
-                    raw, spans = text.encode(), covered([r for r in found or () if not r["by_word"]], length)
+                    spans = covered([r for r in found or () if not r["by_word"]], length)
                     passages = covered([r for r in found or () if r["by_word"]], words or 0)
-                    if passages:
-                        spans = merged(spans + word_bytes(text, passages))
-                    edges = [0, *(x for span in spans for x in span), len(raw)]
-                    said.append(describe(raw, spans, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))))
+                    said.append(describe(text, spans, passages))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in passed] + [pa.array(x) for x in zip(*said)], [*passed, *describe.names])
 
     return joined.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in passed] + describe.kinds))
 
 
-def _figures(raw: bytes, spans: list[tuple[int, int]], kept: bytes):
+def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for span in spans for x in span), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _figures(text: str, spans: list[tuple[int, int]], passages: list[tuple[int, int]]):
+    raw = text.encode()
+    kept = _kept(raw, spans)
     return len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
 
-def _remaining(raw: bytes, spans: list[tuple[int, int]], kept: bytes):
-    return (kept.decode("utf-8", "ignore"),)
+def _remaining(text: str, spans: list[tuple[int, int]], passages: list[tuple[int, int]]):
+    spans = merged(spans + word_bytes(text, passages)) if passages else spans
+    return (_kept(text.encode(), spans).decode("utf-8", "ignore"),)
+
+
+def _both(text: str, spans: list[tuple[int, int]], passages: list[tuple[int, int]]):
+    return *_figures(text, spans, passages), *_remaining(text, spans, [])
 
 
-def _both(raw: bytes, spans: list[tuple[int, int]], kept: bytes):
-    return *_figures(raw, spans, kept), *_remaining(raw, spans, kept)
+def _all(text: str, spans: list[tuple[int, int]], passages: list[tuple[int, int]]):
+    return *_both(text, spans, passages), len(passages), sum(b - a for a, b in passages)
 
 
 _figures.names, _figures.kinds = ["n_bytes", "n_removed", "n_spans", "kept_sha256"], ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
 _remaining.names, _remaining.kinds = ["text"], ["text string"]
 _both.names, _both.kinds = _figures.names + _remaining.names, _figures.kinds + _remaining.kinds
+_all.names, _all.kinds = [*_both.names, "n_passages", "passage_words"], [*_both.kinds, "n_passages long", "passage_words long"]
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, with_text: bool = False,
-                   levels: tuple[int, ...] = LEVELS) -> DataFrame:
+                   levels: tuple[int, ...] = LEVELS, words: int | None = None) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes, concatenated).
 
     ``with_text`` adds text: what remains, without characters that lost a part of their bytes.
+    ``words`` adds text and, of the passages of so many words or more that start anywhere else, n_passages (maximal runs in the
+    whole text) and passage_words (words in them); these are told, not removed.
     """
-    return _apply(docs, length, classes, ["doc_id"], _both if with_text else _figures, levels=levels)
+    return _apply(docs, length, classes, ["doc_id"], _all if words else _both if with_text else _figures, words, levels)
 
 
 def without_repeats(docs: DataFrame, length: int = 400, classes: int = CLASSES, words: int | None = None,
